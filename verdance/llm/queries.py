@@ -16,6 +16,43 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit(docs, _table(spark, sf_dir, "labels")))
 
 
+#: (verdict, host and path)
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: every page that was reached through a feed. Any variant of a listed URL is blocked."""
+    from .urls import judge
+
+    pages = _table(spark, sf_dir, "pages")
+    return judge(pages, pages.select("url").where("url LIKE '%utm_source=feed%'"), RULES)
+
+
+OP2_SQL = r"""
+WITH seen AS (
+  SELECT page_id, url,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+canon AS (
+  SELECT *, CASE WHEN regexp_replace(host, '^www\.', '') <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') END AS canonical
+  FROM seen),
+known AS (SELECT DISTINCT canonical AS c FROM canon WHERE url LIKE '%utm_source=feed%' AND canonical IS NOT NULL),
+rules(verdict, rule, h, p) AS (VALUES
+  ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'),
+  ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
+listed AS (SELECT canon.*, known.c IS NOT NULL AS listed FROM canon LEFT JOIN known ON canon.canonical = known.c),
+fit AS (
+  SELECT l.page_id, l.host, l.path, l.canonical, l.listed, r.rule, r.verdict
+  FROM listed l LEFT JOIN LATERAL (
+    SELECT rule, verdict FROM rules
+    WHERE (l.host = h OR ends_with(l.host, '.' || h)) AND starts_with(l.path, p)
+    ORDER BY length(rule) DESC LIMIT 1) r ON true)
+SELECT page_id, host, path, canonical, rule, listed, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
+FROM fit
+""".replace("\\\\", "\\")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import fit, predict_documents
 
@@ -23,6 +60,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_documents(docs, fit(docs))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import span_digests
+
+    return span_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -31,5 +74,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_language": op3_language, "op7_bpe": op7_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe}
+ORACLES: dict[str, str] = {"op2_urls": OP2_SQL}
