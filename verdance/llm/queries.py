@@ -66,6 +66,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,5 +80,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op5_secrets": op5_secrets, "op7_bpe": op7_bpe}
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc}
 ORACLES: dict[str, str] = {"op2_urls": OP2_SQL}
