@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Keys that hot_join sends by broadcast: a fixed number of rows, whatever the input.
 HOT_KEYS = 1000
+#: A key with fewer rows than this is never frequent.
+HOT_ROWS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +38,10 @@ def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
 def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
     """big JOIN small, small unique on the keys `on`, where a few keys may hold most of big's rows.
 
-    The HOT_KEYS keys of largest `weight` (the rows of big with that key) go by broadcast, which is
+    The HOT_KEYS keys of largest `weight` (the rows of big with that key, HOT_ROWS at least) go by broadcast, which is
     a fixed number of rows; big's other rows meet the rest of small in a shuffle, where no key is
     frequent any more. how: inner, left or left_semi. No row is dropped on either way."""
-    hot = small.orderBy(F.desc(weight), *on).limit(HOT_KEYS)
+    hot = small.where(F.col(weight) >= HOT_ROWS).orderBy(F.desc(weight), *on).limit(HOT_KEYS)
     keys = hot.select(*on)
     kind = "left_semi" if how == "left_semi" else "inner"
     near = big.join(F.broadcast(hot), on, kind)

@@ -2,13 +2,17 @@
 
 A payload is stored as a WAV file of 8-bit mono samples. The file is cut where a rolling gear hash of
 the last 32 bytes has enough zero bits, between LEAST and MOST bytes; chunks are named by their
-SHA-256. Equal chunks are stored once: chunks meet by digest in a Spark aggregation, which keeps one
-copy in the chunk store. Each file keeps the ordered list of its chunks. Reading joins that list
-with the store, puts the chunks in order and verifies the file's own digest.
+SHA-256. An aggregation by digest finds the digests that come more than once. Chunks of those go to
+a common store that keeps each digest once; all others stay in their file's own record, so most
+bytes are never shuffled. A file's record lists its chunks in order, common ones by digest only.
+Reading joins those digests with the store, puts the chunks in order and verifies the file's digest.
+
+Which chunks are common is known to the tasks by a Bloom filter of fixed size; a chunk that passes
+it by chance just goes to the store as well.
 
 Defined cases: a null text counts as empty; an empty text's payload is one block of zero bytes;
 equal texts have equal files and share every chunk; repeated rows are one file each; a chunk or a
-file that doesn't have its digest raises an error."""
+file that is missing or doesn't have its digest raises an error."""
 
 from __future__ import annotations
 
@@ -23,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, pieces, stored, text_md5, utf8_view
+from .common import hot_join, stored, text_md5, utf8_view
 
 BLOCK = 64
 #: Samples a second, as the header says.
 RATE = 8000
+#: Words of the Bloom filter of common digests: 2 MB.
+WORDS = 1 << 18
 #: Chunk sizes in bytes: least, on average beyond it, most.
 LEAST, AVERAGE, MOST = 1 << 10, 1 << 12, 1 << 15
 #: The gear hash holds the last 32 bytes; a cut needs its upper bits, on which most of them tell, to be zero.
@@ -77,62 +83,99 @@ def cuts(file: bytes) -> list[int]:
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Rows (media, n_bytes, file_sha256, pos, parts, digest, bytes) of the chunks of each text; bytes are zstd frames.
+def _files(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, bytes, list[bytes]]]:
+    """Row, raw text, file and chunks of each text of a batch (media, text, ...)."""
+    data, offsets = utf8_view(batch.column(1))
+    for r in range(batch.num_rows):
+        raw = data[offsets[r] : offsets[r + 1]].tobytes()
+        file = wav(padded(raw))
+        ends = cuts(file)
+        yield r, raw, file, [file[a:b] for a, b in zip([0, *ends], ends)]
 
-    media: the MD5 of the text. Equal texts of one batch give their chunks once; the store needs them once."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+def _word(digest: bytes) -> int:
+    return int.from_bytes(digest[:4], "big") % WORDS
+
+
+def _mask(digest: bytes) -> int:
+    return 1 << (digest[4] & 63) | 1 << (digest[5] & 63) | 1 << (digest[6] & 63) | 1 << (digest[7] & 63)
+
+
+def common_digests(keyed: DataFrame) -> np.ndarray:
+    """A Bloom filter of the digests that come more than once in all files: WORDS words of 64 bits."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = b.column(0).to_pylist()
-            data, offsets = utf8_view(b.column(1))
-            seen: set[bytes] = set()
-            for i, j in pieces(offsets, 4 << 20):
-                out: list[tuple] = []
-                for r in range(i, j):
-                    if keys[r] in seen:
-                        continue
-                    seen.add(keys[r])
-                    raw = data[offsets[r] : offsets[r + 1]].tobytes()
-                    file = wav(padded(raw))
-                    sha, at, ends = hashlib.sha256(file).digest(), 0, cuts(file)
-                    for pos, end in enumerate(ends):
-                        part = file[at:end]
-                        out.append((keys[r], len(raw), sha, pos, len(ends), hashlib.sha256(part).digest(), pack(part)))
-                        at = end
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, TYPES)], names=NAMES)
-
-    keyed = docs.select(text_md5(F.coalesce("text", F.lit(""))).alias("media"), F.coalesce("text", F.lit("")).alias("text"))
-    return keyed.mapInArrow(cut, "media binary, n_bytes long, file_sha256 binary, pos int, parts int, digest binary, bytes binary")
-
-
-NAMES = ["media", "n_bytes", "file_sha256", "pos", "parts", "digest", "bytes"]
-TYPES = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(c).digest() for _, _, _, parts in _files(b) for c in parts], pa.binary())], names=["digest"])
+
+    often = keyed.mapInArrow(named, "digest binary").groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    number = lambda at, size: F.conv(F.hex(F.substring("digest", at, size)), 16, 10).cast("long")
+    one = F.lit(1).cast("long")
+    mask = F.lit(0).cast("long")
+    for at in (5, 6, 7, 8):
+        mask = mask.bitwiseOR(F.call_function("shiftleft", one, (number(at, 1) % 64).cast("int")))
+    words = often.select((number(1, 4) % WORDS).alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    out = np.zeros(WORDS, np.uint64)
+    for r in words.collect():
+        out[r["word"]] = r["mask"] & (1 << 64) - 1
+    return out
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Writes the texts' files and returns (chunk store: digest, bytes, n; lists: media, n_bytes, file_sha256, parts, pos, digest).
+    """Writes the files of docs and returns (records, common chunks).
+
+    records: doc_id, media (the text's MD5), n_bytes, file_sha256 and parts (digest, and bytes or
+    null if the chunk is common), one row per row of docs. Common chunks: digest, bytes and n, in
+    how many places they are. Bytes are zstd frames. The store's aggregation combines before the shuffle, so a
+    chunk that millions of files hold travels once a task."""
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(text_md5(text).alias("media"), text.alias("text"), "doc_id")
+    sent = docs.sparkSession.sparkContext.broadcast(common_digests(keyed))
 
-    Chunks of equal digest meet in one aggregation that keeps the first; it combines before the
-    shuffle, so a chunk that millions of files hold travels once a task."""
-    cut = chunks(docs)
-    lists = stored(cut.groupBy("media", "pos").agg(*(F.first(c).alias(c) for c in ("n_bytes", "file_sha256", "parts", "digest"))), "media-lists")
-    kept = stored(cut.groupBy("digest").agg(F.first("bytes").alias("bytes")), "media-chunks")
-    return kept, lists
+    def is_common(digest: bytes) -> bool:
+        m = _mask(digest)
+        return int(sent.value[_word(digest)]) & m == m
 
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            n_bytes, shas, lists = [], [], []
+            for _, raw, file, parts in _files(b):
+                named = [(hashlib.sha256(c).digest(), c) for c in parts]
+                n_bytes.append(len(raw))
+                shas.append(hashlib.sha256(file).digest())
+                lists.append([{"digest": d, "bytes": None if is_common(d) else pack(c)} for d, c in named])
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), pa.array(n_bytes, pa.int64()), pa.array(shas, pa.binary()), pa.array(lists, PARTS)], names=["doc_id", "media", "n_bytes", "file_sha256", "parts"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            count: dict[bytes, int] = {}
+            held: dict[bytes, bytes] = {}
+            for _, _, _, parts in _files(b):
+                for c in parts:
+                    d = hashlib.sha256(c).digest()
+                    if is_common(d):
+                        count[d] = count.get(d, 0) + 1
+                        if d not in held:
+                            held[d] = pack(c)
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.binary()), pa.array(list(count.values()), pa.int64())], names=["digest", "bytes", "n"])
 
-def files(kept: DataFrame, lists: DataFrame) -> DataFrame:
-    """media, n_bytes, file_sha256 and the parts (array of pos, bytes) of every file, from the store."""
-    parts = lists.join(kept, "digest")
-    return parts.groupBy("media").agg(F.first("n_bytes").alias("n_bytes"), F.first("file_sha256").alias("file_sha256"), F.first("parts").alias("parts"), F.collect_list(F.struct("pos", "digest", "bytes")).alias("list"))
+    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
+    files = stored(keyed.mapInArrow(records, f"doc_id {kind}, media binary, n_bytes long, file_sha256 binary, parts array<struct<digest:binary,bytes:binary>>"), "media-records")
+    chunks = keyed.mapInArrow(shared, "digest binary, bytes binary, n long").groupBy("digest").agg(F.first("bytes").alias("bytes"), F.sum("n").alias("n"))
+    return files, stored(chunks, "media-chunks")
 
 
-FEATURES = "media binary, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+PARTS = pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())]))
+MEASURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: The columns that measure() returns after the key.
+NAMES = [f.split()[0] for f in MEASURES.split(", ")]
+TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
 
-def features(kept: DataFrame, lists: DataFrame) -> DataFrame:
-    """What FEATURES says of each stored file, computed from the bytes read back and verified.
+def measure(files: DataFrame, key: str) -> DataFrame:
+    """What MEASURES says of each file, from its chunks as read back: columns (key, n_bytes, file_sha256, parts).
 
     feature: mean and standard deviation of the samples and the share of neighbours that lie on
     either side of 128, to six places, and the number of chunks."""
@@ -141,30 +184,39 @@ def features(kept: DataFrame, lists: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             out = []
-            for media, n_bytes, sha, parts, got in zip(*(b.column(k).to_pylist() for k in range(5))):
-                got.sort(key=lambda p: p["pos"])
-                plain = [unpack(p["bytes"]) for p in got]
+            for n_bytes, sha, parts in zip(*(b.column(k) for k in (1, 2, 3))):
+                sha, parts = sha.as_py(), parts.as_py()
+                if any(p["bytes"] is None for p in parts):
+                    raise ValueError("a chunk is missing from the store")
+                plain = [unpack(p["bytes"]) for p in parts]
                 file = b"".join(plain)
-                if len(got) != parts or any(hashlib.sha256(x).digest() != p["digest"] for x, p in zip(plain, got)) or hashlib.sha256(file).digest() != sha:
+                if any(hashlib.sha256(x).digest() != p["digest"] for x, p in zip(plain, parts)) or hashlib.sha256(file).digest() != sha:
                     raise ValueError("a stored file doesn't have its digest")
                 payload = samples(file)
                 x = np.frombuffer(payload, np.uint8)
                 high = x >= 128
-                mean, spread, crossing = float(x.mean()), float(x.std()), float(np.count_nonzero(high[1:] != high[:-1])) / (len(x) - 1)
-                out.append((media, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), sha.hex(), f"{mean:.6f},{spread:.6f},{crossing:.6f},{parts}"))
-            types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, types)], names=[f.split()[0] for f in FEATURES.split(", ")])
+                crossing = float(np.count_nonzero(high[1:] != high[:-1])) / (len(x) - 1)
+                out.append((n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), sha.hex(), f"{float(x.mean()):.6f},{float(x.std()):.6f},{crossing:.6f},{len(parts)}"))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * len(TYPES), TYPES))], names=[key, *NAMES])
 
-    return files(kept, lists).select("media", "n_bytes", "file_sha256", "parts", "list").mapInArrow(read, FEATURES)
+    return files.select(key, "n_bytes", "file_sha256", "parts").mapInArrow(read, f"{key} {dict(files.dtypes)[key]}, {MEASURES}")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id and what FEATURES says, of every row of docs, by way of the store.
-
-    Each file is read and measured once for all rows with its text; rows find their file's values by
-    the text's MD5."""
-    kept, lists = store(docs)
-    rows = docs.select("doc_id", text_md5(F.coalesce("text", F.lit(""))).alias("media"))
-    measured = features(kept, lists)
-    frequent = rows.groupBy("media").agg(F.count(F.lit(1)).alias("n"))
-    return hot_join(rows, stored(measured.join(frequent, "media"), "media-features"), ["media"], "n").drop("media", "n")
+    """doc_id and what MEASURES says, of every row of docs, by way of the store.
+
+    Files without common chunks are read where they lie. Of the others each distinct one is put
+    together once, and all rows with its text find its values by the text's MD5."""
+    files, chunks = store(docs)
+    partial = F.exists("parts", lambda p: p["bytes"].isNull())
+    whole = measure(files.where(~partial), "doc_id")
+    open_ = files.where(partial)
+    each = open_.groupBy("media").agg(F.first(F.struct("n_bytes", "file_sha256", "parts")).alias("f"), F.count(F.lit(1)).alias("n"))
+    each = stored(each.select("media", "n", "f.*"), "media-open")
+    wanted = each.select("media", F.posexplode("parts").alias("pos", "p")).where("p.bytes IS NULL").select("media", "pos", "p.digest")
+    found = hot_join(wanted, chunks, ["digest"], "n").groupBy("media").agg(F.map_from_entries(F.collect_list(F.struct("pos", "bytes"))).alias("found"))
+    filled = F.transform("parts", lambda p, i: F.struct(p["digest"].alias("digest"), F.coalesce(p["bytes"], F.element_at("found", i)).alias("bytes")))
+    joined = each.join(found, "media").select("media", "n", "n_bytes", "file_sha256", filled.alias("parts"))
+    measured = stored(measure(joined, "media"), "media-measures").join(each.select("media", "n"), "media")
+    rest = hot_join(open_.select("doc_id", "media"), measured, ["media"], "n").select("doc_id", *NAMES)
+    return whole.unionByName(rest)
