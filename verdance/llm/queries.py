@@ -50,7 +50,7 @@ fit AS (
     ORDER BY length(rule) DESC LIMIT 1) r ON true)
 SELECT page_id, host, path, canonical, rule, listed, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
 FROM fit
-""".replace("\\\\", "\\")
+"""
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +86,29 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc}
-ORACLES: dict[str, str] = {"op2_urls": OP2_SQL}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+ds AS (
+  SELECT DISTINCT r, doc_id, s FROM (
+    SELECT r, doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+                                  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d)),
+bs AS (
+  SELECT DISTINCT item_id, s FROM (
+    SELECT item_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
+                                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM b)),
+n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared, count(*) / CAST(n AS DOUBLE) AS containment
+FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+GROUP BY r, doc_id, item_id, n HAVING count(*) >= 0.8 * n
+"""
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
+ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op9_decontamination": OP9_SQL}
