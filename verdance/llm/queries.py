@@ -110,5 +110,30 @@ GROUP BY r, doc_id, item_id, n HAVING count(*) >= 0.8 * n
 """
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination}
-ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op9_decontamination": OP9_SQL}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import deletions
+
+    return deletions(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, string_split(regexp_replace(text, '[ \t\r\f\x0B\x{A0}]+', ' ', 'g'), chr(10)) AS a FROM documents),
+u AS (SELECT r, doc_id, unnest(list_transform(a, lambda x: trim(x, ' '))) AS l, unnest(range(0, len(a))) AS i FROM t),
+v AS (SELECT *, len(l) - len(replace(l, ' ', '')) + 1 AS w FROM u WHERE l <> ''),
+c AS (SELECT *, sum(w) OVER (PARTITION BY r ORDER BY i) AS upto FROM v),
+ends AS (
+  SELECT s.r, s.i AS first, min(e.i) AS last FROM c s JOIN c e ON s.r = e.r AND e.i >= s.i AND e.upto - s.upto + s.w >= 50 GROUP BY s.r, s.i
+  UNION
+  SELECT e.r, max(s.i) AS first, e.i AS last FROM c s JOIN c e ON s.r = e.r AND e.i >= s.i AND e.upto - s.upto + s.w >= 50 GROUP BY e.r, e.i),
+win AS (SELECT n.r, c.doc_id, n.first, n.last, string_agg(c.l, chr(10) ORDER BY c.i) AS content FROM ends n JOIN c ON c.r = n.r AND c.i BETWEEN n.first AND n.last GROUP BY n.r, c.doc_id, n.first, n.last),
+later AS (SELECT r, first, last FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT r, unnest(range(first, last + 1)) AS i FROM later),
+islands AS (SELECT r, min(i) AS a, max(i) AS b FROM (SELECT r, i, i - row_number() OVER (PARTITION BY r ORDER BY i) AS g FROM gone) GROUP BY r, g),
+per AS (SELECT r, sum(b - a + 1) AS n, string_agg(a || '-' || b, ',' ORDER BY a) AS deleted FROM islands GROUP BY r)
+SELECT t.doc_id, CAST(len(t.a) AS BIGINT) AS n_lines, CAST(coalesce(per.n, 0) AS BIGINT) AS n_deleted, coalesce(per.deleted, '') AS deleted
+FROM t LEFT JOIN per USING (r)
+"""
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination, "op10_lines": op10_lines}
+ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op9_decontamination": OP9_SQL, "op10_lines": OP10_SQL}
