@@ -116,7 +116,7 @@ def deletions(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
 
 def clean(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """docs with the later repeated runs deleted from text; all other columns stay.
+    """docs with the later repeated runs deleted from text, and n_chars (if there) set to the new length; all other columns stay.
 
     A document of which nothing but blank lines is left has only repeated others, and goes."""
     d = _with_runs(_keyed(docs), repeated(docs, run_words))
@@ -125,4 +125,6 @@ def clean(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     changed = F.col("__vd_runs").isNotNull()
     d = d.withColumn("__vd_left", F.when(changed, left))
     d = d.where(~changed | (F.trim(F.col("__vd_left")) != ""))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(changed, F.length("__vd_left")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return d.withColumn("text", F.when(changed, F.col("__vd_left")).otherwise(F.col("text"))).select(*docs.columns)

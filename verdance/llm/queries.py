@@ -60,6 +60,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_documents(docs, fit(docs))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import classes
+
+    return classes(_table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import span_digests
 
@@ -135,5 +141,5 @@ FROM t LEFT JOIN per USING (r)
 """
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination, "op10_lines": op10_lines}
+QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op4_neardup": op4_neardup, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination, "op10_lines": op10_lines}
 ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op9_decontamination": OP9_SQL, "op10_lines": OP10_SQL}
