@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import short_batches
+
 #: Entries of each of the two generations of the worker's memo of encoded words; results don't depend on it.
 MEMO = 250_000
 #: Longer runs without a break are encoded each time they come.
@@ -158,6 +160,7 @@ def coder(spark: SparkSession, path: str, digest: bool = False):
     """A Column function from a text to its ids (bytes) and their decoded text, or to the digests of both.
 
     The vocabulary, of fixed size, is broadcast; each Python worker builds its tables once."""
+    short_batches(spark)
     sent, name = spark.sparkContext.broadcast(vocabulary(path)), path
 
     @F.arrow_udf(DIGEST if digest else RESULT)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1000
 #: A key with fewer rows than this is never frequent.
 HOT_ROWS = 64
+#: Rows and bytes of an Arrow batch of documents.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,13 @@ def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session: documents are long rows, and a worker holds one batch at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
     """big JOIN small, small unique on the keys `on`, where a few keys may hold most of big's rows.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import pieces, utf8_view
+from .common import pieces, short_batches, utf8_view
 
 CONTAINED = 0.8
 #: Slots of a signature. A segment that holds 0.8 of an item shares a given slot with chance 0.16 at
@@ -123,6 +123,7 @@ HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int32()),
 
 def hits(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> Column:
     """For each row of docs, an array of item_id, n_shingles, n_shared and containment of the items that its text contains."""
+    short_batches(docs.sparkSession)
     every = [_search(docs, rows, contained) for rows in _blocks(benchmark)]
     if not every:
         return F.expr(f"CAST(array() AS array<struct<{RESULT.replace(' ', ':').replace(',:', ',')}>>)")

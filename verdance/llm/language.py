@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold_of, pieces, utf8_view
+from .common import bounded_sample, fold_of, pieces, short_batches, utf8_view
 
 UNKNOWN = "und"
 #: Bytes of a window; the last one of a text is filled up with zero bytes.
@@ -118,6 +118,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network learned from about `sample` texts with a non-null lang outside the held-out fold; None if there are none.
 
     The sample is drawn by a hash of the id, and only WINDOWS_EACH windows of each text reach the driver."""
+    short_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold_of(F.col("doc_id")) != 2, F.lit(False)))
     chosen = bounded_sample(known.select("lang", "text", "doc_id"), F.col("doc_id"), sample)
 

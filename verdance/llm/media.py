@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored, text_md5, utf8_view
+from .common import hot_join, short_batches, stored, text_md5, utf8_view
 
 BLOCK = 64
 #: Samples a second, as the header says.
@@ -128,6 +128,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     null if the chunk is common), one row per row of docs. Common chunks: digest, bytes and n, in
     how many places they are. Bytes are zstd frames. The store's aggregation combines before the shuffle, so a
     chunk that millions of files hold travels once a task."""
+    short_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(text_md5(text).alias("media"), text.alias("text"), "doc_id")
     sent = docs.sparkSession.sparkContext.broadcast(common_digests(keyed))

@@ -9,10 +9,12 @@ similarity. Points are made in order of time up to a bound by which every slot i
 filled; a text with an empty slot starts again with twice the bound, which changes no minimum.
 
 Groups. Distinct texts are nodes; equal slots of a band put nodes in one bucket. A bucket doesn't make
-all its pairs. Its members are compared with HUBS nodes of it, links are verified on the multisets
-themselves, and connected. Only pairs that a bucket still holds in different components are then
-compared, all of them, since a pair inside a component can't change it. So no link that would
-join two classes is lost to a cap.
+all its pairs. Its members are compared with two of its nodes: the one that meets most others in
+all its buckets, and the least. Links are verified on the multisets themselves, and connected. Then
+the pairs that a bucket still holds in different components are compared, since a pair inside a
+component can't change it. A pair is left out only if it can't be similar: what a text shares with
+any other one is too little for the overlap that two texts of these sizes need. So no link that
+would join two classes is lost, and there is no cap.
 
 Defined cases: a null text is its own class; equal texts are one class, empty ones too; a text of
 one to four words is one shingle of all of them; texts without words are alike only if equal; the
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum
-from .common import hot_join, pieces, stored, text_md5, utf8_view
+from .common import hot_join, pieces, short_batches, stored, text_md5, utf8_view
 
 SIMILAR = 0.8
 BANDS, ROWS = 24, 6
@@ -45,8 +47,12 @@ _U = np.uint64
 def weighted(sh: np.ndarray, so: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, shingle and weight of the distinct shingles of each text, in order of owner and shingle."""
     owner = np.repeat(np.arange(len(so) - 1), np.diff(so))
-    order = np.lexsort((sh, owner))
-    s, o = sh[order], owner[order]
+    top = (owner.astype(np.uint64) << _U(40)) | (sh >> _U(24))
+    order = np.argsort(top)
+    s, o, top = sh[order], owner[order], top[order]
+    if len(so) > 1 << 24 or ((top[1:] == top[:-1]) & (s[1:] != s[:-1])).any():  # shingles that differ in their last bits only
+        order = np.lexsort((sh, owner))
+        s, o = sh[order], owner[order]
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(s)), bool), (s[1:] != s[:-1]) | (o[1:] != o[:-1])]))
     return o[new], s[new], np.diff(np.concatenate([new, [len(s)]]))
 
@@ -95,16 +101,21 @@ def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return textnum.shingles(hashes, at)
 
 
-@F.arrow_udf(T.BinaryType())
+SIGNED = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("size", T.LongType())])
+
+
+@F.arrow_udf(SIGNED)
 def _signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """The signature of each text in lower case; null for texts without words."""
+    """Signature and number of shingles of each text in lower case; no signature for texts without words."""
     for batch in batches:
         data, offsets = utf8_view(batch)
         out: list[bytes | None] = []
+        sizes: list[int] = []
         for i, j in pieces(offsets, 1 << 20):
             sh, so = _hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             out += [x.tobytes() if k else None for x, k in zip(signatures(sh, so), np.diff(so))]
-        yield pa.array(out, pa.binary())
+            sizes += np.diff(so).tolist()
+        yield pa.StructArray.from_arrays([pa.array(out, pa.binary()), pa.array(sizes, pa.int64())], names=SIGNED.names)
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -117,17 +128,18 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 @F.arrow_udf(T.DoubleType())
 def _similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Weighted Jaccard similarity of the whole multisets of two texts in lower case."""
-    for pair in batches:
-        sides = []
-        for batch in pair:
-            data, offsets = utf8_view(batch)
-            own = []
-            for i, j in pieces(offsets, 1 << 20):
+    for left, right in batches:
+        a, x = utf8_view(left)
+        b, y = utf8_view(right)
+        out: list[float] = []
+        for i, j in pieces(x + y, 1 << 20):
+            sides = []
+            for data, offsets in ((a, x), (b, y)):
                 o, s, w = weighted(*_hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
                 cut = np.searchsorted(o, np.arange(j - i + 1))
-                own += [(s[x:y], w[x:y]) for x, y in zip(cut, cut[1:])]
-            sides.append(own)
-        yield pa.array([overlap(a, b) for a, b in zip(*sides)], pa.float64())
+                sides.append([(s[f:t], w[f:t]) for f, t in zip(cut, cut[1:])])
+            out += [overlap(s, t) for s, t in zip(*sides)]
+        yield pa.array(out, pa.float64())
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -159,48 +171,75 @@ class Groups:
 
     def __init__(self, docs: DataFrame, similar: float = SIMILAR):
         self.similar = similar
+        short_batches(docs.sparkSession)
         self.texts = docs.where("text IS NOT NULL").select(text_md5(F.col("text")).alias("node"), F.lower("text").alias("t"))
-        signed = self.texts.select("node", _signature("t").alias("sig")).where("sig IS NOT NULL")
-        self.nodes = stored(signed.groupBy("node").agg(F.first("sig").alias("sig")), "dup-nodes")
+        signed = self.texts.select("node", _signature("t").alias("x")).where("x.sig IS NOT NULL")
+        self.nodes = stored(signed.groupBy("node").agg(F.first("x").alias("x")).select("node", "x.*"), "dup-nodes")
         width = ROWS * 2
         bucket = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))
         rows = self.nodes.select("node", F.explode(bucket).alias("bucket"))
-        hubs = rows.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("node").alias("h0"), F.max("node").alias("h1"), F.min(F.struct(F.substring("node", 9, 8), "node")).alias("h2")
-        ).where("n > 1").select("bucket", "n", F.array("h0", "h1", "h2.node").alias("hubs"))
-        self.members = stored(hot_join(rows, stored(hubs, "dup-buckets"), ["bucket"], "n").select("bucket", "node", "hubs"), "dup-members")
+        many = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-buckets")
+        self.members = stored(hot_join(rows, many, ["bucket"], "n"), "dup-members")
 
     def stars(self) -> DataFrame:
-        """Each member with the hubs of its buckets, as (leaf, hub)."""
-        pairs = self.members.select(F.col("node").alias("leaf"), F.explode(F.array_distinct("hubs")).alias("hub"))
-        return pairs.where("leaf <> hub").distinct()
+        """Each member with the two hubs of its buckets, as (leaf, hub)."""
+        met = self.members.groupBy("node").agg(F.sum("n").alias("met"))
+        hubs = self.members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("most"), F.min("node").alias("least"), F.first("n").alias("n"))
+        hubs = stored(hubs.select("bucket", "n", F.array("most.node", "least").alias("hubs")), "dup-hubs")
+        pairs = hot_join(self.members.select("bucket", "node"), hubs, ["bucket"], "n").select(F.col("node").alias("leaf"), F.explode(F.array_distinct("hubs")).alias("hub"))
+        return stored(pairs.where("leaf <> hub").distinct(), "dup-stars")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (leaf, hub) whose multisets are similar, as edges (a, b)."""
-        weights = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(self.nodes.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-        both = hot_join(pairs, weights, ["hub"], "n").join(self.nodes.select(F.col("node").alias("leaf"), "sig"), "leaf")
-        likely = stored(both.where(_agreement(F.col("sig"), F.col("hub_sig")) >= LIKELY).select("leaf", "hub"), "dup-likely")
-        ends = likely.select(F.col("leaf").alias("node")).unionByName(likely.select(F.col("hub").alias("node"))).distinct()
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """node and text (t) of the given nodes.
+
+        A Bloom filter of fixed size goes to the scan, so that few other texts are shuffled."""
         number = lambda at, size: F.conv(F.hex(F.substring("node", at, size)), 16, 10).cast("long")
         mask = F.lit(0).cast("long")
         for at in (5, 6, 7, 8):
             mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (number(at, 1) % 64).cast("int")))
         word = (number(1, 4) % WORDS).alias("word")
-        bloom = ends.select(word, mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
-        # Texts that pass the filter, WORDS rows at most, and no others, are shuffled.
+        bloom = nodes.select(word, mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
         some = self.texts.select("node", "t", word, mask.alias("mask")).join(F.broadcast(bloom), "word").where("bits & mask = mask").select("node", "t")
-        texts = stored(some.groupBy("node").agg(F.first("t").alias("t")).join(ends, "node", "left_semi"), "dup-texts")
+        return stored(some.groupBy("node").agg(F.first("t").alias("t")).join(nodes, "node", "left_semi"), "dup-texts")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (leaf, hub) whose multisets are similar, as edges (a, b)."""
+        weights = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(self.nodes.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+        both = hot_join(pairs, weights, ["hub"], "n").join(self.nodes.select(F.col("node").alias("leaf"), "sig"), "leaf")
+        likely = stored(both.where(_agreement(F.col("sig"), F.col("hub_sig")) >= LIKELY).select("leaf", "hub"), "dup-likely")
+        ends = likely.select(F.col("leaf").alias("node")).unionByName(likely.select(F.col("hub").alias("node"))).distinct()
+        texts = self._texts(ends)
         checked = likely.join(texts.select(F.col("node").alias("leaf"), F.col("t").alias("u")), "leaf").join(texts.select(F.col("node").alias("hub"), "t"), "hub")
         return checked.where(_similarity("u", "t") >= self.similar).select(F.col("leaf").alias("a"), F.col("hub").alias("b"))
 
     def crossing(self, labels: DataFrame) -> DataFrame:
-        """All pairs that share a bucket but no component."""
+        """All pairs that share a bucket but no component, and could be similar."""
         rows = self.members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        rows = stored(rows, "dup-open")
-        mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        rows = stored(rows.join(mixed, "bucket", "left_semi"), "dup-open")
-        other = rows.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-        return rows.join(other, "bucket").where("label < hub_label").select(F.col("node").alias("leaf"), "hub").distinct()
+        mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
+        rows = stored(hot_join(rows, stored(mixed, "dup-mixed"), ["bucket"], "n", "left_semi"), "dup-open")
+        sizes = rows.select("node").distinct().join(self.nodes.select("node", "size"), "node")
+        sizes = stored(sizes.join(self._alone(rows.select("node").distinct()), F.xxhash64("node") == F.col("id"), "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "dup-sizes")
+        # An overlap o of sizes a and b is similar if o >= s * (a + b - o); o is at most what either has in common with any other text.
+        rows = stored(rows.join(sizes.where(F.col("common") >= self.similar * F.col("size")), "node"), "dup-open")
+        other = rows.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), F.col("common").alias("hub_common"))
+        could = F.least("common", "hub_common", "size", "hub_size") * (1 + self.similar) >= self.similar * (F.col("size") + F.col("hub_size"))
+        pairs = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("label") < F.col("hub_label")) & could)
+        return stored(pairs.select(F.col("node").alias("leaf"), "hub").distinct(), "dup-crossing")
+
+    def _alone(self, nodes: DataFrame) -> DataFrame:
+        """id (a hash of the node) and alone: how many of a node's shingles no other of these nodes has."""
+
+        def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids = b.column(0).to_numpy()
+                data, offsets = utf8_view(b.column(1))
+                for i, j in pieces(offsets, 1 << 20):
+                    o, s, w = weighted(*_hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids[i:j][o]), pa.array(w.astype(np.int32))], names=["shingle", "id", "w"])
+
+        each = self._texts(nodes).select(F.xxhash64("node").alias("id"), "t").mapInArrow(shingled, "shingle long, id long, w int")
+        one = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("hi"), F.max("w").alias("w")).where("id = hi")
+        return one.groupBy("id").agg(F.sum("w").alias("alone"))
 
     def labels(self) -> DataFrame:
         """node and label of every text that is similar to another one."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import bounded_sample, fold_of, pieces, utf8_view
+from .common import bounded_sample, fold_of, pieces, short_batches, utf8_view
 
 #: At most about so many labelled documents are learned from.
 SAMPLE = 12_000
@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
     Only the sample's statistics reach the driver. The sampled labels (two numbers a row) are
     broadcast: `sample` bounds them."""
+    short_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.coalesce(fold_of(F.col("doc_id")) != 2, F.lit(False)))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = bounded_sample(known, F.col("doc_id"), sample)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, hot_join, stored
+from .common import bounded_sample, hot_join, short_batches, stored
 
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -108,6 +108,7 @@ def write(pages: DataFrame, words: bytes) -> DataFrame:
         if len(parts) > 1:
             yield made()
 
+    short_batches(pages.sparkSession)
     return stored(marked(pages).mapInArrow(build, "records long, content binary"), "warc")
 
 
