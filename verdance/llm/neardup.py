@@ -10,7 +10,7 @@ filled; a text with an empty slot starts again with twice the bound, which chang
 
 Groups. Distinct texts are nodes; equal slots of a band put nodes in one bucket. A bucket doesn't make
 all its pairs. Its members are compared with two of its nodes: the one that meets most others in
-all its buckets, and the least. Links are verified on the multisets themselves, and connected. Then
+all its buckets, and the least of those that meet half as many or more. Links are verified on the multisets themselves, and connected. Then
 the pairs that a bucket still holds in different components are compared, since a pair inside a
 component can't change it. A pair is left out only if it can't be similar: what a text shares with
 any other one is too little for the overlap that two texts of these sizes need. So no link that
@@ -184,7 +184,8 @@ class Groups:
     def stars(self) -> DataFrame:
         """Each member with the two hubs of its buckets, as (leaf, hub)."""
         met = self.members.groupBy("node").agg(F.sum("n").alias("met"))
-        hubs = self.members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("most"), F.min("node").alias("least"), F.first("n").alias("n"))
+        rank = F.struct(-F.floor(F.log2("met")), "node")  # among nodes that meet about as many, the same one leads most of their buckets
+        hubs = self.members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("most"), F.min_by("node", rank).alias("least"), F.first("n").alias("n"))
         hubs = stored(hubs.select("bucket", "n", F.array("most.node", "least").alias("hubs")), "dup-hubs")
         pairs = hot_join(self.members.select("bucket", "node"), hubs, ["bucket"], "n").select(F.col("node").alias("leaf"), F.explode(F.array_distinct("hubs")).alias("hub"))
         return stored(pairs.where("leaf <> hub").distinct(), "dup-stars")
