@@ -214,17 +214,17 @@ class Groups:
         return checked.where(_similarity("u", "t") >= self.similar).select(F.col("leaf").alias("a"), F.col("hub").alias("b"))
 
     def crossing(self, labels: DataFrame) -> DataFrame:
-        """All pairs that share a bucket but no component, and could be similar."""
+        """All pairs that share a bucket but no component, and could be similar by their sizes and signatures."""
         rows = self.members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
         rows = stored(hot_join(rows, stored(mixed, "dup-mixed"), ["bucket"], "n", "left_semi"), "dup-open")
-        sizes = rows.select("node").distinct().join(self.nodes.select("node", "size"), "node")
-        sizes = stored(sizes.join(self._alone(rows.select("node").distinct()), F.xxhash64("node") == F.col("id"), "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "dup-sizes")
+        sizes = rows.select("node").distinct().join(self.nodes.select("node", "size", "sig"), "node")
+        sizes = stored(sizes.join(self._alone(rows.select("node").distinct()), F.xxhash64("node") == F.col("id"), "left").select("node", "size", "sig", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "dup-sizes")
         # An overlap o of sizes a and b is similar if o >= s * (a + b - o); o is at most what either has in common with any other text.
         rows = stored(rows.join(sizes.where(F.col("common") >= self.similar * F.col("size")), "node"), "dup-open")
-        other = rows.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), F.col("common").alias("hub_common"))
+        other = rows.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), F.col("common").alias("hub_common"), F.col("sig").alias("hub_sig"))
         could = F.least("common", "hub_common", "size", "hub_size") * (1 + self.similar) >= self.similar * (F.col("size") + F.col("hub_size"))
-        pairs = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("label") < F.col("hub_label")) & could)
+        pairs = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("label") < F.col("hub_label")) & could & (_agreement(F.col("sig"), F.col("hub_sig")) >= LIKELY))
         return stored(pairs.select(F.col("node").alias("leaf"), "hub").distinct(), "dup-crossing")
 
     def _alone(self, nodes: DataFrame) -> DataFrame:
