@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import short_batches
 
 #: Entries of each of the two generations of the worker's memo of encoded words; results don't depend on it.
-MEMO = 250_000
+MEMO = 80_000
 #: Longer runs without a break are encoded each time they come.
 MEMO_CHARS = 40
 

@@ -30,7 +30,7 @@ def _power(base: int, n: int) -> np.ndarray:
         p[0] = 1
         with np.errstate(over="ignore"):
             np.multiply.accumulate(p, out=p)
-        if size <= 1 << 22:
+        if size <= 1 << 21:
             _powers[base] = p
     return p[:n]
 
