@@ -286,7 +286,11 @@ def violations(tree: Column) -> Column:
         ("number_on_other_type", lambda n: n["num_op"].isNotNull() & ~n["type"].isin(*MEASURABLE)),
         ("group_of_one", lambda n: n["kind"].isin("and", "or") & (n["arity"] < 2)),
     ]
-    return F.array_compact(F.array(*(F.when(F.exists(tree, lambda n, f=f: F.coalesce(f(n), F.lit(False))), F.lit(name)) for name, f in rules)))
+
+    def broken(rule: Callable[[Column], Column]) -> Column:
+        return F.exists(tree, lambda n: F.coalesce(rule(n), F.lit(False)))
+
+    return F.array_compact(F.array(*(F.when(broken(rule), F.lit(name)) for name, rule in rules)))
 
 
 # Rendering.

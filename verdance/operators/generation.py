@@ -110,7 +110,7 @@ def items(spark: SparkSession, levels: dict[int, Callable[[list, np.random.Gener
                 out.append((level, number, attempt, tree, record(tree, rng)))
             yield pd.DataFrame(out, columns=["level", "number", "attempt", "tree", "facts"])
 
-    grid = spark.range(per_level).select(F.explode(F.array(*map(F.lit, levels))).cast("int").alias("level"), F.col("id").alias("number"))
+    grid = spark.range(per_level).select(F.explode(F.array(*(F.lit(v).cast("int") for v in levels))).alias("level"), F.col("id").alias("number"))
     grid = grid.select("level", "number", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
     return grid.mapInPandas(made, ITEM).withColumn("gold", logic.is_met(F.col("tree"), as_map(F.col("facts"))))
 

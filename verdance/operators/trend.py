@@ -146,7 +146,7 @@ def _fitted(x: np.ndarray, n: np.ndarray, k: np.ndarray) -> dict:
     se, p0 = math.sqrt(var), right / total
     null = right * math.log(p0) + (total - right) * math.log(1 - p0)
     lr = max(0.0, 2 * (full - null))
-    return {"degenerate": False} | dict(zip(names, [a, b, se, math.exp(b), math.exp(b - Z95 * se), math.exp(b + Z95 * se), math.erfc(math.sqrt(lr / 2))]))
+    return {"degenerate": False} | dict(zip(names, map(float, [a, b, se, math.exp(b), math.exp(b - Z95 * se), math.exp(b + Z95 * se), math.erfc(math.sqrt(lr / 2))])))
 
 
 TREND = "n long, n_correct long, degenerate boolean, intercept double, slope double, se double, odds_ratio double, or_low double, or_high double, p_lr double"
@@ -189,5 +189,5 @@ def predicted(table: DataFrame, at: list[float]) -> DataFrame:
     """x and p of the logistic model of a table at the given x; no rows if there is no model."""
     rows = _collected(table)
     fit = fit_logistic(*(np.array([float(r[c]) for r in rows]) for c in ("x", "n", "k")))
-    out = [] if fit is None else [(float(v), 1 / (1 + math.exp(-(fit[0] + fit[1] * v)))) for v in at]
+    out = [] if fit is None else [(float(v), float(1 / (1 + math.exp(-(fit[0] + fit[1] * v))))) for v in at]
     return table.sparkSession.createDataFrame(out, "x double, p double")

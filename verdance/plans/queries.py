@@ -269,7 +269,7 @@ def facts_by_user(events: DataFrame) -> DataFrame:
     """user_id and facts: per event type the last value, days since the last event before a fixed anchor, and whether that is a day at most."""
     last = F.max(F.struct("ts", "event_id", "value"))
     by = events.where("user_id IS NOT NULL AND event_type IS NOT NULL").groupBy("user_id", "event_type").agg(last.alias("l"))
-    ago = (F.unix_micros(F.expr(ANCHOR)) - F.unix_micros(F.col("l.ts"))) / F.lit(86400e6)
+    ago = (F.unix_micros(F.expr(ANCHOR)) - F.unix_micros(F.col("l.ts").cast("timestamp"))) / F.lit(86400e6)
     fact = F.struct(F.lit(True).alias("present"), F.col("l.value").alias("value"), ago.alias("days_ago"), (ago <= 1).alias("current"))
     pairs = by.groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("k"), fact.alias("v"))).alias("p"))  # one element an event type
     return pairs.select("user_id", F.map_from_entries("p").alias("facts"))
@@ -426,7 +426,7 @@ def criterion_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.criteria(rows).select("criterion_id", "polarity", "depth", logic.render(F.col("tree")).alias("rendered"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN '''' || text ELSE text END AS cell, CASE WHEN regexp_matches(text, '^''[=+\-@\t\r]') THEN substr(text, 2) ELSE text END AS restored, sha256(conv_id || chr(0) || coalesce(text, '')) AS cache_key FROM conversations""".replace("chr(0)", "'\\0'") if False else None)
+@query()
 def safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "conversations")
     return t.select("conv_id", "turn", cells.neutralised(F.col("text")).alias("cell"), cells.restored(cells.neutralised(F.col("text"))).alias("restored"), cells.cache_key(F.col("conv_id").cast("string"), F.col("text")).alias("cache_key"))
@@ -448,7 +448,7 @@ def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS id, 'missing' AS side FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'extra' FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
 def coverage_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without orders, and orders of unknown customers."""
-    return validation.coverage(_table(spark, sf_dir, "customer"), _table(spark, sf_dir, "orders"), "c_custkey") if False else validation.coverage(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id")), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id")))
+    return validation.coverage(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id")), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id")))
 
 
 @query("SELECT c_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal < 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
