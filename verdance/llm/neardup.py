@@ -9,10 +9,11 @@ similarity. Points are made in order of time up to a bound by which every slot i
 filled; a text with an empty slot starts again with twice the bound, which changes no minimum.
 
 Groups. Distinct texts are nodes; equal slots of a band put nodes in one bucket. A bucket doesn't make
-all its pairs. Its members are compared with two of its nodes: the one that meets most others in
-all its buckets, and the least of those that meet half as many or more. Links are verified on the multisets themselves, and connected. Then
-the pairs that a bucket still holds in different components are compared, since a pair inside a
-component can't change it. A pair is left out only if it can't be similar: what a text shares with
+all its pairs. It has two hubs: the node that meets most others in all its buckets, and the least of
+those that meet half as many or more. Every node is compared with the best hub of either kind that it
+meets; links are verified on the multisets themselves, and connected. Nodes of buckets that still hold
+different components are compared with these buckets' hubs, and connected. Then the pairs that a bucket
+still holds in different components are compared, since a pair inside a component can't change it. A pair is left out only if it can't be similar: what a text shares with
 any other one is too little for the overlap that two texts of these sizes need. So no link that
 would join two classes is lost, and there is no cap.
 
@@ -181,14 +182,35 @@ class Groups:
         many = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-buckets")
         self.members = stored(hot_join(rows, many, ["bucket"], "n"), "dup-members")
 
-    def stars(self) -> DataFrame:
-        """Each member with the two hubs of its buckets, as (leaf, hub)."""
-        met = self.members.groupBy("node").agg(F.sum("n").alias("met"))
-        rank = F.struct(-F.floor(F.log2("met")), "node")  # among nodes that meet about as many, the same one leads most of their buckets
-        hubs = self.members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node")).alias("most"), F.min_by("node", rank).alias("least"), F.first("n").alias("n"))
-        hubs = stored(hubs.select("bucket", "n", F.array("most.node", "least").alias("hubs")), "dup-hubs")
-        pairs = hot_join(self.members.select("bucket", "node"), hubs, ["bucket"], "n").select(F.col("node").alias("leaf"), F.explode(F.array_distinct("hubs")).alias("hub"))
-        return stored(pairs.where("leaf <> hub").distinct(), "dup-stars")
+    def hubs(self, rows: DataFrame) -> DataFrame:
+        """Each of rows (bucket, node, n) with the two hubs of its bucket, as (leaf, rank, hub); rank is less for better hubs."""
+        met = rows.groupBy("node").agg(F.sum("n").alias("met"))
+        most = F.struct((-F.col("met")).alias("r"), F.col("node").alias("hub"))
+        least = F.struct((-F.floor(F.log2("met"))).alias("r"), F.col("node").alias("hub"))  # among nodes that meet about as many, the same one leads most of their buckets
+        each = rows.join(met, "node").groupBy("bucket").agg(F.min(most).alias("most"), F.min(least).alias("least"), F.first("n").alias("n"))
+        each = stored(each, "dup-hubs")
+        return hot_join(rows.select("bucket", "node"), each, ["bucket"], "n").select(F.col("node").alias("leaf"), "most", "least")
+
+    def first_stars(self) -> DataFrame:
+        """Each member with the best hub of either kind over all its buckets, as (leaf, hub)."""
+        best = lambda kind: F.min(F.when(F.col(f"{kind}.hub") != F.col("leaf"), F.col(kind)))["hub"]
+        ends = self.hubs(self.members).groupBy("leaf").agg(F.array(best("most"), best("least")).alias("hubs"))
+        return stored(ends.select("leaf", F.explode(F.array_distinct(F.array_compact("hubs"))).alias("hub")), "dup-stars")
+
+    def open_rows(self, labels: DataFrame) -> DataFrame:
+        """The members (bucket, node, label, n) of buckets that hold more than one component; n counts the bucket's members."""
+        rows = self.members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
+        return stored(hot_join(rows, stored(mixed, "dup-mixed"), ["bucket"], "n"), "dup-open")
+
+    def stars(self, labels: DataFrame) -> DataFrame:
+        """Each member of an open bucket with both hubs of all its open buckets, where they are of another component."""
+        rows = self.open_rows(labels)
+        pairs = self.hubs(rows).select("leaf", F.explode(F.array_distinct(F.array("most.hub", "least.hub"))).alias("hub")).where("leaf <> hub").distinct()
+        of = stored(rows.select("node", "label").distinct(), "dup-of")
+        weights = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(of.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
+        both = hot_join(pairs, weights, ["hub"], "n").join(of.withColumnRenamed("node", "leaf"), "leaf")
+        return stored(both.where("label <> hub_label").select("leaf", "hub"), "dup-stars")
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """node and text (t) of the given nodes.
@@ -215,9 +237,7 @@ class Groups:
 
     def crossing(self, labels: DataFrame) -> DataFrame:
         """All pairs that share a bucket but no component, and could be similar by their sizes and signatures."""
-        rows = self.members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
-        rows = stored(hot_join(rows, stored(mixed, "dup-mixed"), ["bucket"], "n", "left_semi"), "dup-open")
+        rows = self.open_rows(labels).drop("n")
         sizes = rows.select("node").distinct().join(self.nodes.select("node", "size", "sig"), "node")
         sizes = stored(sizes.join(self._alone(rows.select("node").distinct()), F.xxhash64("node") == F.col("id"), "left").select("node", "size", "sig", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "dup-sizes")
         # An overlap o of sizes a and b is similar if o >= s * (a + b - o); o is at most what either has in common with any other text.
@@ -244,10 +264,14 @@ class Groups:
 
     def labels(self) -> DataFrame:
         """node and label of every text that is similar to another one."""
-        edges = stored(self.verified(self.stars()), "dup-links")
+        edges = stored(self.verified(self.first_stars()), "dup-links")
         labels = components(edges)
-        more = stored(self.verified(self.crossing(labels)), "dup-links")
-        return components(edges.unionByName(more)) if more.limit(1).count() else labels
+        for pairs in (self.stars, self.crossing):
+            more = stored(self.verified(pairs(labels)), "dup-links")
+            if more.limit(1).count():
+                edges = edges.unionByName(more)
+                labels = components(edges)
+        return labels
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
