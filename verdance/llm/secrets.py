@@ -5,8 +5,9 @@ encodings is a candidate. Its encoding is inferred from the characters it has, a
 at it: a chi-squared test of a uniform alphabet, a Wald-Wolfowitz runs test about the middle of the
 alphabet, and a serial correlation test of neighbours. The runs and correlation tests must not
 reject chance (two-sided, level ALPHA). For the chi-squared statistic the null hypothesis is text:
-symbols as uneven as TEXT_EXCESS says, so that the statistic is noncentral with a noncentrality
-that grows with the length; p is the chance that text looks as uniform. Benjamini-Hochberg control
+symbols as uneven as TEXT_EXCESS says for the encoding, so that the statistic is noncentral with a
+noncentrality that grows with the length; p is the chance that text looks as uniform (the cube root
+of the statistic is all but normal). Benjamini-Hochberg control
 at level FDR then runs over all candidates of the corpus, by encoding and length class, since short
 candidates can tell less and are far more numerous. p-values are binned, so the counts that the
 control needs are a small table whatever the input.
@@ -44,8 +45,28 @@ ENCODINGS = [
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("any", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 ]
-#: Excess of text over a uniform alphabet: the sum of squared shares times the alphabet's size, less 1.
-TEXT_EXCESS = 1.2
+#: Text in an encoding: the sum of squared shares of English letters, and the shares of capitals among letters of both
+#: cases, of digits, and of one separator, where the alphabet has them.
+LETTERS, CAPITALS, DIGITS, SEPARATORS = 0.0655, 1 / 6, 0.1, 1 / 7
+#: Digits and hexadecimal digits have no letter statistics; their text is taken to be this uneven.
+NUMERIC_EXCESS = 1.2
+
+
+def _text_excess(alphabet: str) -> float:
+    """Excess of text over a uniform alphabet: the sum of squared shares times the alphabet's size, less 1."""
+    upper, lower = "Z" in alphabet, "z" in alphabet
+    if not upper and not lower:
+        return NUMERIC_EXCESS
+    n_digits = sum(c.isdigit() for c in alphabet)
+    digits = DIGITS if n_digits else 0.0
+    separators = SEPARATORS if "/" in alphabet or "_" in alphabet else 0.0
+    cases = CAPITALS**2 + (1 - CAPITALS) ** 2 if upper and lower else 1.0
+    squares = (1 - digits - separators) ** 2 * LETTERS * cases + digits**2 / max(1, n_digits) + separators**2
+    return len(alphabet) * squares - 1
+
+
+#: Of each encoding, 0.70 (lower) to 2.20 (any).
+TEXT_EXCESS = {name: _text_excess(alphabet) for name, alphabet in ENCODINGS}
 ALPHA, FDR = 0.01, 0.05
 #: p-values are binned by their logarithm; the last bin holds all that are smaller.
 BINS_PER_DECADE, LAST_BIN = 10, 400
@@ -99,13 +120,13 @@ def tested(token: Column) -> Column:
     def encoded(core: Column) -> Column:
         out = None
         for name, alphabet in reversed(ENCODINGS):
-            item = F.struct(F.lit(name).alias("encoding"), F.lit(float(len(alphabet))).alias("k"), _codes(core, alphabet).alias("codes"))
+            item = F.struct(F.lit(name).alias("encoding"), F.lit(float(len(alphabet))).alias("k"), F.lit(TEXT_EXCESS[name]).alias("excess"), _codes(core, alphabet).alias("codes"))
             out = item if out is None else F.when(F.translate(core, alphabet, "") == "", item).otherwise(out)
         return _let(out, counted)
 
     def counted(x: Column) -> Column:
         codes = F.filter(x["codes"], lambda c: c > 0)
-        return _let(F.struct(x["encoding"].alias("encoding"), x["k"].alias("k"), (x["k"] / 2 + 0.5).alias("middle"), codes.alias("codes"), F.size(codes).cast("double").alias("n")), measured)
+        return _let(F.struct(x["encoding"].alias("encoding"), x["k"].alias("k"), x["excess"].alias("excess"), (x["k"] / 2 + 0.5).alias("middle"), codes.alias("codes"), F.size(codes).cast("double").alias("n")), measured)
 
     def measured(x: Column) -> Column:
         high = lambda c: c > x["middle"]
@@ -116,7 +137,7 @@ def tested(token: Column) -> Column:
             F.struct(F.get(x["codes"], F.lit(0)).alias("last"), F.lit(1.0).alias("runs"), F.lit(0.0).alias("lagged")),
             lambda acc, c: F.struct(c.alias("last"), (acc["runs"] + F.when(high(c) != high(acc["last"]), 1.0).otherwise(0.0)).alias("runs"), (acc["lagged"] + from_middle(c) * from_middle(acc["last"])).alias("lagged")),
         )
-        stats = F.struct(x["encoding"].alias("encoding"), x["k"].alias("k"), x["n"].alias("n"), (x["k"] * squares / x["n"] - x["n"]).alias("chi"), F.size(F.filter(x["codes"], high)).cast("double").alias("above"), walk.alias("walk"))
+        stats = F.struct(x["encoding"].alias("encoding"), x["k"].alias("k"), x["excess"].alias("excess"), x["n"].alias("n"), (x["k"] * squares / x["n"] - x["n"]).alias("chi"), F.size(F.filter(x["codes"], high)).cast("double").alias("above"), walk.alias("walk"))
         return _let(stats, judged)
 
     def judged(x: Column) -> Column:
@@ -125,8 +146,10 @@ def tested(token: Column) -> Column:
         spread = F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9))
         runs_z = (x["walk"]["runs"] - expected) / F.sqrt(spread)
         serial_z = x["walk"]["lagged"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
-        shift = n * TEXT_EXCESS
-        text_z = (x["chi"] - (k - 1) - shift) / F.sqrt(2 * (k - 1 + 2 * shift))
+        shift = (n - 1) * x["excess"]
+        mean = k - 1 + shift
+        spread_root = 2 * (1 + shift / mean) / (9 * mean)
+        text_z = (F.cbrt(F.greatest(x["chi"], F.lit(0.0)) / mean) - 1 + spread_root) / F.sqrt(spread_root)
         chance = (expected > 2.5) & (two_sided(runs_z) >= ALPHA) & (two_sided(serial_z) >= ALPHA)
         p = F.when(chance, _normal_below(text_z)).otherwise(1.0)
         bin_ = F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS_PER_DECADE)
