@@ -74,6 +74,18 @@ def test_neardup_is_the_closure_of_all_pairs(rows, docs):
     assert neardup.classes(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("sizes", [(35, 28), (70, 56), (115, 92)])
+def test_crossing_keeps_pairs_of_similarity_exactly_the_bound(spark, sizes):
+    words = [f"w{i}" for i in range(sizes[0] + 4)]
+    texts = [" ".join(words), " ".join(words[: sizes[1] + 4])]
+    groups = neardup.Groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["size"] for r in groups.nodes.collect()) == sorted(sizes)
+    # One bucket for both, whatever their signatures: the bounds of the last step alone are at stake.
+    groups.members = groups.nodes.select("node", F.lit(1).cast("long").alias("bucket"), F.lit(2).cast("long").alias("n"))
+    pairs = groups.crossing(spark.createDataFrame([], "node binary, label binary"))
+    assert pairs.count() == 1 and groups.verified(pairs).count() == 1
+
+
 def test_bagminhash_estimates_weighted_jaccard():
     import numpy as np
 

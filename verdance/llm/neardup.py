@@ -40,6 +40,8 @@ BANDS, ROWS = 24, 6
 SLOTS = BANDS * ROWS
 #: Pairs whose signatures agree in less than this share of slots are not similar: six standard deviations below SIMILAR.
 LIKELY = 0.6
+#: Bounds from sizes are lower by this share of the sizes, so that rounding drops no pair of similarity exactly SIMILAR.
+SLACK = 1e-9
 #: Words of 64 bits of the Bloom filter of nodes whose texts are needed: 2 MB.
 WORDS = 1 << 18
 _U = np.uint64
@@ -241,9 +243,9 @@ class Groups:
         sizes = rows.select("node").distinct().join(self.nodes.select("node", "size", "sig"), "node")
         sizes = stored(sizes.join(self._alone(rows.select("node").distinct()), F.xxhash64("node") == F.col("id"), "left").select("node", "size", "sig", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "dup-sizes")
         # An overlap o of sizes a and b is similar if o >= s * (a + b - o); o is at most what either has in common with any other text.
-        rows = stored(rows.join(sizes.where(F.col("common") >= self.similar * F.col("size")), "node"), "dup-open")
+        rows = stored(rows.join(sizes.where(F.col("common") >= (self.similar - SLACK) * F.col("size")), "node"), "dup-open")
         other = rows.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), F.col("common").alias("hub_common"), F.col("sig").alias("hub_sig"))
-        could = F.least("common", "hub_common", "size", "hub_size") * (1 + self.similar) >= self.similar * (F.col("size") + F.col("hub_size"))
+        could = F.least("common", "hub_common", "size", "hub_size") * (1 + self.similar) >= (self.similar - SLACK) * (F.col("size") + F.col("hub_size"))
         pairs = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("label") < F.col("hub_label")) & could & (_agreement(F.col("sig"), F.col("hub_sig")) >= LIKELY))
         return stored(pairs.select(F.col("node").alias("leaf"), "hub").distinct(), "dup-crossing")
 
