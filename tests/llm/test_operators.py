@@ -283,3 +283,16 @@ def test_quality_and_language_on_held_out_rows(spark):
     assert {x["doc_id"]: x["lang_pred"] for x in told if x["doc_id"] >= 900} == {900: "und", 901: "und", 902: "und"}
     nothing = language.predict_documents(df, language.fit(df.limit(0))).collect()
     assert all(x["lang_pred"] == "und" for x in nothing)
+
+
+def test_rare_languages_are_learned(spark):
+    r = random.Random(8)
+    text = lambda letters: " ".join("".join(r.choice(letters) for _ in range(6)) for _ in range(60))
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx"}
+    rows = [(i, text(letters[lang]), lang) for i in range(1200) for lang in ["cc" if i % 100 == 7 else "aa" if i % 2 else "bb"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.fit(df, 20)
+    assert net.classes == ["aa", "bb", "cc"]
+    told = language.predict_documents(df, net).collect()
+    assert sum(x["lang_pred"] == rows[x["doc_id"]][2] for x in told) / len(told) > 0.95
+    assert sum(x["lang_pred"] == "cc" for x in told if x["doc_id"] % 100 == 7) >= 10

@@ -2,7 +2,7 @@
 
 Bytes are embedded; filters of several widths run over fixed-length windows; each filter's maximum
 over a window feeds a softmax. A text's windows tile all of it, and the mean of their logits
-decides. Learning uses a bounded sample of labelled texts; every text is scored whole.
+decides. Learning uses a bounded sample of the labelled texts of every language; every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; with nothing to learn
 from, every text is `und` with score 0; equal texts get equal predictions."""
@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold_of, pieces, short_batches, utf8_view
+from .common import fold_of, pieces, short_batches, utf8_view
 
 UNKNOWN = "und"
 #: Bytes of a window; the last one of a text is filled up with zero bytes.
 WINDOW = 256
 #: At most about so many labelled texts are learned from, and so many windows of each.
 SAMPLE, WINDOWS_EACH = 2000, 3
+#: A language gets its share of SAMPLE, but about so many texts at least, or all that it has; so rare ones are learned too.
+TEXTS_EACH = 100
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
 SPAN = max(WIDTHS)
 
@@ -114,13 +116,27 @@ class Network:
                     p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
+def _sampled(known: DataFrame, sample: int) -> DataFrame:
+    """The rows of known whose hash of doc_id is lowest in their lang: about its share of `sample`, TEXTS_EACH at least."""
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    limits = []
+    for lang, n in sorted(counts.items()):
+        share = min(1.0, max(sample / total, TEXTS_EACH / n))
+        limits += [F.lit(lang), F.lit(int(share * (1 << 30)))]
+    if not limits:
+        return known
+    return known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.element_at(F.create_map(*limits), F.col("lang")))
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network learned from about `sample` texts with a non-null lang outside the held-out fold; None if there are none.
+    """A network learned from texts with a non-null lang outside the held-out fold; None if there are none.
 
-    The sample is drawn by a hash of the id, and only WINDOWS_EACH windows of each text reach the driver."""
+    It knows every language of those texts. The sample is drawn by a hash of the id within each language: about `sample`
+    texts, and up to TEXTS_EACH more for each language; only WINDOWS_EACH windows of each text reach the driver."""
     short_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold_of(F.col("doc_id")) != 2, F.lit(False)))
-    chosen = bounded_sample(known.select("lang", "text", "doc_id"), F.col("doc_id"), sample)
+    chosen = _sampled(known.select("lang", "text", "doc_id"), sample)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
