@@ -41,3 +41,12 @@ def test_query(spark, duck, name):
     assert sorted(names) == sorted(df.columns)
     want = cur.fetchall()
     assert plain(rows, df.columns) == plain(want, names)
+
+
+def test_simulations_have_the_operators_replicates(spark, monkeypatch):
+    assert queries.QUERIES["permutation_trend"](spark, SF).collect()[0]["n_permutations"] == 20_000
+    assert 2000 < queries.QUERIES["kappa_interval"](spark, SF).collect()[0]["n_draws"] <= 5000
+    given = []
+    monkeypatch.setattr(queries.trend, "item_trend", lambda table, **more: given.append(more))
+    queries.QUERIES["item_trend"](spark, SF)
+    assert given == [{}]

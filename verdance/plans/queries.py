@@ -165,7 +165,7 @@ def linear_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.permutation_test(_levels(spark, sf_dir), replicates=2000)
+    return trend.permutation_test(_levels(spark, sf_dir))
 
 
 @query()
@@ -176,7 +176,7 @@ def level_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def item_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logistic trend of correctness over document size, with a permutation test."""
-    return trend.item_trend(_levels(spark, sf_dir), replicates=2000)
+    return trend.item_trend(_levels(spark, sf_dir))
 
 
 @query()
@@ -248,7 +248,7 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kappa_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agreement.kappa_interval(agreement.aligned(*_annotators(spark, sf_dir)), replicates=2000)
+    return agreement.kappa_interval(agreement.aligned(*_annotators(spark, sf_dir)))
 
 
 # Trees over facts: what each user's events say by the end of the table.
