@@ -11,12 +11,14 @@ that do not form UTF-8 decode to the replacement character."""
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 import sys
 import unicodedata
+import zlib
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +29,20 @@ from pyspark.sql import types as T
 from .common import short_batches
 
 #: Entries of each of the two generations of the worker's memo of encoded words; results don't depend on it.
-MEMO = 80_000
+MEMO = 60_000
 #: Longer runs without a break are encoded each time they come.
 MEMO_CHARS = 40
 
 
-def vocabulary(path: str) -> dict:
-    """The vocabulary file at `path` (the library's JSON format) as small plain values for a broadcast."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def packed(path: str) -> bytes:
+    """The vocabulary file at `path` (the library's JSON format), compressed for a broadcast."""
+    with open(path, "rb") as f:
+        return zlib.compress(f.read())
+
+
+def vocabulary(data: bytes) -> dict:
+    """Ids, merges and special tokens of a packed vocabulary file."""
+    spec = json.loads(zlib.decompress(data))
     model = spec["model"]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     return {"ids": model["vocab"], "merges": merges, "special": {t["content"]: t["id"] for t in spec["added_tokens"]}}
@@ -51,11 +58,11 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def _class_of(kinds: str) -> str:
-    """A character class of the code points whose Unicode category starts with a letter of kinds."""
+def _class_of(kinds: str, last: int) -> str:
+    """A character class of the code points up to `last` whose Unicode category starts with a letter of kinds."""
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in kinds
+    for c in range(last + 2):
+        inside = c <= last and unicodedata.category(chr(c))[0] in kinds
         if inside and start is None:
             start = c
         elif not inside and start is not None:
@@ -64,13 +71,23 @@ def _class_of(kinds: str) -> str:
     return "".join(out)
 
 
-def word_pattern() -> re.Pattern:
-    """Splits text before merging: contractions, letters, numbers and other runs, each with one space before it, and white space."""
-    letters, numbers = _class_of("L"), _class_of("N")
-    space = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+def word_pattern(last: int = sys.maxunicode) -> re.Pattern:
+    """Splits text before merging: contractions, letters, numbers and other runs, each with one space before it, and white space.
+
+    For texts whose code points are `last` at most: the shorter the classes are, the faster they are."""
+    letters, numbers = _class_of("L", last), _class_of("N", last)
+    space = "\\t-\\r \\x85\\xa0" + ("" if last < 256 else "\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000")
     return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Codec(dict):
     """Encoder and decoder of one vocabulary; as a dict, the memo from a word to its ids as bytes."""
 
@@ -81,7 +98,9 @@ class Codec(dict):
         letters = byte_letters()
         byte_of = {x: b for b, x in enumerate(letters)}
         self.first = [ids[x] for x in letters]
-        self.ranks = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(vocab["merges"])}
+        # By pair of ids, the merge's rank; by rank, the id that it makes.
+        self.rank_of = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(vocab["merges"])}
+        self.made = [ids[a + b] for a, b in vocab["merges"]]
         self.special = vocab["special"]
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.strings = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
@@ -89,12 +108,12 @@ class Codec(dict):
             self.strings[k] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         for token, k in self.special.items():
             self.strings[k] = token.encode()
-        self.find = word_pattern().findall
+        self.find_latin, self.find_any = word_pattern(255).findall, word_pattern().findall
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            ids = np.array(self.merged(word.encode()), "<u4").tobytes()
+            ids = array("I", self.merged(word.encode())).tobytes()
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.older = dict(self)
@@ -103,47 +122,53 @@ class Codec(dict):
         return ids
 
     def merged(self, word: bytes) -> list[int]:
-        first, ranks = self.first, self.ranks
-        symbols = [first[b] for b in word]
+        """The ids of a word's bytes. ranks[i] is the rank of symbol i with the one after it; a queue entry that says
+        another one is stale."""
+        symbols = [self.first[b] for b in word]
         n = len(symbols)
-        if n < 2:
+        rank_of, made, none = self.rank_of.get, self.made, len(self.made)
+        ranks = [rank_of(pair, none) for pair in zip(symbols, symbols[1:])]
+        queue = [r * n + i for i, r in enumerate(ranks) if r < none]
+        if not queue:
             return symbols
-        following, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = []
-        for i in range(n - 1):
-            hit = ranks.get((symbols[i], symbols[i + 1]))
-            if hit:
-                queue.append((hit[0], i, symbols[i], symbols[i + 1], hit[1]))
-        heapq.heapify(queue)
+        ranks.append(none)
+        heapify(queue)
+        following, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         while queue:
-            _, i, a, b, made = heapq.heappop(queue)
-            j = following[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
+            r, i = divmod(heappop(queue), n)
+            if ranks[i] != r:
                 continue  # stale
-            symbols[i], symbols[j] = made, -1
+            j = following[i]
             k = following[i] = following[j]
-            if k >= 0:
+            s = symbols[i] = made[r]
+            symbols[j], ranks[j] = -1, none
+            if k < n:
                 before[k] = i
-                hit = ranks.get((made, symbols[k]))
-                if hit:
-                    heapq.heappush(queue, (hit[0], i, made, symbols[k], hit[1]))
+                ranks[i] = r = rank_of((s, symbols[k]), none)
+                if r < none:
+                    heappush(queue, r * n + i)
+            else:
+                ranks[i] = none
             h = before[i]
             if h >= 0:
-                hit = ranks.get((symbols[h], made))
-                if hit:
-                    heapq.heappush(queue, (hit[0], h, symbols[h], made, hit[1]))
+                ranks[h] = r = rank_of((symbols[h], s), none)
+                if r < none:
+                    heappush(queue, r * n + h)
         return [s for s in symbols if s >= 0]
 
+    def _words(self, text: str) -> list[str]:
+        return self.find_latin(text) if text.isascii() or _latin(text) else self.find_any(text)
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if self.split is None or not self.split.search(text):
-            return b"".join(map(self.__getitem__, self.find(text)))
+            return b"".join(map(self.__getitem__, self._words(text)))
         out, at = [], 0
         for m in self.split.finditer(text):
-            out += map(self.__getitem__, self.find(text[at : m.start()]))
+            out += map(self.__getitem__, self._words(text[at : m.start()]))
             out.append(self.special[m[0]].to_bytes(4, "little"))
             at = m.end()
-        out += map(self.__getitem__, self.find(text[at:]))
+        out += map(self.__getitem__, self._words(text[at:]))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -159,13 +184,13 @@ DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("i
 def coder(spark: SparkSession, path: str, digest: bool = False):
     """A Column function from a text to its ids (bytes) and their decoded text, or to the digests of both.
 
-    The vocabulary, of fixed size, is broadcast; each Python worker builds its tables once."""
+    The packed vocabulary, of fixed size, is broadcast; each Python worker builds its tables once."""
     short_batches(spark)
-    sent, name = spark.sparkContext.broadcast(vocabulary(path)), path
+    sent, name = spark.sparkContext.broadcast(packed(path)), path
 
     @F.arrow_udf(DIGEST if digest else RESULT)
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codecs.get(name) or _codecs.setdefault(name, Codec(sent.value))
+        codec = _codecs.get(name) or _codecs.setdefault(name, Codec(vocabulary(sent.value)))
         for batch in batches:
             ids, texts, hashes, sizes = [], [], [], []
             for x in batch:
