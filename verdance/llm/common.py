@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,22 +20,35 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode one of our own where it is unset;
+    on a cluster that is an error, since executors don't see each other's folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='verdance-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, *partition: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a new Parquet folder in the shared folder and returns what it reads back.
 
     Cuts lineage: a lost executor costs the tasks that read its splits, not the work before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that stored() returned and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -58,6 +72,20 @@ def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, how:
     return near.unionByName(far)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__vd_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_md5(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
@@ -67,12 +95,16 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
-    """About `bound` rows of df, all of it if it has no more: those whose hash of key is lowest."""
+def bounded_sample(df: DataFrame, key: list[str], bound: int) -> DataFrame:
+    """The `bound` rows of df whose hash of the columns key is lowest, all of it if it has no more."""
     n = df.count()
     if n <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+    h = unused(df, "hash")
+    hashed = df.withColumn(h, F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(1 << 40)))
+    few = hashed.where(F.col(h) < int(4 * bound / n * (1 << 40)))
+    enough = few.limit(bound).count() == bound  # not so where many rows are alike in key
+    return (few if enough else hashed).orderBy(h).limit(bound).drop(h)
 
 
 def utf8_view(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:

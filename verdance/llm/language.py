@@ -13,19 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, pieces, short_batches, utf8_view
+from .common import fold_of, pieces, short_batches, unused, utf8_view
 
 UNKNOWN = "und"
 #: Bytes of a window; the last one of a text is filled up with zero bytes.
 WINDOW = 256
-#: At most about so many labelled texts are learned from, and so many windows of each.
-SAMPLE, WINDOWS_EACH = 2000, 3
-#: A language gets its share of SAMPLE, but about so many texts at least, or all that it has; so rare ones are learned too.
-TEXTS_EACH = 100
+#: So many labelled texts are learned from. A language gets its share of them, but TEXTS_EACH at least, or all that it has;
+#: so rare ones are learned too.
+SAMPLE, TEXTS_EACH = 600, 100
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
 SPAN = max(WIDTHS)
 
@@ -77,7 +76,7 @@ class Network:
 
     def pooled(self, rows: np.ndarray) -> np.ndarray:
         out = np.empty((len(rows), self.mask.shape[1]), np.float32)
-        for i in range(0, len(rows), 32):
+        for i in range(0, len(rows), 32):  # so few that their columns stay in the cache
             out[i : i + 32] = (self.columns(rows[i : i + 32]) @ self.p["filters"]).max(axis=1)
         return np.maximum(out + self.p["bias"], 0)
 
@@ -117,43 +116,36 @@ class Network:
 
 
 def _sampled(known: DataFrame, sample: int) -> DataFrame:
-    """The rows of known whose hash of doc_id is lowest in their lang: about its share of `sample`, TEXTS_EACH at least."""
+    """lang and text of the rows of known whose hash of doc_id and text is lowest in their lang: its share of `sample`, TEXTS_EACH at least."""
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
-    limits = []
-    for lang, n in sorted(counts.items()):
-        share = min(1.0, max(sample / total, TEXTS_EACH / n))
-        limits += [F.lit(lang), F.lit(int(share * (1 << 30)))]
-    if not limits:
-        return known
-    return known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.element_at(F.create_map(*limits), F.col("lang")))
+    if not total:
+        return known.select("lang", "text")
+    quota = {lang: min(n, max(-(-sample * n // total), TEXTS_EACH)) for lang, n in counts.items()}
+    per_lang = lambda values: F.element_at(F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv)), F.col("lang"))
+    hashed = known.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 40)).alias("h"))
+    few = hashed.where(F.col("h") <= per_lang({lang: min(1 << 40, 4 * q * (1 << 40) // counts[lang]) for lang, q in quota.items()}))
+    got = {r["lang"]: r["n"] for r in few.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if any(got.get(lang, 0) < q for lang, q in quota.items()):  # many rows of a language are alike
+        few = hashed
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= per_lang(quota)).select("lang", "text")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network learned from texts with a non-null lang outside the held-out fold; None if there are none.
 
-    It knows every language of those texts. The sample is drawn by a hash of the id within each language: about `sample`
-    texts, and up to TEXTS_EACH more for each language; only WINDOWS_EACH windows of each text reach the driver."""
+    It knows every language of those texts, and learns from all windows of the sampled ones (_sampled), which are what
+    reaches the driver."""
     short_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold_of(F.col("doc_id")) != 2, F.lit(False)))
-    chosen = _sampled(known.select("lang", "text", "doc_id"), sample)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, of = windows_of(*utf8_view(b.column(1)))
-            begin = np.searchsorted(of, np.arange(b.num_rows))
-            n = np.bincount(of, minlength=b.num_rows)
-            keep = np.unique(np.concatenate([begin + n * k // WINDOWS_EACH for k in range(WINDOWS_EACH)])) if b.num_rows else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[keep])), pa.array([r.tobytes() for r in rows[keep]], pa.binary())], names=["lang", "bytes"])
-
-    got = chosen.select("lang", "text").mapInArrow(cut, "lang string, bytes binary").collect()
+    got = sorted((r["lang"], r["text"]) for r in _sampled(known, sample).collect())
     if not got:
         return None
-    got.sort(key=lambda r: (r[0], bytes(r[1])))
-    classes = sorted({r[0] for r in got})
-    net = Network(classes)
-    number = {c: i for i, c in enumerate(classes)}
-    net.train(np.frombuffer(b"".join(bytes(r[1]) for r in got), np.uint8).reshape(-1, WINDOW), np.array([number[r[0]] for r in got]))
+    classes = sorted({lang for lang, _ in got})
+    net, number = Network(classes), {c: i for i, c in enumerate(classes)}
+    rows, of = windows_of(*utf8_view(pa.array([text for _, text in got], pa.large_string())))
+    net.train(rows, np.array([number[lang] for lang, _ in got])[of])
     return net
 
 
@@ -167,7 +159,7 @@ def predicted(text: Column, net: Network | None) -> Column:
         for batch in batches:
             data, offsets = utf8_view(batch)
             best, score = np.zeros(len(batch), int), np.zeros(len(batch))
-            for i, j in pieces(offsets, 1 << 20):
+            for i, j in pieces(offsets, 1 << 18):
                 rows, of = windows_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 logits = np.zeros((j - i, len(net.classes)))
                 np.add.at(logits, of, net.logits(rows))
@@ -193,5 +185,6 @@ def predict_documents(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def reject(docs: DataFrame, net: Network | None, least: float = 0.5) -> DataFrame:
     """docs without the rows whose language is unknown or scored below `least`; all columns stay."""
-    kept = docs.withColumn("__vd_lang", predicted(F.col("text"), net))
-    return kept.where((F.col("__vd_lang.lang_pred") != UNKNOWN) & (F.col("__vd_lang.score") >= least)).drop("__vd_lang")
+    name = unused(docs, "lang")
+    kept = docs.withColumn(name, predicted(F.col("text"), net))
+    return kept.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).drop(name)

@@ -116,11 +116,9 @@ class Trees:
 
 def grow(x: np.ndarray, y: np.ndarray) -> Trees:
     """Boosts log-loss; each level of a tree is chosen from histograms of gradients over binned statistics."""
-    share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
-        trees = Trees(0.0)
-        trees.base = 0.0 if not len(y) else (20.0 if share == 1 else -20.0)
-        return trees
+    if not len(y) or y.min() == y.max():
+        return Trees(0.0 if not len(y) else 20.0 if y[0] else -20.0)
+    share = float(y.mean())
     trees = Trees(float(np.log(share / (1 - share))))
     edges = [np.unique(np.quantile(x[:, f], np.arange(1, BINS) / BINS)) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)], axis=1)
@@ -166,22 +164,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     short_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & F.coalesce(fold_of(F.col("doc_id")) != 2, F.lit(False)))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = bounded_sample(known, F.col("doc_id"), sample)
+    chosen = bounded_sample(known, ["doc_id"], sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in _measured(b.column(0)):
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "h", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(measure, "quality int, x binary").collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in rows)).reshape(-1, len(FEATURES))
-    return grow(x, np.array([r[0] for r in rows], float))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id", "text").alias("h"))
+    # An id may have many rows.
+    got = rows.mapInArrow(measure, "quality int, h long, x binary").orderBy("h", "quality", "x").limit(sample).collect()
+    got.sort(key=lambda r: (r["quality"], bytes(r["x"])))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got)).reshape(-1, len(FEATURES))
+    return grow(x, np.array([r["quality"] for r in got], float))
 
 
 def _measured(texts: pa.Array) -> Iterator[np.ndarray]:
     data, offsets = utf8_view(texts)
-    out = [statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets, 1 << 20)]
+    out = [statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets, 1 << 18)]
     if out:
         yield np.concatenate(out)
 

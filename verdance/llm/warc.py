@@ -1,8 +1,10 @@
 """WARC archives whose records are compressed one by one with a Zstandard dictionary.
 
 The dictionary is built from a bounded sample of the records and stands in a skippable frame at the
-head of each archive; every record is a frame of its own, so one can be read by its offset. A record
-whose payload another one archives is written as a revisit of it, without the payload.
+head of each archive; every record is a frame of its own, so one can be read by its offset. A record's
+block is an HTTP response; one whose payload another record archives is written as a revisit of it,
+without the payload. Where records are too few or too much alike for Zstandard's dictionary builder,
+the sample itself is the dictionary.
 
 Defined cases: a null html counts as empty; equal payloads are archived once, under the largest
 page_id that has them; rows that repeat that page_id and payload are responses too; a null page_id is
@@ -26,10 +28,12 @@ from .common import bounded_sample, hot_join, short_batches, stored
 
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
-#: The dictionary's size, and the sample it is built from: about so many records, of so many bytes each.
+#: The dictionary's size, and the sample it is built from: so many records or parts of long ones, of so many bytes at most.
 DICTIONARY, SAMPLE, SAMPLE_BYTES = 64 << 10, 1500, 16 << 10
 #: An archive ends with the record that brings it to so many bytes.
 ARCHIVE = 4 << 20
+#: Bytes of an archive that are decompressed at once.
+PIECE = 4 << 10
 LEVEL = 3
 
 
@@ -38,40 +42,41 @@ def digest(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record; with refers_to, a revisit, whose block is empty."""
+    """One WARC/1.1 record; with refers_to, a revisit, whose block has no payload."""
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c.isprintable() else "%{:02X}".format(ord(c)) for c in url))
     head.append(f"WARC-Payload-Digest: sha1:{payload_digest}")
-    if refers_to is not None:
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if refers_to is None:
+        block += payload
+    else:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-        payload = b""
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Fields and block of a record."""
+    """Fields and payload of a record; a revisit's payload is empty."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    if rest[len(block) :] != b"\r\n\r\n":
+    n = int(fields["Content-Length"])
+    if rest[n:] != b"\r\n\r\n":
         raise ValueError("a record doesn't end where it says")
-    return fields, block
+    return fields, rest[rest.index(b"\r\n\r\n") + 4 : n]
 
 
 def dictionary(pages: DataFrame) -> bytes:
-    """A Zstandard dictionary from the heads of about SAMPLE records; empty if they are too few to build one."""
-    rows = bounded_sample(pages.where("html IS NOT NULL").select("page_id", "url", "html"), F.col("page_id"), SAMPLE)
-    rows = rows.select("page_id", "url", F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("b")).collect()
-    made = sorted(record(r[0], r[1], bytes(r[2]), digest(bytes(r[2])), None) for r in rows)
-    if len(made) < 20 or sum(map(len, made)) < 4 * 1024:
-        return b""
-    size = min(DICTIONARY, sum(map(len, made)) // 8)
+    """A Zstandard dictionary from SAMPLE records; a payload of more than SAMPLE_BYTES counts as several, each with a part of it."""
+    html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    parts = pages.select("page_id", "url", html.alias("b"), F.explode(F.sequence(F.lit(0), F.greatest(F.length(html) - 1, F.lit(0)).cast("int"), F.lit(SAMPLE_BYTES))).alias("at"))
+    parts = parts.select("page_id", "url", "at", F.substring("b", F.col("at") + 1, F.lit(SAMPLE_BYTES)).alias("part"))
+    rows = bounded_sample(parts, ["page_id", "url", "at", "part"], SAMPLE).collect()
+    made = sorted(record(r["page_id"], r["url"], bytes(r["part"]), digest(bytes(r["part"])), None) for r in rows)
     try:
-        return zstandard.train_dictionary(size, made).as_bytes()
-    except zstandard.ZstdError:  # records too much alike to build one
-        return b""
+        return zstandard.train_dictionary(min(DICTIONARY, sum(map(len, made)) // 8), made).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # what the builder says of samples that are too few or too much alike
+        return b"".join(made)[-DICTIONARY:]
 
 
 def marked(pages: DataFrame) -> DataFrame:
@@ -89,9 +94,8 @@ def write(pages: DataFrame, words: bytes) -> DataFrame:
     A task holds one archive at a time."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
-        pack = zstandard.ZstdCompressor(level=LEVEL, **options).compress
-        leading = zstandard.ZstdCompressor(level=LEVEL).compress(words) if words else b""
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(words)).compress
+        leading = zstandard.ZstdCompressor(level=LEVEL).compress(words)
         head = struct.pack("<II", DICTIONARY_FRAME, len(leading)) + leading
         parts, size = [head], len(head)
         made = lambda: pa.RecordBatch.from_arrays([pa.array([len(parts) - 1], pa.int64()), pa.array([b"".join(parts)], pa.binary())], names=["records", "content"])
@@ -117,16 +121,18 @@ def frames(archive: bytes) -> Iterator[bytes]:
     magic, n = struct.unpack("<II", archive[:8])
     if magic != DICTIONARY_FRAME:
         raise ValueError("the archive doesn't begin with its dictionary")
-    words = zstandard.ZstdDecompressor().decompress(archive[8 : 8 + n]) if n else b""
-    options = {"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}
-    rest = archive[8 + n :]
-    while rest:
-        d = zstandard.ZstdDecompressor(**options).decompressobj()
-        data = d.decompress(rest)
-        if not d.eof:
-            raise ValueError("the archive ends within a record")
-        yield data
-        rest = d.unused_data
+    view, at = memoryview(archive), 8 + n
+    words = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(view[8:at]))
+    unpack = zstandard.ZstdDecompressor(dict_data=words).decompressobj
+    while at < len(view):
+        d, parts = unpack(), []
+        while not d.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            piece = view[at : at + PIECE]
+            parts.append(d.decompress(piece))
+            at += len(piece) - len(d.unused_data)
+        yield b"".join(parts)
 
 
 def read(archives: DataFrame) -> DataFrame:
