@@ -12,10 +12,12 @@ Groups. Distinct texts are nodes; equal slots of a band put nodes in one bucket.
 all its pairs. It has two hubs: the node that meets most others in all its buckets, and the least of
 those that meet half as many or more. Every node is compared with the best hub of either kind that it
 meets; links are verified on the multisets themselves, and connected. Nodes of buckets that still hold
-different components are compared with these buckets' hubs, and connected. Then the pairs that a bucket
-still holds in different components are compared, since a pair inside a component can't change it. A pair is left out only if it can't be similar: what a text shares with
-any other one is too little for the overlap that two texts of these sizes need. So no link that
-would join two classes is lost, and there is no cap.
+different components are compared with these buckets' hubs, and connected. What is left are pairs of a
+bucket in different components, since a pair inside a component can't change it. They aren't made
+from the bucket either: pairs with a rare shingle in common meet on it, and others only if the
+frequent shingles of both are enough for the overlap that texts of these sizes need (crossing()). A
+pair is left out only if it can't be similar, so no link that would join two classes is lost, and
+there is no cap.
 
 Defined cases: a null text is its own class; equal texts are one class, empty ones too; a text of
 one to four words is one shingle of all of them; texts without words are alike only if equal; the
@@ -25,6 +27,7 @@ repeated."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum
-from .common import hot_join, pieces, short_batches, stored, text_md5, utf8_view
+from .common import discard, hot_join, pieces, short_batches, stored, text_md5, unused, utf8_view
 
 SIMILAR = 0.8
 BANDS, ROWS = 24, 6
@@ -42,6 +45,12 @@ SLOTS = BANDS * ROWS
 LIKELY = 0.6
 #: Bounds from sizes are lower by this share of the sizes, so that rounding drops no pair of similarity exactly SIMILAR.
 SLACK = 1e-9
+#: A shingle that more open nodes have is frequent.
+RARE = 8
+#: Sizes of one class are less than this factor apart.
+SIZE_CLASS = 1.05
+#: Bytes of text that a task has in hand at once, as shingles.
+PIECE = 1 << 18
 #: Words of 64 bits of the Bloom filter of nodes whose texts are needed: 2 MB.
 WORDS = 1 << 18
 _U = np.uint64
@@ -114,7 +123,7 @@ def _signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         data, offsets = utf8_view(batch)
         out: list[bytes | None] = []
         sizes: list[int] = []
-        for i, j in pieces(offsets, 1 << 20):
+        for i, j in pieces(offsets, PIECE):
             sh, so = _hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             out += [x.tobytes() if k else None for x, k in zip(signatures(sh, so), np.diff(so))]
             sizes += np.diff(so).tolist()
@@ -135,7 +144,7 @@ def _similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arr
         a, x = utf8_view(left)
         b, y = utf8_view(right)
         out: list[float] = []
-        for i, j in pieces(x + y, 1 << 20):
+        for i, j in pieces(x + y, PIECE):
             sides = []
             for data, offsets in ((a, x), (b, y)):
                 o, s, w = weighted(*_hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
@@ -151,6 +160,25 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.size(same) / SLOTS
 
 
+def _number(node: Column, at: int, size: int) -> Column:
+    return F.conv(F.hex(F.substring(node, at, size)), 16, 10).cast("long")
+
+
+def _word(node: Column) -> Column:
+    return _number(node, 1, 4) % WORDS
+
+
+def _mask(node: Column) -> Column:
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), (_number(node, at, 1) % 64).cast("int"))
+    return reduce(Column.bitwiseOR, map(bit, (5, 6, 7, 8)))
+
+
+def _bloom(nodes: DataFrame, column: str) -> DataFrame:
+    """A Bloom filter of nodes, as its filled words (word, bits): at most WORDS."""
+    node = F.col(column)
+    return nodes.select(_word(node).alias("word"), _mask(node).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and label (the least node of its component) of every node of the edges (a, b).
 
@@ -162,10 +190,12 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = stored(labels.join(near, "node").select("node", F.least("label", "m").alias("new"), F.col("label").alias("old")), "dup-labels")
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = stored(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old"), "dup-labels")
-        changed = step.where("label <> old").limit(1).count()
-        labels = step.select("node", "label")
+        new = stored(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old"), "dup-labels")
+        changed = new.where("label <> old").limit(1).count()
+        discard(labels, step)
+        labels = new
         if not changed:
+            discard(both)
             return labels
 
 
@@ -174,6 +204,7 @@ class Groups:
 
     def __init__(self, docs: DataFrame, similar: float = SIMILAR):
         self.similar = similar
+        self.steps: list[DataFrame] = []
         short_batches(docs.sparkSession)
         self.texts = docs.where("text IS NOT NULL").select(text_md5(F.col("text")).alias("node"), F.lower("text").alias("t"))
         signed = self.texts.select("node", _signature("t").alias("x")).where("x.sig IS NOT NULL")
@@ -181,98 +212,128 @@ class Groups:
         width = ROWS * 2
         bucket = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * width + 1, F.lit(width))))
         rows = self.nodes.select("node", F.explode(bucket).alias("bucket"))
-        many = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-buckets")
+        many = self._kept(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dup-buckets")
         self.members = stored(hot_join(rows, many, ["bucket"], "n"), "dup-members")
 
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a table that lasts until the step's links are written."""
+        self.steps.append(stored(df, name))
+        return self.steps[-1]
+
+    def _links(self, pairs: DataFrame) -> DataFrame:
+        """The verified pairs, written; the tables of the step go."""
+        out = stored(self.verified(pairs), "dup-links")
+        discard(*self.steps)
+        self.steps.clear()
+        return out
+
     def hubs(self, rows: DataFrame) -> DataFrame:
         """Each of rows (bucket, node, n) with the two hubs of its bucket, as (leaf, rank, hub); rank is less for better hubs."""
         met = rows.groupBy("node").agg(F.sum("n").alias("met"))
         most = F.struct((-F.col("met")).alias("r"), F.col("node").alias("hub"))
         least = F.struct((-F.floor(F.log2("met"))).alias("r"), F.col("node").alias("hub"))  # among nodes that meet about as many, the same one leads most of their buckets
         each = rows.join(met, "node").groupBy("bucket").agg(F.min(most).alias("most"), F.min(least).alias("least"), F.first("n").alias("n"))
-        each = stored(each, "dup-hubs")
+        each = self._kept(each, "dup-hubs")
         return hot_join(rows.select("bucket", "node"), each, ["bucket"], "n").select(F.col("node").alias("leaf"), "most", "least")
 
     def first_stars(self) -> DataFrame:
         """Each member with the best hub of either kind over all its buckets, as (leaf, hub)."""
         best = lambda kind: F.min(F.when(F.col(f"{kind}.hub") != F.col("leaf"), F.col(kind)))["hub"]
         ends = self.hubs(self.members).groupBy("leaf").agg(F.array(best("most"), best("least")).alias("hubs"))
-        return stored(ends.select("leaf", F.explode(F.array_distinct(F.array_compact("hubs"))).alias("hub")), "dup-stars")
+        return self._kept(ends.select("leaf", F.explode(F.array_distinct(F.array_compact("hubs"))).alias("hub")), "dup-stars")
 
     def open_rows(self, labels: DataFrame) -> DataFrame:
         """The members (bucket, node, label, n) of buckets that hold more than one component; n counts the bucket's members."""
         rows = self.members.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
-        return stored(hot_join(rows, stored(mixed, "dup-mixed"), ["bucket"], "n"), "dup-open")
+        return self._kept(hot_join(rows, self._kept(mixed, "dup-mixed"), ["bucket"], "n"), "dup-open")
 
     def stars(self, labels: DataFrame) -> DataFrame:
         """Each member of an open bucket with both hubs of all its open buckets, where they are of another component."""
         rows = self.open_rows(labels)
         pairs = self.hubs(rows).select("leaf", F.explode(F.array_distinct(F.array("most.hub", "least.hub"))).alias("hub")).where("leaf <> hub").distinct()
-        of = stored(rows.select("node", "label").distinct(), "dup-of")
+        of = self._kept(rows.select("node", "label").distinct(), "dup-of")
         weights = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(of.select(F.col("node").alias("hub"), F.col("label").alias("hub_label")), "hub")
         both = hot_join(pairs, weights, ["hub"], "n").join(of.withColumnRenamed("node", "leaf"), "leaf")
-        return stored(both.where("label <> hub_label").select("leaf", "hub"), "dup-stars")
+        return self._kept(both.where("label <> hub_label").select("leaf", "hub"), "dup-stars")
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
-        """node and text (t) of the given nodes.
+        """node and text (t) of the given distinct nodes.
 
         A Bloom filter of fixed size goes to the scan, so that few other texts are shuffled."""
-        number = lambda at, size: F.conv(F.hex(F.substring("node", at, size)), 16, 10).cast("long")
-        mask = F.lit(0).cast("long")
-        for at in (5, 6, 7, 8):
-            mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (number(at, 1) % 64).cast("int")))
-        word = (number(1, 4) % WORDS).alias("word")
-        bloom = nodes.select(word, mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
-        some = self.texts.select("node", "t", word, mask.alias("mask")).join(F.broadcast(bloom), "word").where("bits & mask = mask").select("node", "t")
-        return stored(some.groupBy("node").agg(F.first("t").alias("t")).join(nodes, "node", "left_semi"), "dup-texts")
+        node = F.col("node")
+        some = self.texts.select("node", "t", _word(node).alias("word"), _mask(node).alias("mask")).join(F.broadcast(_bloom(nodes, "node")), "word").where("bits & mask = mask").select("node", "t")
+        return self._kept(some.groupBy("node").agg(F.first("t").alias("t")).join(nodes, "node"), "dup-texts")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (leaf, hub) whose multisets are similar, as edges (a, b)."""
         weights = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).join(self.nodes.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
         both = hot_join(pairs, weights, ["hub"], "n").join(self.nodes.select(F.col("node").alias("leaf"), "sig"), "leaf")
-        likely = stored(both.where(_agreement(F.col("sig"), F.col("hub_sig")) >= LIKELY).select("leaf", "hub"), "dup-likely")
+        likely = self._kept(both.where(_agreement(F.col("sig"), F.col("hub_sig")) >= LIKELY).select("leaf", "hub"), "dup-likely")
         ends = likely.select(F.col("leaf").alias("node")).unionByName(likely.select(F.col("hub").alias("node"))).distinct()
         texts = self._texts(ends)
         checked = likely.join(texts.select(F.col("node").alias("leaf"), F.col("t").alias("u")), "leaf").join(texts.select(F.col("node").alias("hub"), "t"), "hub")
         return checked.where(_similarity("u", "t") >= self.similar).select(F.col("leaf").alias("a"), F.col("hub").alias("b"))
 
     def crossing(self, labels: DataFrame) -> DataFrame:
-        """All pairs that share a bucket but no component, and could be similar by their sizes and signatures."""
+        """All pairs of open buckets' members that are of different components and could be similar.
+
+        A shingle counts if another component has it too. Pairs that share one that RARE nodes at most have meet on it. The
+        overlap of any other pair is made of frequent shingles alone; such pairs meet in their buckets if both have enough
+        of these for the sizes of both."""
         rows = self.open_rows(labels).drop("n")
-        sizes = rows.select("node").distinct().join(self.nodes.select("node", "size", "sig"), "node")
-        sizes = stored(sizes.join(self._alone(rows.select("node").distinct()), F.xxhash64("node") == F.col("id"), "left").select("node", "size", "sig", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "dup-sizes")
-        # An overlap o of sizes a and b is similar if o >= s * (a + b - o); o is at most what either has in common with any other text.
-        rows = stored(rows.join(sizes.where(F.col("common") >= (self.similar - SLACK) * F.col("size")), "node"), "dup-open")
-        other = rows.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), F.col("size").alias("hub_size"), F.col("common").alias("hub_common"), F.col("sig").alias("hub_sig"))
-        could = F.least("common", "hub_common", "size", "hub_size") * (1 + self.similar) >= (self.similar - SLACK) * (F.col("size") + F.col("hub_size"))
-        pairs = rows.join(other, (rows["bucket"] == other["bucket"]) & (F.col("label") < F.col("hub_label")) & could & (_agreement(F.col("sig"), F.col("hub_sig")) >= LIKELY))
-        return stored(pairs.select(F.col("node").alias("leaf"), "hub").distinct(), "dup-crossing")
-
-    def _alone(self, nodes: DataFrame) -> DataFrame:
-        """id (a hash of the node) and alone: how many of a node's shingles no other of these nodes has."""
+        each = self._shingles(rows.groupBy("node").agg(F.min("label").alias("label")))
+        span = each.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("shingle", "n")
+        shared = self._kept(hot_join(each, self._kept(span, "dup-spans"), ["shingle"], "n"), "dup-shared")
+        rare = shared.where(F.col("n") <= RARE)
+        meet = rare.alias("a").join(rare.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.label") < F.col("b.label"))).select(F.col("a.node").alias("leaf"), F.col("b.node").alias("hub"))
+        reach = shared.where(F.col("n") > RARE).groupBy("node").agg(F.first("size").alias("size"), F.sum("w").alias("frequent"))
+        near = self._near(self._kept(rows.join(reach, "node"), "dup-reach"))
+        return self._kept(meet.unionByName(near).distinct(), "dup-crossing")
+
+    def _near(self, rows: DataFrame) -> DataFrame:
+        """Pairs (leaf, hub) of rows (bucket, node, label, size, frequent) whose frequent shingles could be overlap enough.
+
+        An overlap o of sizes a and b is similar if o >= s * (a + b - o). So a node's frequent shingles bound the sizes of
+        its partners; it meets only those whose class of size is within its bounds, and whose bounds have its own class."""
+        s = self.similar - SLACK
+        size, top = F.col("size"), F.col("frequent") * (1 + s) / s - F.col("size")
+        class_of = lambda c: F.floor(F.log(F.greatest(c, F.lit(0.5))) / F.log(F.lit(SIZE_CLASS))).cast("int")
+        each = rows.where(top >= size * s).withColumns({"own": class_of(size), "other": F.explode(F.sequence(class_of(size * s), class_of(top * (1 + SLACK))))})
+        both = ["bucket", F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large")]
+        open_ = each.groupBy(*both).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket", "small", "large")
+        each = self._kept(each.select("*", *both[1:]).join(open_, ["bucket", "small", "large"], "left_semi"), "dup-classes")
+        a, b = each.alias("a"), each.alias("b")
+        same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.own") == F.col("b.other")) & (F.col("a.other") == F.col("b.own"))
+        enough = F.least("a.frequent", "b.frequent") * (1 + s) >= s * (F.col("a.size") + F.col("b.size"))
+        return a.join(b, same & (F.col("a.label") < F.col("b.label")) & enough).select(F.col("a.node").alias("leaf"), F.col("b.node").alias("hub"))
+
+    def _shingles(self, nodes: DataFrame) -> DataFrame:
+        """node, label, size, shingle and its weight w of all shingles of nodes (node, label)."""
 
         def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids = b.column(0).to_numpy()
-                data, offsets = utf8_view(b.column(1))
-                for i, j in pieces(offsets, 1 << 20):
+                data, offsets = utf8_view(b.column(2))
+                for i, j in pieces(offsets, PIECE):
                     o, s, w = weighted(*_hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(ids[i:j][o]), pa.array(w.astype(np.int32))], names=["shingle", "id", "w"])
+                    sizes = np.bincount(o, w, minlength=j - i).astype(np.int64)
+                    at = pa.array(o + i)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(sizes[o]), pa.array(s.view(np.int64)), pa.array(w.astype(np.int64))], names=["node", "label", "size", "shingle", "w"])
 
-        each = self._texts(nodes).select(F.xxhash64("node").alias("id"), "t").mapInArrow(shingled, "shingle long, id long, w int")
-        one = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("hi"), F.max("w").alias("w")).where("id = hi")
-        return one.groupBy("id").agg(F.sum("w").alias("alone"))
+        texts = self._texts(nodes.select("node")).join(nodes, "node").select("node", "label", "t")
+        return self._kept(texts.mapInArrow(shingled, "node binary, label binary, size long, shingle long, w long"), "dup-shingles")
 
     def labels(self) -> DataFrame:
         """node and label of every text that is similar to another one."""
-        edges = stored(self.verified(self.first_stars()), "dup-links")
-        labels = components(edges)
+        found = [self._links(self.first_stars())]
+        labels = components(found[0])
         for pairs in (self.stars, self.crossing):
-            more = stored(self.verified(pairs(labels)), "dup-links")
+            more = self._links(pairs(labels))
             if more.limit(1).count():
-                edges = edges.unionByName(more)
-                labels = components(edges)
+                discard(labels)
+                found.append(more)
+                labels = components(reduce(DataFrame.unionByName, found))
+        discard(*found, self.nodes, self.members)
         return labels
 
 
@@ -281,7 +342,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     labels = Groups(docs, similar).labels()
     rows = docs.select("doc_id", text_md5(F.col("text")).alias("node"))
     sizes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("n"))
-    marked = sizes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    marked = sizes.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     marked = stored(marked, "dup-marked")
     total = marked.groupBy("label").agg(F.min("m").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("w"))
     each = hot_join(marked.select("node", "label", "n"), total, ["label"], "w").select("node", "n", "class_id", "class_size", F.lower(F.hex("label")).alias("class_key"))
@@ -290,11 +351,23 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """docs with one row of each class: that of least (doc_id, text MD5); rows without text all stay."""
+    """docs with one row of each class: that of least (doc_id, text MD5); rows without text all stay.
+
+    Only rows whose text is in a class with another row are looked up, by way of a shuffle. A Bloom filter says of most
+    others at the scan that they aren't, and they stay where they are."""
     labels = Groups(docs, similar).labels()
-    keyed = docs.withColumn("__vd_node", text_md5(F.col("text")))
-    firsts = keyed.where("text IS NOT NULL").groupBy(F.col("__vd_node").alias("node")).agg(F.min("doc_id").alias("m"))
-    marked = firsts.join(labels, "node", "left").select(F.coalesce("label", "node").alias("label"), F.struct("m", "node").alias("first"))
-    kept = marked.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.node").alias("__vd_node"), F.col("first.m").alias("__vd_m"))
-    one = keyed.join(kept, "__vd_node").where(F.col("doc_id").eqNullSafe(F.col("__vd_m"))).dropDuplicates(["__vd_node"])
-    return one.select(*docs.columns).unionByName(docs.where("text IS NULL"))
+    firsts = docs.where("text IS NOT NULL").groupBy(text_md5(F.col("text")).alias("node")).agg(F.min("doc_id").alias("m"), F.count(F.lit(1)).alias("rows"))
+    marked = stored(firsts.join(labels.select("node", "label"), "node", "left").select("node", "m", "rows", F.coalesce("label", "node").alias("label")), "dup-marked")
+    classes = marked.groupBy("label").agg(F.min(F.struct("m", "node")).alias("first"), F.sum("rows").alias("all"), F.count(F.lit(1)).alias("w")).where("all > 1")
+    shared = hot_join(marked, stored(classes, "dup-classes"), ["label"], "w").select("node", "rows", F.when(F.col("node") == F.col("first.node"), True).alias("stays"), F.col("first.m").alias("m"))
+    shared = stored(shared, "dup-shared")
+    node, word, mask, may, rows, stays, first = (unused(docs, c) for c in ("node", "word", "mask", "bits", "rows", "stays", "m"))
+    keyed = docs.where("text IS NOT NULL").withColumn(node, text_md5(F.col("text")))
+    keyed = keyed.withColumns({word: _word(F.col(node)), mask: _mask(F.col(node))})
+    seen = keyed.join(F.broadcast(_bloom(shared, "node").select(F.col("word").alias(word), F.col("bits").alias(may))), word, "left")
+    possible = F.coalesce(F.col(may).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
+    small = shared.select(F.col("node").alias(node), F.col("rows").alias(rows), F.col("stays").alias(stays), F.col("m").alias(first))
+    found = hot_join(seen.where(possible), small, [node], rows, "left")
+    one = found.where(F.col(rows).isNull() | (F.col(stays) & F.col("doc_id").eqNullSafe(F.col(first)))).dropDuplicates([node])
+    parts = [seen.where(~possible), one, docs.where("text IS NULL")]
+    return reduce(DataFrame.unionByName, (p.select(*docs.columns) for p in parts))
