@@ -19,13 +19,14 @@ ends not at all."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hot_join, stored
+from .common import discard, hot_join, let, stored, unused
 
 RUN_WORDS = 50
 KEY = ["id", "h1", "h2"]
+RUNS = "array<struct<first:int,last:int>>"
 
 
 def _key(doc_id: Column, text: Column) -> list[Column]:
@@ -55,11 +56,15 @@ def windows(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     ahead = lambda p: F.slice("a", p, F.lit(run_words))
     behind = lambda p: F.reverse(F.slice("a", F.greatest(p - run_words + 1, F.lit(1)), F.least(p, F.lit(run_words))))
     at = F.sequence(F.lit(1), F.size("a"))
-    spans = F.array_distinct(F.concat(
-        F.transform(at, lambda p: F.struct(p.alias("p"), _reach(ahead(p), run_words).alias("n"))),
-        F.transform(at, lambda p: F.struct((p - _reach(behind(p), run_words) + 1).alias("p"), _reach(behind(p), run_words).alias("n"))),
-    ))
-    d = d.select(*KEY, "a", F.explode(F.filter(spans, lambda s: s["n"] > 0)).alias("s"))
+    lengths = F.struct(F.transform(at, lambda p: _reach(ahead(p), run_words)).alias("ahead"), F.transform(at, lambda p: _reach(behind(p), run_words)).alias("behind"))
+
+    def spans(n: Column) -> Column:
+        from_first = F.transform(n["ahead"], lambda k, i: F.struct((i + 1).alias("p"), k.alias("n")))
+        from_last = F.transform(n["behind"], lambda k, i: F.struct((i + 2 - k).alias("p"), k.alias("n")))
+        other = F.filter(from_last, lambda s: (s["n"] > 0) & (F.get(n["ahead"], s["p"] - 1) != s["n"]))  # else it is the window from its first line
+        return F.concat(F.filter(from_first, lambda s: s["n"] > 0), other)
+
+    d = d.select(*KEY, "a", F.explode(let(lengths, spans)).alias("s"))
     d = d.select(*KEY, F.slice("a", F.col("s.p"), F.col("s.n")).alias("part"))
     hashes = F.col("part.h")
     fp = F.array_min(hashes)
@@ -70,61 +75,59 @@ def windows(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
 
 def repeated(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """Rows (id, h1, h2, runs): the later repeated windows of each place, as an array of (first, last)."""
+    """Rows (id, h1, h2, runs): the later repeated runs of lines of each place, as a sorted array of disjoint (first, last)."""
     w = stored(windows(docs, run_words), "line-windows")
     place = lambda line: F.struct(*KEY, line)
     prints = w.groupBy("fp").agg(F.min(place("fp_line")).alias("a"), F.max(place("fp_line")).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("fp", "n")
     near = stored(hot_join(w, prints, ["fp"], "n", "left_semi").select(*KEY, "first", "last", "content"), "line-matches")
+    discard(w)
     origin = near.groupBy("content").agg(F.min(place("first")).alias("origin"), F.max(place("first")).alias("b"), F.count(F.lit(1)).alias("n")).where("origin < b").select("content", "origin", "n")
-    later = hot_join(near, origin, ["content"], "n").where(place("first") > F.col("origin"))
-    return later.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
-
-
-def _merged(runs: Column) -> Column:
-    """Sorted overlapping or adjoining runs as disjoint ones."""
-    empty = F.expr("CAST(array() AS array<struct<first:int,last:int>>)")
-
-    def step(acc: Column, r: Column) -> Column:
-        end = F.element_at(acc, -1)
-        joined = F.struct(end["first"].alias("first"), F.greatest(end["last"], r["last"]).alias("last"))
-        meets = (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["last"] >= r["first"] - 1)
-        return F.when(meets, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(F.struct(r["first"].alias("first"), r["last"].alias("last")))))
-
-    return F.aggregate(runs, empty, step)
-
-
-def _with_runs(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows (with columns __vd_id, __vd_h1, __vd_h2) and the disjoint runs to delete from each, __vd_runs."""
-    found = found.select(F.col("id").alias("__vd_r"), F.col("h1").alias("__vd_r1"), F.col("h2").alias("__vd_r2"), _merged(F.col("runs")).alias("__vd_runs"))
-    same = (F.col("__vd_h1") == F.col("__vd_r1")) & (F.col("__vd_h2") == F.col("__vd_r2")) & F.col("__vd_id").eqNullSafe(F.col("__vd_r"))
-    return rows.join(found, same, "left").drop("__vd_r", "__vd_r1", "__vd_r2", "__vd_id", "__vd_h1", "__vd_h2")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    k = _key(F.col("doc_id"), F.col("text"))
-    return docs.withColumns({"__vd_id": k[0], "__vd_h1": k[1], "__vd_h2": k[2]})
+    later = hot_join(near, origin, ["content"], "n").where(place("first") > F.col("origin")).select(*KEY, "first", "last").distinct()
+    # Overlapping and adjoining windows are one run.
+    by = Window.partitionBy(*KEY).orderBy("first", "last")
+    until = F.max("last").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    run = later.withColumn("new", F.when(F.col("first") <= until + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.groupBy(*KEY, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    out = stored(run.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")), "line-runs")
+    discard(near)
+    return out
+
+
+def _with_runs(docs: DataFrame, rows: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
+    """rows, made of docs, with the disjoint runs to delete from each in a new column, and that column's name."""
+    names = {c: unused(docs, c) for c in (*KEY, "r", "r1", "r2", "runs")}
+    keyed = rows.withColumns(dict(zip((names[c] for c in KEY), _key(F.col("doc_id"), F.col("text")))))
+    found = found.select(F.col("id").alias(names["r"]), F.col("h1").alias(names["r1"]), F.col("h2").alias(names["r2"]), F.col("runs").alias(names["runs"]))
+    same = (F.col(names["h1"]) == F.col(names["r1"])) & (F.col(names["h2"]) == F.col(names["r2"])) & F.col(names["id"]).eqNullSafe(F.col(names["r"]))
+    return keyed.join(found, same, "left").drop(*(names[c] for c in (*KEY, "r", "r1", "r2"))), names["runs"]
 
 
 def deletions(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_deleted and deleted (`first-last` line numbers from 0, comma-joined) of every row of docs."""
-    slim = _keyed(docs.select("doc_id", "text")).select("doc_id", "__vd_id", "__vd_h1", "__vd_h2", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    slim = slim.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    d = _with_runs(slim, repeated(docs, run_words))
-    n = F.coalesce(F.aggregate("__vd_runs", F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
-    text = F.array_join(F.transform(F.coalesce("__vd_runs", F.expr("CAST(array() AS array<struct<first:int,last:int>>)")), lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
+    rows = docs.select("doc_id", "text", F.greatest(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"))
+    d, runs = _with_runs(docs, rows, repeated(docs, run_words))
+    n = F.coalesce(F.aggregate(runs, F.lit(0), lambda a, r: a + r["last"] - r["first"] + 1), F.lit(0)).cast("long")
+    text = F.array_join(F.transform(F.coalesce(F.col(runs), F.array().cast(RUNS)), lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string"))), ",")
     return d.select("doc_id", "n_lines", n.alias("n_deleted"), text.alias("deleted"))
 
 
+def _without(lines: Column, runs: Column) -> Column:
+    """The lines that are in none of the runs: what lies before, between and after them."""
+    def part(k: Column) -> Column:
+        start = F.coalesce(F.get(runs, k - 1)["last"] + 1, F.lit(0))
+        return F.slice(lines, start + 1, F.coalesce(F.get(runs, k)["first"], F.size(lines)) - start)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), part))
+
+
 def clean(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with the later repeated runs deleted from text, and n_chars (if there) set to the new length; all other columns stay.
 
     A document of which nothing but blank lines is left has only repeated others, and goes."""
-    d = _with_runs(_keyed(docs), repeated(docs, run_words))
-    inside = lambda i: F.exists("__vd_runs", lambda r: (r["first"] <= i) & (i <= r["last"]))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~inside(i)), "\n")
-    changed = F.col("__vd_runs").isNotNull()
-    d = d.withColumn("__vd_left", F.when(changed, left))
-    d = d.where(~changed | (F.trim(F.col("__vd_left")) != ""))
+    d, runs = _with_runs(docs, docs, repeated(docs, run_words))
+    left, changed = unused(docs, "left"), F.col(runs).isNotNull()
+    d = d.withColumn(left, F.when(changed, F.array_join(let(F.split("text", "\n"), lambda lines: _without(lines, F.col(runs))), "\n")))
+    d = d.where(~changed | (F.trim(F.col(left)) != ""))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(changed, F.length("__vd_left")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return d.withColumn("text", F.when(changed, F.col("__vd_left")).otherwise(F.col("text"))).select(*docs.columns)
+        d = d.withColumn("n_chars", F.when(changed, F.length(left)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return d.withColumn("text", F.when(changed, F.col(left)).otherwise(F.col("text"))).select(*docs.columns)
