@@ -7,8 +7,9 @@ item and the segment that holds it are of like size, however long the document:
 signatures then share a slot with near certainty. A shared slot makes a candidate, and the shingles of
 the whole document decide, compared as words.
 
-The items go to the tasks in blocks of BLOCK_SHINGLES shingles, a bounded broadcast; a longer
-benchmark means more passes over the documents, none of which shuffles them.
+The items go to the tasks in blocks of BLOCK_SHINGLES shingles, one block at a time: a bounded
+broadcast (an item longer than a block stands alone). A longer benchmark means more passes over the
+documents, none of which shuffles them; a pass is written and its block released before the next.
 
 Defined cases: a null text or one without words contains nothing and is contained nowhere; an item
 of one to four words is one shingle of all of them, which only a document of just those words has;
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import pieces, short_batches, utf8_view
+from .common import discard, pieces, short_batches, stored, unused, utf8_view
 
 CONTAINED = 0.8
 #: Slots of a signature. A segment that holds 0.8 of an item shares a given slot with chance 0.16 at
@@ -108,30 +110,21 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """The distinct items (id, text in lower case), BLOCK_SHINGLES words or so at a time."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
+    """The distinct items (id, text in lower case), BLOCK_SHINGLES words or so at a time, and whether they are the last ones."""
     items = benchmark.select("item_id", F.lower("text").alias("text")).where("text IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    size = items.agg(F.sum(F.length("text") + 1)).collect()[0][0] or 0
     n = -(-int(size) // (BLOCK_SHINGLES * 6))
     for k in range(n):
-        yield sorted((r[0], r[1]) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect())
+        yield sorted((r[0], r[1]) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()), k == n - 1
 
 
 RESULT = "item_id long, n_shingles int, n_shared int, containment double"
 HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int32()), ("n_shared", pa.int32()), ("containment", pa.float64())]))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, contained: float = CONTAINED) -> Column:
-    """For each row of docs, an array of item_id, n_shingles, n_shared and containment of the items that its text contains."""
-    short_batches(docs.sparkSession)
-    every = [_search(docs, rows, contained) for rows in _blocks(benchmark)]
-    if not every:
-        return F.expr(f"CAST(array() AS array<struct<{RESULT.replace(' ', ':').replace(',:', ',')}>>)")
-    return F.concat(*every)
-
-
-def _search(docs: DataFrame, rows: list[tuple], contained: float) -> Column:
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+def hits(sent: Broadcast, contained: float = CONTAINED) -> Column:
+    """For each text, an array of item_id, n_shingles, n_shared and containment of the items of a block that it contains."""
 
     @F.arrow_udf(f"array<struct<{RESULT.replace(' ', ':').replace(',:', ',')}>>")
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -141,9 +134,12 @@ def _search(docs: DataFrame, rows: list[tuple], contained: float) -> Column:
             data, offsets = utf8_view(texts)
             for i, j in pieces(offsets, 1 << 18):
                 hashes, _, at = textnum.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                last, whole = -1, set()
                 for t, k in sorted(items.candidates(*textnum.shingles(hashes, at))):
+                    if t != last:
+                        last, whole = t, word_shingles(texts[i + t].as_py())
                     own = items.shingles[k]
-                    shared = len(own & word_shingles(texts[i + t].as_py()))
+                    shared = len(own & whole)
                     if shared >= contained * len(own):
                         found[i + t].append({"item_id": items.ids[k], "n_shingles": len(own), "n_shared": shared, "containment": shared / len(own)})
             yield pa.array(found, HITS)
@@ -153,9 +149,31 @@ def _search(docs: DataFrame, rows: list[tuple], contained: float) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared and containment: one row for each item that a row of docs contains."""
-    return docs.select("doc_id", F.explode(hits(docs, benchmark)).alias("x")).select("doc_id", "x.*")
+    spark = docs.sparkSession
+    short_batches(spark)
+    out = spark.createDataFrame([], RESULT).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "*")
+    for rows, last in _blocks(benchmark):
+        sent = spark.sparkContext.broadcast(rows)
+        found = docs.select("doc_id", F.explode(hits(sent)).alias("x")).select("doc_id", "x.*")
+        if last:
+            return out.unionByName(found)
+        out = out.unionByName(stored(found, "contaminated"))
+        sent.destroy()
+    return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contain an item; all columns stay, and nothing is shuffled."""
-    return docs.withColumn("__vd_hits", hits(docs, benchmark)).where(F.size("__vd_hits") == 0).drop("__vd_hits")
+    spark, name = docs.sparkSession, unused(docs, "hits")
+    short_batches(spark)
+    left = docs
+    for rows, last in _blocks(benchmark):
+        sent = spark.sparkContext.broadcast(rows)
+        clean = left.withColumn(name, hits(sent)).where(F.size(name) == 0).drop(name)
+        if last:
+            return clean
+        before, left = left, stored(clean, "clean")
+        sent.destroy()
+        if before is not docs:
+            discard(before)
+    return left
