@@ -3,14 +3,16 @@
 Base kinds are found by pattern. Beside them, every run of 20 or more characters of the usual
 encodings is a candidate. Its encoding is inferred from the characters it has, and three tests look
 at it: a chi-squared test of a uniform alphabet, a Wald-Wolfowitz runs test about the middle of the
-alphabet, and a serial correlation test of neighbours. The runs and correlation tests must not
-reject chance (two-sided, level ALPHA). For the chi-squared statistic the null hypothesis is text:
-symbols as uneven as TEXT_EXCESS says for the encoding, so that the statistic is noncentral with a
-noncentrality that grows with the length; p is the chance that text looks as uniform (the cube root
-of the statistic is all but normal). Benjamini-Hochberg control
-at level FDR then runs over all candidates of the corpus, by encoding and length class, since short
-candidates can tell less and are far more numerous. p-values are binned, so the counts that the
-control needs are a small table whatever the input.
+alphabet, and a serial correlation test of neighbours. The null hypothesis is text: symbols as uneven
+as TEXT_EXCESS says for the encoding, so that the chi-squared statistic is noncentral with a
+noncentrality that grows with the length; its p is the chance that text looks as uniform (the cube root
+of the statistic is all but normal). The p of the other two is the chance that neighbours without
+dependence, which text has at best, look as independent. The three are combined by Fisher's sum of
+their logarithms, the latter two with weight 1/4 each, as they tell less; and a candidate whose runs or
+neighbours chance doesn't give (two-sided, level ALPHA) isn't random, however uniform it is.
+Benjamini-Hochberg control at level FDR then runs over all candidates of the corpus, by encoding and
+length class, since short candidates can tell less and are far more numerous. p-values are binned, so
+the counts that the control needs are a small table whatever the input.
 
 Defined cases: a null text counts as empty; an empty text has no spans; equal texts have equal
 spans; positions are in code points, end exclusive; a candidate that overlaps a base span is left
@@ -21,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 #: Fixed patterns of the base kinds, in the order in which equal starts are listed: kind, pattern,
 #: the group whose length counts, and its least length.
 BASE = [
@@ -72,14 +76,11 @@ ALPHA, FDR = 0.01, 0.05
 BINS_PER_DECADE, LAST_BIN = 10, 400
 
 
+#: Matches of a text that are numbered together.
+PART = 256
 SPANS = "array<struct<start:int,end:int,token:string,size:int>>"
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
     """Array of (start, end, token, size) of the leftmost non-overlapping matches whose group is long enough.
 
@@ -87,18 +88,25 @@ def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
     parts = F.struct(found.alias("found"), counted.alias("counted"), F.split(text, pattern, -1).alias("gaps"))
-    seed = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-
     def walk(x: Column) -> Column:
+        """In parts of PART matches, so that no long array is copied for each match."""
+
         def step(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(F.get(x["gaps"], i))
             end = start + F.length(F.get(x["found"], i))
             item = F.struct(start.alias("start"), end.alias("end"), F.get(x["found"], i).alias("token"), F.get(x["counted"], i).alias("size"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["found"]) - 1), seed, step)["out"]
+        def part(acc: Column, k: Column) -> Column:
+            inside = F.sequence(k * PART, F.least(k * PART + PART, F.size(x["found"])) - 1)
+            made = F.aggregate(inside, F.struct(acc["at"].alias("at"), F.array().cast(SPANS).alias("out")), step)
+            return let(made, lambda m: F.struct(m["at"].alias("at"), F.concat(acc["parts"], F.array(m["out"])).alias("parts")))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.filter(_let(parts, walk), lambda s: s["size"] >= least)).otherwise(F.array().cast(SPANS))
+        seed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("parts"))
+        last = F.floor((F.size(x["found"]) - 1) / PART).cast("int")
+        return F.flatten(F.aggregate(F.sequence(F.lit(0), last), seed, part)["parts"])
+
+    return F.when(F.rlike(text, F.lit(pattern)), F.filter(let(parts, walk), lambda s: s["size"] >= least)).otherwise(F.array().cast(SPANS))
 
 
 def _normal_below(z: Column) -> Column:
@@ -109,6 +117,17 @@ def _normal_below(z: Column) -> Column:
     return F.when(z < 0, upper).otherwise(1 - upper)
 
 
+def _combined(p: Column, *minor: Column) -> Column:
+    """The chance that -2 ln p - (ln of both minor) / 2 is as large if all three are uniform.
+
+    The sum of an exponential variable of rate a and two of rate b: the closed form of its upper tail."""
+    least = lambda x: F.log(F.greatest(x, F.lit(1e-300)))
+    total = -2 * least(p) - sum((least(m) for m in minor), F.lit(0.0)) / 2
+    a, b = 0.5, 2.0
+    d = b - a
+    return let(total, lambda t: F.least(F.lit(1.0), F.exp(-b * t) * (1 + b * t) + (b / d) ** 2 * (F.exp(-a * t) - F.exp(-b * t) * (1 + d * t))))
+
+
 def _codes(core: Column, alphabet: str) -> Column:
     return F.transform(F.split(core, ""), lambda c: F.instr(F.lit(alphabet), c))
 
@@ -122,11 +141,11 @@ def tested(token: Column) -> Column:
         for name, alphabet in reversed(ENCODINGS):
             item = F.struct(F.lit(name).alias("encoding"), F.lit(float(len(alphabet))).alias("k"), F.lit(TEXT_EXCESS[name]).alias("excess"), _codes(core, alphabet).alias("codes"))
             out = item if out is None else F.when(F.translate(core, alphabet, "") == "", item).otherwise(out)
-        return _let(out, counted)
+        return let(out, counted)
 
     def counted(x: Column) -> Column:
         codes = F.filter(x["codes"], lambda c: c > 0)
-        return _let(F.struct(x["encoding"].alias("encoding"), x["k"].alias("k"), x["excess"].alias("excess"), (x["k"] / 2 + 0.5).alias("middle"), codes.alias("codes"), F.size(codes).cast("double").alias("n")), measured)
+        return let(F.struct(x["encoding"].alias("encoding"), x["k"].alias("k"), x["excess"].alias("excess"), (x["k"] / 2 + 0.5).alias("middle"), codes.alias("codes"), F.size(codes).cast("double").alias("n")), measured)
 
     def measured(x: Column) -> Column:
         high = lambda c: c > x["middle"]
@@ -138,7 +157,7 @@ def tested(token: Column) -> Column:
             lambda acc, c: F.struct(c.alias("last"), (acc["runs"] + F.when(high(c) != high(acc["last"]), 1.0).otherwise(0.0)).alias("runs"), (acc["lagged"] + from_middle(c) * from_middle(acc["last"])).alias("lagged")),
         )
         stats = F.struct(x["encoding"].alias("encoding"), x["k"].alias("k"), x["excess"].alias("excess"), x["n"].alias("n"), (x["k"] * squares / x["n"] - x["n"]).alias("chi"), F.size(F.filter(x["codes"], high)).cast("double").alias("above"), walk.alias("walk"))
-        return _let(stats, judged)
+        return let(stats, judged)
 
     def judged(x: Column) -> Column:
         n, k, above = x["n"], x["k"], x["above"]
@@ -150,12 +169,13 @@ def tested(token: Column) -> Column:
         mean = k - 1 + shift
         spread_root = 2 * (1 + shift / mean) / (9 * mean)
         text_z = (F.cbrt(F.greatest(x["chi"], F.lit(0.0)) / mean) - 1 + spread_root) / F.sqrt(spread_root)
+        within = lambda z, step: 1 - two_sided(F.abs(z) + step / 2)  # noqa: E731  with all of the step that z is on
         chance = (expected > 2.5) & (two_sided(runs_z) >= ALPHA) & (two_sided(serial_z) >= ALPHA)
-        p = F.when(chance, _normal_below(text_z)).otherwise(1.0)
+        p = F.when(chance, _combined(_normal_below(text_z), within(runs_z, 1 / F.sqrt(spread)), within(serial_z, 12 / ((k * k - 1) * F.sqrt(n - 1))))).otherwise(1.0)
         bin_ = F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS_PER_DECADE)
         return F.struct(x["encoding"].alias("encoding"), F.least(F.floor(F.log2(n / 5)), F.lit(8)).cast("int").alias("length_class"), F.greatest(F.lit(0), F.least(bin_, F.lit(LAST_BIN))).cast("int").alias("bin"))
 
-    return _let(F.regexp_replace(token, "=+$", ""), encoded)
+    return let(F.regexp_replace(token, "=+$", ""), encoded)
 
 
 def _ranked(spans: Column, rank: int, kind: str) -> Column:
@@ -205,7 +225,7 @@ def scan(docs: DataFrame, accepted: dict[tuple[str, int], int] | None = None) ->
             least = F.when((x["encoding"] == encoding) & (x["length_class"] == length_class), b).otherwise(least)
         return x["bin"] >= least
 
-    more = _ranked(F.filter("free", lambda s: _let(tested(s["token"]), passes)), len(BASE), RANDOM)
+    more = _ranked(F.filter("free", lambda s: let(tested(s["token"]), passes)), len(BASE), RANDOM)
     return _base(docs).withColumn("spans", F.array_sort(F.concat("base", more))).drop("free")
 
 
