@@ -1,8 +1,8 @@
 """URL filters: rules on host and path, then a blocked Bloom filter before an exact join.
 
 The list's canonical URLs fill a blocked Bloom filter: a URL's hash names one block of 256 bits and
-one bit in each of its eight 32-bit lanes. The filter has BLOCKS blocks at most, whatever the list's
-length, so it goes to every task by broadcast; a longer list only lets more candidates pass. The
+one bit in each of its eight 32-bit lanes. The filter has a block for every KEYS_EACH URLs. Up to
+SENT blocks it goes to every task by broadcast; the larger filter of a longer list is joined by block. The
 possible hits are joined with the list itself, which removes the false positives.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and no canonical form,
@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join
+from .common import hot_join, stored
 
-#: Blocks of 32 bytes: 1 MB in all.
-BLOCKS = 1 << 15
+#: URLs that share a block of 32 bytes on average, and blocks that are sent by broadcast at most (8 MB).
+KEYS_EACH, SENT = 20, 1 << 18
 LANES = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,8 +46,8 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return out
 
 
-def _block(url: Column) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(BLOCKS)).cast("int")
+def _block(url: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(blocks))
 
 
 def _mask(url: Column) -> Column:
@@ -58,9 +58,9 @@ def _mask(url: Column) -> Column:
     return F.array(*(F.call_function("shiftleft", one, bit(2 * k)).bitwiseOR(F.call_function("shiftleft", one, bit(2 * k + 1) + 32)) for k in range(LANES // 2)))
 
 
-def bloom(listed: DataFrame) -> DataFrame:
-    """The filled blocks (block, bits) of a list with a column `canonical`: at most BLOCKS rows."""
-    m = listed.select(_block(F.col("canonical")).alias("block"), _mask(F.col("canonical")).alias("m"))
+def bloom(listed: DataFrame, blocks: int) -> DataFrame:
+    """The filled blocks (block, bits) of a list with a column `canonical`: at most `blocks` rows."""
+    m = listed.select(_block(F.col("canonical"), blocks).alias("block"), _mask(F.col("canonical")).alias("m"))
     return m.groupBy("block").agg(*(F.bit_or(F.col("m")[k]).alias(f"w{k}") for k in range(LANES // 2))).select("block", F.array(*(f"w{k}" for k in range(LANES // 2))).alias("bits"))
 
 
@@ -70,22 +70,19 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]) ->
     listed: any table with a column `url`. A rule decides where one fits; else listed URLs are
     blocked and the rest allowed. The exact join spreads frequent URLs (hot_join)."""
     url = F.col("url")
-    known = listed.select(canonical(url).alias("canonical")).where("canonical IS NOT NULL").groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
-    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"), _block(canonical(url)).alias("block"), _mask(canonical(url)).alias("mask"))
-    passed = seen.join(F.broadcast(bloom(known)), "block", "left")
+    known = stored(listed.select(canonical(url).alias("canonical")).where("canonical IS NOT NULL").distinct(), "url-list")
+    blocks = max(1, -(-known.count() // KEYS_EACH))
+    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
+    seen = seen.withColumns({"block": _block(F.col("canonical"), blocks), "mask": _mask(F.col("canonical"))})
+    filled = bloom(known, blocks)
+    passed = seen.join(F.broadcast(filled) if blocks <= SENT else filled, "block", "left")
     inside = F.lit(True)
     for k in range(LANES // 2):
         inside = inside & (F.col("bits")[k].bitwiseAND(F.col("mask")[k]) == F.col("mask")[k])
-    passed = passed.select("page_id", "host", "path", "canonical", (F.col("canonical").isNotNull() & F.coalesce(inside, F.lit(False))).alias("possible"))
-    hits = hot_join(passed.where("possible"), _weighed(passed, known), ["canonical"], "n", "left")
+    passed = stored(passed.select("page_id", "host", "path", "canonical", (F.col("canonical").isNotNull() & F.coalesce(inside, F.lit(False))).alias("possible")), "url-passed")
+    frequent = passed.where("possible").groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
+    hits = hot_join(passed.where("possible"), stored(frequent.join(known, "canonical", "left_semi"), "url-hits"), ["canonical"], "n", "left")
     judged = hits.select("page_id", "host", "path", "canonical", F.col("n").isNotNull().alias("listed"))
     judged = judged.unionByName(passed.where("NOT possible").select("page_id", "host", "path", "canonical", F.lit(False).alias("listed")))
-    rule = rule_for(F.col("host"), F.col("path"), rules)
-    judged = judged.withColumn("fit", rule)
+    judged = judged.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     return judged.select("page_id", "host", "path", "canonical", F.col("fit.rule").alias("rule"), "listed", F.coalesce(F.col("fit.verdict"), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
-
-
-def _weighed(passed: DataFrame, known: DataFrame) -> DataFrame:
-    """The list with the number of pages of each possible hit as weight n; unlisted hits drop out."""
-    frequent = passed.where("possible").groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
-    return frequent.join(known.select("canonical"), "canonical", "left_semi")
