@@ -229,7 +229,6 @@ def test_randomness(spark):
     assert got[1] == "random:4:68" and "random" not in got[3]
 
 
-@pytest.mark.xfail(reason="alone in its class, a long compound word of even letters passes the tests; see the README")
 def test_long_words_are_not_random(spark):
     df = spark.createDataFrame([(2, "an ordinarylongcompoundwordwithoutspaces here")], "doc_id long, text string")
     assert secrets.span_digests(df).collect()[0]["spans"] == ""
