@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Words that mean true and false.
 TRUE_WORDS = ["true", "yes", "met", "meets", "satisfied", "1"]
 FALSE_WORDS = ["false", "no", "not met", "not_met", "unmet", "does not meet", "0"]
+#: First characters of a formula.
 _RISKY = "^[=+\\-@\\t\\r]"
 
 

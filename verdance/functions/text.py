@@ -7,6 +7,9 @@ Defined cases: a null or empty text has no sentences; a sentence that no pattern
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from .logic import NODE_FIELDS, TREE, key, let, literal, node
 LINE_BREAK = "\\r\\n|[\\n\\r\\u000b\\u000c\\u001c-\\u001e\\u0085\\u2028\\u2029]"
 ESCAPE = r"\\([^A-Za-z0-9\s])"
 HEADER = r"(?iU)^\s*(inclusion|exclusion)\s+criteria\b\s*:?\s*$"
-BULLET = r"(?U)^\s*(?:[-*\u2022\u00b7]|\(?\d+\\?[.)])\s*"
+BULLET = r"(?U)^\s*(?:[-*•·]|\(?\d+\\?[.)])\s*"
 LEAST_CHARS, MOST_CHARS, MOST_WORDS, MOST_PARTS = 12, 180, 6, 3
 BOILERPLATE = [
     "informed consent", "written consent", "able to", "willing to", "willingness",
@@ -40,11 +43,11 @@ UNIT_STOPWORDS = [
     "and", "or", "at", "in", "on", "of", "to", "the", "a", "an", "for", "with", "per",
     "times", "x", "within", "before", "after", "who", "if", "as", "is", "are", "was",
 ]
-COMPARATORS = {"<": "lt", "\u2264": "le", "<=": "le", ">": "gt", "\u2265": "ge", ">=": "ge"}
-RELATIVE_BOUND = r"(?iU)^\s*(?:times|x|\u00d7|\*)?\s*(?:the\s+)?(?:uln|lln|upper limit|lower limit)"
-UNIT = "(?U)^\\s*([%A-Za-z\u00b5\u03bc][A-Za-z0-9\u00b5\u03bc%^/\u00b7.\\-\u00b2\u00b3]{0,14})"
+COMPARATORS = {"<": "lt", "≤": "le", "<=": "le", ">": "gt", "≥": "ge", ">=": "ge"}
+RELATIVE_BOUND = r"(?iU)^\s*(?:times|x|×|\*)?\s*(?:the\s+)?(?:uln|lln|upper limit|lower limit)"
+UNIT = "(?U)^\\s*([%A-Za-zµμ][A-Za-z0-9µμ%^/·.\\-²³]{0,14})"
 ENUMERATION = r"(?iU),\s*(?:[^,]{1,40}\s+)?(?:or|and)\s+"
-INLINE_BOUND = "(?iU)[<>\u2264\u2265]|\\b\\d+\\s*(?:%|mg|ml|kg|g/l|mmhg|um|\u00b5m)\\b"
+INLINE_BOUND = "(?iU)[<>≤≥]|\\b\\d+\\s*(?:%|mg|ml|kg|g/l|mmhg|um|µm)\\b"
 CLAUSE_TAIL = r"(?iU)\s+(?:prior to|within|before|after|during|at screening|at baseline|in the past|who|which|that|whose)\b"
 LEADING = r"(?iU)^\s*(?:a|an|the|any|all|other|current|currently|ongoing|active|known|suspected|prior|previous|recent|past|planned|or|and|of|to|with)\s+"
 TRAILING = r"(?iU)\s+(?:such|including|include|e\.?g\.?|i\.?e\.?|with|of|to|in|at|for|from|by|than|and|or|as|the|a|an|currently|recently|previously|prior|regularly|now)\s*$"
@@ -53,15 +56,23 @@ WITHIN = rf"(?iU)\bwithin\s+(?:the\s+)?(?:past|last|previous\s+)?\s*(\d+)\s*{TIM
 FOR_AT_LEAST = rf"(?iU)\bfor\s+at\s+least\s+(\d+)\s*{TIME_UNIT}\b"
 EVER = r"(?iU)\bhistory of\b|\bever\b|\bprevious(?:ly)?\b|\bprior\b"
 CURRENT = r"(?iU)\bcurrent(?:ly)?\b|\bongoing\b|\bactive\b"
-AGE_RANGE = ["(?U)\\bages?d?\\s*(?:between\\s+)?(\\d{1,3})\\s*(?:-|\u2013|to|and)\\s*(\\d{1,3})\\s*years?\\b", "(?U)\\b(\\d{1,3})\\s*(?:-|\u2013|to)\\s*(\\d{1,3})\\s*years?\\s*(?:of age|old)\\b"]
-AGE_MIN = [r"(?U)\b(?:age[d]?\s*)?(\d{1,3})\s*years?\s*(?:of age\s*)?(?:or older|and older|and above)\b", "(?U)\\bage[d]?\\s*(?:>=|\u2265|at least|greater than or equal to|older than|over)\\s*(\\d{1,3})\\b"]
-AGE_MAX = "(?U)\\bage[d]?\\s*(?:<=|\u2264|at most|less than or equal to|younger than|under)\\s*(\\d{1,3})\\b"
+AGE_RANGE = ["(?U)\\bages?d?\\s*(?:between\\s+)?(\\d{1,3})\\s*(?:-|–|to|and)\\s*(\\d{1,3})\\s*years?\\b", "(?U)\\b(\\d{1,3})\\s*(?:-|–|to)\\s*(\\d{1,3})\\s*years?\\s*(?:of age|old)\\b"]
+AGE_MIN = [r"(?U)\b(?:age[d]?\s*)?(\d{1,3})\s*years?\s*(?:of age\s*)?(?:or older|and older|and above)\b", "(?U)\\bage[d]?\\s*(?:>=|≥|at least|greater than or equal to|older than|over)\\s*(\\d{1,3})\\b"]
+AGE_MAX = "(?U)\\bage[d]?\\s*(?:<=|≤|at most|less than or equal to|younger than|under)\\s*(\\d{1,3})\\b"
 NEGATION = r"(?iU)^no\s+(?:history\s+of\s+|known\s+|evidence\s+of\s+|prior\s+|current\s+)?|^absence\s+of\s+|^without\s+|^free\s+of\s+|^not\s+(?:receiving|taking|treated\s+with|currently)\s+"
 
+#: The decimal digits of all scripts beyond ASCII, which \\d matches under (?U), and what each stands for.
+DIGITS = {chr(c): str(unicodedata.digit(chr(c))) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
+
 HIT = f"struct<tree:{TREE},pattern:string>"
 SENTENCES = "array<struct<pos:int,section:string,sentence:string>>"
 
 
+def number_of(x: Column) -> Column:
+    """The double that a run of digits of any script states; NULL if it states none."""
+    return F.translate(x, "".join(DIGITS), "".join(DIGITS.values())).try_cast("double")
+
+
 def stripped(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
@@ -142,8 +153,8 @@ def age_atom(sentence: Column) -> Column:
     fixed = {"entity": F.lit("age"), "type": F.lit("person"), "num_unit": F.lit("years"), "num_lo_incl": F.lit(True), "num_hi_incl": F.lit(True)}
 
     def of(s: Column) -> Column:
-        lo, hi = _first_group(s, AGE_RANGE, 1).cast("double"), _first_group(s, AGE_RANGE, 2).cast("double")
-        least, most = _first_group(s, AGE_MIN, 1).cast("double"), _first_group(s, [AGE_MAX], 1).cast("double")
+        lo, hi = number_of(_first_group(s, AGE_RANGE, 1)), number_of(_first_group(s, AGE_RANGE, 2))
+        least, most = number_of(_first_group(s, AGE_MIN, 1)), number_of(_first_group(s, [AGE_MAX], 1))
         return F.coalesce(
             _hit(hi > lo, F.lit("age_range"), **fixed, num_op=F.lit("between"), num_value=lo, num_upper=hi),
             _hit(least.isNotNull(), F.lit("age_min"), **fixed, num_op=F.lit("ge"), num_value=least),
@@ -170,7 +181,7 @@ def measurement_atom(sentence: Column) -> Column:
     fixed = {"type": F.lit("measurement"), "num_lo_incl": F.lit(True), "num_hi_incl": F.lit(True)}
 
     def of(m: Column) -> Column:
-        bound = F.concat(F.lit(r"(?iU)\b"), m, F.lit("\\b[^0-9<>\u2264\u2265]{0,24}?(<=|>=|\u2264|\u2265|<|>)\\s*([0-9]+(?:\\.[0-9]+)?)(.*)$"))
+        bound = F.concat(F.lit(r"(?iU)\b"), m, F.lit("\\b[^0-9<>≤≥]{0,24}?(<=|>=|≤|≥|<|>)\\s*([0-9]+(?:\\.[0-9]+)?)(.*)$"))
         span = F.concat(F.lit(r"(?iU)\b"), m, F.lit(r"\b[^0-9]{0,24}?between\s+([0-9.]+)\s+and\s+([0-9.]+)(.*)$"))
         sign, tail = extract(sentence, bound, 1), extract(sentence, bound, 3)
         op = F.lit(None).cast("string")
@@ -191,7 +202,7 @@ def temporal_of(sentence: Column) -> Column:
     def window(op: str, pattern: str) -> Column:
         unit = F.lower(F.regexp_extract(sentence, pattern, 2))
         plural = F.when(F.endswith(unit, F.lit("s")), unit).otherwise(F.concat(unit, F.lit("s")))
-        return F.when(F.rlike(sentence, F.lit(pattern)), F.struct(F.lit(op).alias("op"), F.regexp_extract(sentence, pattern, 1).try_cast("double").alias("value"), plural.alias("unit")))
+        return F.when(F.rlike(sentence, F.lit(pattern)), F.struct(F.lit(op).alias("op"), number_of(F.regexp_extract(sentence, pattern, 1)).alias("value"), plural.alias("unit")))
 
     bare = lambda op, pattern: F.when(F.rlike(sentence, F.lit(pattern)), F.struct(F.lit(op).alias("op"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit")))
     return F.coalesce(window("within", WITHIN), window("for_at_least", FOR_AT_LEAST), bare("any_history", EVER), bare("current", CURRENT))

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.intervals import kappa_of, share
 
+#: Categories of failure.
 CATEGORIES = ["negation_polarity", "temporal", "numeric_threshold", "logical_composition", "entity_conflation", "implicit_knowledge", "fabrication", "none"]
 #: Categories that no counterfactual over a form can establish.
+#: Categories that only people give.
 HUMAN_ONLY = ["entity_conflation", "implicit_knowledge", "fabrication"]
 MOST_CELLS = 10_000
 

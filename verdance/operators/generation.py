@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import logic
+from ..plans.stages import written
 
 MOST_ATOMS = 50_000
 #: Days by which a window's magnitude is scaled when a recency is drawn, whatever its unit.
@@ -33,37 +34,46 @@ def nested(depth: int, pool: list[list[dict]], rng: np.random.Generator) -> list
 
 
 def check_shape(depth: int, leaves: int, groups: int, nots: int) -> None:
-    if not 1 <= depth <= groups or (groups > 1 and depth == 1):
-        raise ValueError(f"depth {depth} doesn't fit {groups} groups")
-    if leaves < max(2, 2 * (groups - 1)):
+    """Whether every tree of `groups` groups over `depth` levels can be given these leaves and negations."""
+    if not 1 <= depth <= groups or (depth == 1) != (groups == 1):
+        raise ValueError(f"{groups} groups don't fill {depth} levels")
+    # All groups but the root may be lowest ones, which need two leaves each; a root alone does, too.
+    if leaves < 2 * max(1, groups - 1):
         raise ValueError("too few leaves for the groups")
     if not 0 <= nots <= leaves + groups:
         raise ValueError("more negations than nodes")
 
 
 def matched(depth: int, pool: list[list[dict]], rng: np.random.Generator, leaves: int = 14, groups: int = 6, nots: int = 4) -> list[dict]:
-    """A tree of exactly this depth and these numbers of leaves, groups and negations; operators alternate, so the normal form is as deep."""
+    """A tree of exactly this depth and these numbers of leaves, groups and negations; operators alternate, so the normal form is as deep.
+
+    The shape is how many groups each level has. A group of one level is an operand of one of the level above, drawn
+    evenly; leaves go to groups that lack operands, the rest evenly. Negations are a mask over the postfix array."""
     check_shape(depth, leaves, groups, nots)
-    level, above = [1], [-1]
-    for g in range(1, groups):
-        p = g - 1 if g < depth else int(rng.choice([i for i, v in enumerate(level) if v < depth]))
-        above.append(p)
-        level.append(level[p] + 1)
-    inner = [[g for g in range(groups) if above[g] == p] for p in range(groups)]
-    own = [max(0, 2 - len(c)) for c in inner]
-    for g in rng.integers(groups, size=leaves - sum(own)):
-        own[g] += 1
-    first = int(rng.integers(2))
-    negated = set(rng.choice(groups + leaves, nots, replace=False).tolist())
-    chosen = iter(rng.choice(len(pool), leaves, replace=False).tolist())
-    number = iter(range(groups, groups + leaves))
-    wrapped = lambda tree, i: logic.negation(tree) if i in negated else tree
-
-    def build(g: int) -> list[dict]:
-        parts = [build(c) for c in inner[g]] + [wrapped(pool[next(chosen)], next(number)) for _ in range(own[g])]
-        return wrapped(logic.group(("and", "or")[(first + level[g]) % 2], *(parts[i] for i in rng.permutation(len(parts)))), g)
-
-    return build(0)
+    per_level = np.ones(depth, int)
+    if depth > 1:
+        per_level[1:] += rng.multinomial(groups - depth, np.full(depth - 1, 1 / (depth - 1)))
+    end = np.cumsum(per_level)
+    level = np.repeat(np.arange(depth), per_level)
+    within = [int(rng.integers(end[v - 1] - per_level[v - 1], end[v - 1])) for v in level[1:]]
+    inner = np.bincount(within, minlength=groups)
+    needed = np.maximum(2 - inner, 0)
+    atoms = needed + rng.multinomial(leaves - needed.sum(), np.full(groups, 1 / groups))
+    flip = int(rng.integers(2))
+    # From the lowest level up, each group's operands are put in a drawn order before it; -1 is a leaf.
+    operands: list[list[list[int]]] = [[[-1]] * int(n) for n in atoms]
+    for g in range(groups - 1, -1, -1):
+        postfix = [x for i in rng.permutation(len(operands[g])) for x in operands[g][i]] + [g]
+        if g:
+            operands[within[g - 1]].append(postfix)
+    mask = np.zeros(leaves + groups, bool)
+    mask[rng.choice(len(mask), nots, replace=False)] = True
+    chosen = iter(rng.choice(len(pool), leaves, replace=False))
+    out: list[dict] = []
+    for x, negated in zip(postfix, mask):
+        out += pool[next(chosen)] if x < 0 else [logic.node(("and", "or")[(flip + level[x]) % 2], int(inner[x] + atoms[x]))]
+        out += [logic.node("not", 1)] * bool(negated)
+    return out
 
 
 def record(tree: list[dict], rng: np.random.Generator, by_unit: bool = False) -> list[dict]:
@@ -116,12 +126,31 @@ def items(spark: SparkSession, levels: dict[int, Callable[[list, np.random.Gener
 
 
 def half_met(made: DataFrame, per_level: int) -> DataFrame:
-    """Of generated items, per_level // 2 that are met and the rest that aren't, of each level, the earliest first."""
+    """Of generated items, per_level // 2 that are met and the rest that aren't, of each level, the earliest first.
+
+    Fails if the attempts don't fill a level's quotas."""
+    made = written(made, "items")
     quota = F.when(F.col("gold"), per_level // 2).otherwise(per_level - per_level // 2)
+    met, unmet = F.count_if("gold"), F.count_if(~F.col("gold"))
+    short = made.groupBy("level").agg(met.alias("met"), unmet.alias("unmet")).where((F.col("met") < per_level // 2) | (F.col("unmet") < per_level - per_level // 2)).collect()
+    if short:
+        raise ValueError(f"too few attempts: {sorted((r['level'], r['met'], r['unmet']) for r in short)} (level, met, unmet)")
     place = F.row_number().over(Window.partitionBy("level", "gold").orderBy("attempt", "number"))
     return made.withColumn("__r", place).where(F.col("__r") <= quota).drop("__r")
 
 
+def depth_ladder(spark: SparkSession, pool: list[list[dict]], depths: list[int], per_level: int, attempts: int = 8, seed: int = 101) -> DataFrame:
+    """Items of freely drawn trees, per_level of each depth, half of them met."""
+    levels = {d: (lambda p, rng, d=d: nested(d, p, rng)) for d in depths}
+    return half_met(items(spark, levels, pool, per_level, attempts, seed), per_level)
+
+
+def size_sweep(spark: SparkSession, pool: list[list[dict]], sizes: list[int], per_level: int, depth: int = 3, attempts: int = 8, seed: int = 13) -> DataFrame:
+    """Items of one depth; level is the number of leaves, groups and negations grow with it."""
+    levels = {n: (lambda p, rng, n=n: matched(depth, p, rng, n, max(depth, round(n * 3 / 7)), max(1, round(n * 2 / 7)))) for n in sizes}
+    return half_met(items(spark, levels, pool, per_level, attempts, seed), per_level)
+
+
 def paired(criteria: DataFrame, per_criterion: int = 2, seed: int = 17) -> DataFrame:
     """criteria (criterion_id, tree) each with per_criterion drawn records: item_id, criterion_id, tree, facts and gold."""
     grid = criteria.select("criterion_id", "tree", F.explode(F.sequence(F.lit(0), F.lit(per_criterion - 1))).alias("number"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import logic
 from ..functions.intervals import share, wilson
 from .scoring import calibration, known
+from .trend import depth_trend, item_trend, level_pairs, levels, pearson
 
 
 def answer_with(items: DataFrame, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -41,13 +42,31 @@ MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {"oracle": oracle_model, "
 
 
 def summaries(per_item: DataFrame) -> DataFrame:
-    """run, n, accuracy, low, high, ece, degenerate, n_unanswerable and distinct_rationales of each run."""
-    rows = known(per_item)
-    ok = F.count_if(F.col("gold") == F.col("predicted"))
-    base = rows.groupBy("run").agg(F.count(F.lit(1)).alias("n"), ok.alias("k"), F.count_if("unanswerable").alias("n_unanswerable"))
-    reasons = rows.where("trim(coalesce(rationale, '')) <> ''").groupBy("run", F.trim("rationale").alias("r")).agg(F.count(F.lit(1)).alias("c")).groupBy("run").agg(F.count(F.lit(1)).alias("distinct_rationales"), F.max("c").alias("largest_cluster"))
-    out = base.join(calibration(rows, "run").drop("n"), "run").join(reasons, "run", "left").withColumn("w", wilson(F.col("k"), F.col("n")))
-    return out.select("run", "n", share(F.col("k"), F.col("n")).alias("accuracy"), F.col("w.low").alias("low"), F.col("w.high").alias("high"), "ece", "degenerate", "n_unanswerable", F.coalesce("distinct_rationales", F.lit(0)).cast("long").alias("distinct_rationales"), F.coalesce("largest_cluster", F.lit(0)).cast("long").alias("largest_cluster"))
+    """What each run's rows say again: counts, accuracy, interval, calibration and its errors' evidence, to 4 decimals.
+
+    distinct_error_rationales and n_unanswerable_errors are NULL where no error has one. Abstentions count where
+    per_item has the column abstain."""
+    abstains = F.coalesce(F.col("abstain"), F.lit(False)) if "abstain" in per_item.columns else F.lit(False)
+    rows = known(per_item).select("*", (F.col("gold") != F.col("predicted")).alias("wrong"), abstains.alias("held_back"), F.trim(F.coalesce("rationale", F.lit(""))).alias("reason"))
+    told = F.col("wrong") & (F.col("reason") != "")
+    base = rows.groupBy("run").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("wrong")).alias("n_correct"), F.count_if("wrong").alias("n_errors"), F.avg("confidence").alias("mean_confidence"), F.count_if("held_back").alias("n_abstain"),
+        F.count_if(F.col("wrong") & F.coalesce("unanswerable", F.lit(False))).alias("u"), F.count_if(told).alias("n_errors_with_rationale"), (F.count_if(F.col("reason") != "") > 0).alias("has_rationales"),
+    )
+    reasons = rows.where(told).select("run", "reason").distinct().groupBy("run").agg(F.count(F.lit(1)).alias("distinct_error_rationales"))
+    out = base.join(calibration(rows, "run").drop("n"), "run").join(reasons, "run", "left").withColumn("w", wilson(F.col("n_correct"), F.col("n")))
+    four = lambda c: F.round(c, 4)
+    return out.select(
+        "run", "n", "n_correct", four(share(F.col("n_correct"), F.col("n"))).alias("accuracy"), four(F.col("w.low")).alias("low"), four(F.col("w.high")).alias("high"), "n_errors", four("ece").alias("ece"),
+        four("mean_confidence").alias("mean_confidence"), "n_abstain", (~F.col("degenerate")).alias("usable_confidence"), "distinct_error_rationales", "n_errors_with_rationale",
+        F.when(F.col("u") > 0, F.col("u")).alias("n_unanswerable_errors"), "has_rationales",
+    )
+
+
+def run_levels(per_item: DataFrame) -> DataFrame:
+    """run, level, n, n_correct, accuracy and interval (to 4 decimals) of each level of each run; rows without a level don't count."""
+    by = known(per_item).where("level IS NOT NULL").groupBy("run", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == F.col("predicted")).alias("n_correct"))
+    return by.withColumn("w", wilson(F.col("n_correct"), F.col("n"))).select("run", "level", "n", "n_correct", F.round(share(F.col("n_correct"), F.col("n")), 4).alias("accuracy"), F.round("w.low", 4).alias("low"), F.round("w.high", 4).alias("high"))
 
 
 def exposure(per_item: DataFrame) -> DataFrame:
@@ -65,29 +84,67 @@ def one_setting(per_item: DataFrame) -> DataFrame:
 
 
 def by_level(rows: DataFrame, level: Column) -> DataFrame:
-    """level and the means of structure, base rates, accuracy, interval and balanced accuracy. rows: tree, facts, gold, predicted."""
+    """level and the means of structure, base rates, accuracy, interval and balanced accuracy, each to the decimals of its column.
+
+    rows: tree, facts, gold, predicted. Halves are rounded to even."""
     s = F.col("s")
     slim = known(rows).select(level.alias("level"), "gold", "predicted", logic.structure(F.col("tree")).alias("s"), logic.undocumented(F.col("tree"), F.col("facts")).alias("undocumented"), logic.currency_ambiguous(F.col("tree"), F.col("facts")).alias("ambiguous"))
     ok = (F.col("gold") == F.col("predicted")).cast("double")
+    mean = lambda c, digits=1: F.bround(F.avg(c), digits)
     by = slim.groupBy("level").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == F.col("predicted")).alias("k"),
-        F.avg(s["leaves"]).alias("leaves_mean"), F.min(s["leaves"]).alias("leaves_min"), F.max(s["leaves"]).alias("leaves_max"),
-        F.avg(s["and_groups"]).alias("and_mean"), F.avg(s["or_groups"]).alias("or_mean"), F.avg(s["nots"]).alias("not_mean"), F.avg(s["canonical_depth"]).alias("canonical_depth_mean"),
-        F.avg("undocumented").alias("undocumented_mean"), F.avg("ambiguous").alias("currency_ambiguous_mean"),
-        F.avg(F.col("gold").cast("double")).alias("gold_met_rate"), F.avg(F.col("predicted").cast("double")).alias("model_met_rate"),
+        mean(s["leaves"]).alias("leaves_mean"), F.min(s["leaves"]).alias("leaves_min"), F.max(s["leaves"]).alias("leaves_max"),
+        mean(s["and_groups"]).alias("and_mean"), mean(s["or_groups"]).alias("or_mean"), mean(s["nots"]).alias("not_mean"), mean(s["canonical_depth"], 2).alias("canonical_depth_mean"),
+        mean("undocumented").alias("undocumented_mean"), mean("ambiguous").alias("currency_ambiguous_mean"),
+        mean(F.col("gold").cast("double"), 3).alias("gold_met_rate"), mean(F.col("predicted").cast("double"), 3).alias("model_met_rate"),
         F.avg(F.when(F.col("gold"), ok)).alias("recall_met"), F.avg(F.when(~F.col("gold"), ok)).alias("recall_unmet"),
     )
-    return by.withColumn("w", wilson(F.col("k"), F.col("n"))).select("*", share(F.col("k"), F.col("n")).alias("accuracy"), F.col("w.low").alias("low"), F.col("w.high").alias("high"), ((F.col("recall_met") + F.col("recall_unmet")) / 2).alias("balanced_accuracy")).drop("w", "recall_met", "recall_unmet")
+    out = by.withColumn("w", wilson(F.col("k"), F.col("n"))).select("*", F.bround(share(F.col("k"), F.col("n")), 3).alias("accuracy"), F.bround("w.low", 4).alias("low"), F.bround("w.high", 4).alias("high"), F.bround((F.col("recall_met") + F.col("recall_unmet")) / 2, 3).alias("balanced_accuracy"))
+    return out.drop("w", "recall_met", "recall_unmet")
+
+
+def structure_trend(rows: DataFrame, over: str = "depth", replicates: int = 20_000) -> DataFrame:
+    """item_trend() of correctness over the trees' depth, or over the logarithm of their leaves (over="leaves"), with
+    depth_size_r: the correlation of depth with log2(leaves), to 3 decimals. rows: tree, gold, predicted."""
+    s = logic.structure(F.col("tree"))
+    slim = known(rows).select(s["depth"].cast("double").alias("depth"), F.log2(s["leaves"]).alias("size"), (F.col("gold") == F.col("predicted")).alias("ok"))
+    r = pearson(slim, "depth", "size").collect()[0]["r"]
+    return item_trend(levels(slim, F.col("depth" if over == "depth" else "size"), F.col("ok")), replicates).withColumn("depth_size_r", F.lit(round(r, 3)))
+
 
+def _gate(condition: Column, gate: str, severity: str) -> Column:
+    return F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(gate).alias("gate"), F.lit(severity).alias("severity")))
 
-def gates(runs: DataFrame, least: int = 30) -> DataFrame:
-    """run, gate, severity (BLOCK or NOTE) of each rule that a run's summary breaks."""
-    rule = lambda c, gate, severity: F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(gate).alias("gate"), F.lit(severity).alias("severity")))
+
+def gates(summary: DataFrame) -> DataFrame:
+    """subject (the run), gate and severity of each rule that a row of summaries() breaks. BLOCK: not to be reported as it is; NOTE: to be said with it."""
     found = F.array_compact(F.array(
-        rule(F.col("n") < least, "too_few_items", "BLOCK"), rule(F.col("degenerate"), "constant_confidence", "BLOCK"), rule(F.col("accuracy").isin(0.0, 1.0), "saturated", "NOTE"),
-        rule(F.col("n_unanswerable") > 0, "unanswerable_items", "NOTE"), rule((F.col("distinct_rationales") > 0) & (F.col("largest_cluster") > F.col("n") / 10), "repeated_rationale", "NOTE"),
+        _gate(~F.col("usable_confidence"), "constant_confidence", "BLOCK"), _gate(F.col("accuracy") == 1, "perfect_score", "NOTE"),
+        _gate((F.col("n_errors") > 2) & (F.col("distinct_error_rationales") < F.col("n_errors")), "repeated_rationales", "BLOCK"),
+        _gate(F.col("n_unanswerable_errors") > 0, "unanswerable_errors", "BLOCK"),
     ))
-    return runs.select("run", F.explode(found).alias("g")).select("run", "g.*")
+    return summary.select(F.col("run").alias("subject"), F.explode(found).alias("g")).select("subject", "g.*")
+
+
+def sweep_gates(table: DataFrame, replicates: int = 20_000) -> DataFrame:
+    """The gates of a sweep over levels (x, n, k): a trend that rises or isn't significant, its attainable p, and pairs that can't be told apart."""
+    rules = F.array_compact(F.array(_gate(~F.col("monotone"), "not_monotone", "BLOCK"), _gate(F.col("p_one_sided") > 0.05, "no_significant_trend", "BLOCK"), _gate(F.lit(True), "attainable_p", "NOTE")))
+    trend = depth_trend(table, replicates).select(F.lit("sweep").alias("subject"), F.explode(rules).alias("g")).select("subject", "g.*")
+    pairs = level_pairs(table).where("overlap").select(F.concat_ws("-", F.col("x_a").cast("string"), F.col("x_b").cast("string")).alias("subject"), F.lit("indistinguishable_levels").alias("gate"), F.lit("NOTE").alias("severity"))
+    return trend.unionByName(pairs)
+
+
+def mixed_gates(table: DataFrame) -> DataFrame:
+    """A note on a mixed set none of whose pairs of levels is separated."""
+    apart = level_pairs(table).agg(F.count_if(~F.col("overlap")).alias("apart"))
+    return apart.select(F.lit("mixed").alias("subject"), F.explode(F.array_compact(F.array(_gate(F.col("apart") == 0, "no_separated_pair", "NOTE")))).alias("g")).select("subject", "g.*")
+
+
+def corpus_gates(criteria: DataFrame) -> DataFrame:
+    """Gates of a corpus of criteria (polarity, depth): none with coordination, none that excludes."""
+    one = criteria.agg(F.count_if(F.col("depth") > 0).alias("grouped"), F.count_if(F.col("polarity") == "exclusion").alias("excluding"))
+    rules = F.array_compact(F.array(_gate(F.col("grouped") == 0, "no_coordination", "BLOCK"), _gate(F.col("excluding") == 0, "no_exclusion", "BLOCK")))
+    return one.select(F.lit("corpus").alias("subject"), F.explode(rules).alias("g")).select("subject", "g.*")
 
 
 def provenance(df: DataFrame, *columns: str) -> DataFrame:

@@ -41,11 +41,14 @@ def stratified(rows: DataFrame, strata: list[str], ident: str, target: int, seed
     total = sizes.agg(F.sum("__n").alias("__total"))
     goal = F.least(F.lit(target), F.col("__total"))
     quota = sizes.join(F.broadcast(total)).withColumn("__quota", F.greatest(F.lit(1), F.bround(goal * F.col("__n") / F.col("__total"), 0)).cast("long"))
-    # A hot stratum isn't ranked whole: rows far beyond its quota by their hash drop out first.
+    # A hot stratum isn't ranked whole: rows far beyond its quota by their hash drop out first. Where that leaves too
+    # few (many rows with one id), the stratum is ranked whole after all.
     order = shuffled_order(F.col(ident), seed)
-    near = rows.join(F.broadcast(quota), strata).withColumn("__o", order)
+    near = rows.join(quota, strata).withColumn("__o", order)
     bound = F.when(F.col("__n") > 8 * (F.col("__quota") + 16), 4 * (F.col("__quota") + 16) / F.col("__n"))
-    likely = near.where(bound.isNull() | (F.conv(F.substring("__o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) < bound))
+    inside = bound.isNull() | (F.conv(F.substring("__o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) < bound)
+    short = near.groupBy(*strata).agg(F.first("__quota").alias("q"), F.count_if(inside).alias("c")).where("c < q").limit(1).count()
+    likely = near if short else near.where(inside)
     place = F.row_number().over(Window.partitionBy(*strata).orderBy("__o"))
     picked = likely.withColumn("__r", place).where("__r <= __quota").drop("__r", "__quota", "__n", "__total", "__o")
     return least(picked, order, target)

@@ -12,15 +12,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import share, wilson
+from .validation import coverage
 
 OVERALL, UNGROUPED = "overall", "ungrouped"
 
 
 def decisions(items: DataFrame, predictions: DataFrame) -> DataFrame:
-    """items joined with predictions on item_id; both sides are checked for coverage by validate.coverage."""
+    """items joined with predictions on item_id. What either side lacks drops out: validation.coverage lists it."""
     return items.join(predictions, "item_id")
 
 
+def covered(items: DataFrame, predictions: DataFrame) -> DataFrame:
+    """decisions() of a complete submission: fails if an item has no prediction or a prediction no item."""
+    gaps = coverage(items, predictions).groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()
+    if gaps:
+        raise ValueError("; ".join(f"{r['n']} {r['side']}" for r in gaps))
+    return decisions(items, predictions)
+
+
 def _count(condition: Column) -> Column:
     return F.count_if(condition)
 

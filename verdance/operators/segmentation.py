@@ -3,7 +3,7 @@
 Segmentation and extraction are narrow projections. Removing duplicates is an aggregation by key.
 The capped corpus keeps, in order of study and position, a sentence whose key no earlier kept one
 has, up to a number per study: each decision depends on earlier ones of other studies. It is found
-in rounds (see `corpus`), each two aggregations, so no task ever holds all sentences.
+in rounds (see `first_capped`), each two aggregations, so no task ever holds all sentences.
 
 Defined cases: a null id or text gives no rows; an id that occurs twice gives the rows of each; an
 empty table gives none."""
@@ -17,6 +17,8 @@ from ..functions import logic, text
 from ..plans.stages import written
 
 PER_STUDY = 4
+#: Keys that are sent by broadcast in a round of first_capped.
+FREQUENT = 1000
 REASONS = ["length_out_of_range", "boilerplate_phrase", "no_pattern_matched", "no_faithful_mapping"]
 
 
@@ -41,11 +43,17 @@ def yield_counts(found: DataFrame) -> DataFrame:
     return found.select(F.explode(cells).alias("c")).groupBy("c.kind", "c.name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_atoms(found: DataFrame) -> DataFrame:
-    """One row of each atom: that of the least (study_id, pos), with the number of rows that have it."""
+def distinct_atoms(found: DataFrame, per_study: int | None = None) -> DataFrame:
+    """One row of each atom: that of the least (study_id, pos), with the number of rows that have it.
+
+    per_study: so many of each study at most. A study isn't read on once it is full, so an atom further down may come
+    from a later one (first_capped)."""
     keyed = found.where("hit IS NOT NULL").withColumn("key", F.sha2(logic.key(F.col("hit.tree")), 256))
     rest = F.struct("study_id", "pos", "section", "sentence", "hit")
-    return keyed.groupBy("key").agg(F.min_by(rest, F.struct("study_id", "pos")).alias("r"), F.count(F.lit(1)).alias("n")).select("key", "r.*", "n")
+    if per_study is None:
+        return keyed.groupBy("key").agg(F.min_by(rest, F.struct("study_id", "pos")).alias("r"), F.count(F.lit(1)).alias("n")).select("key", "r.*", "n")
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return first_capped(keyed, per_study).select("key", "study_id", "pos", "section", "sentence", "hit").join(counts, "key")
 
 
 def mapped(studies: DataFrame, **names: str) -> DataFrame:
@@ -54,8 +62,8 @@ def mapped(studies: DataFrame, **names: str) -> DataFrame:
     return rows.withColumn("skipped", F.when(F.col("skipped").isNull() & F.col("form").isNull(), "no_faithful_mapping").otherwise(F.col("skipped")))
 
 
-def corpus(rows: DataFrame, per_study: int | None = PER_STUDY) -> DataFrame:
-    """The rows of mapped() that the corpus keeps, with kept_no (0, 1, ... within the study) and key.
+def first_capped(keyed: DataFrame, per_study: int | None) -> DataFrame:
+    """The rows of keyed (study_id, pos, key, ...) that a reader in order keeps, with kept_no (0, 1, ... within the study).
 
     In order of (study_id, pos), a row is kept if no earlier kept row has its key and its study has
     fewer than per_study kept ones before it. Rounds: a row is dropped once an earlier row of its key
@@ -63,14 +71,13 @@ def corpus(rows: DataFrame, per_study: int | None = PER_STUDY) -> DataFrame:
     that isn't dropped, and fewer than per_study rows before it in its study aren't dropped. The first
     undecided row of all is decided in each round, and as a rule nearly all rows are in one or two."""
     place = F.struct("study_id", "pos")
-    keyed = rows.where("form IS NOT NULL").withColumn("key", F.sha2(F.concat_ws("|", "section", logic.key(F.col("form.tree"))), 256))
     slim = written(keyed.select("study_id", "pos", "key", F.lit(None).cast("boolean").alias("kept")), "corpus-state")
     before = Window.partitionBy("study_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     cap = F.lit(per_study if per_study is not None else (1 << 31) - 1)
     while True:
         alive = F.coalesce(F.col("kept"), F.lit(True))
-        firsts = slim.groupBy("key").agg(F.min(F.when(alive, place)).alias("first"), F.min(F.when(F.col("kept"), place)).alias("first_kept"))
-        seen = slim.join(firsts, "key").withColumns({"sure": F.coalesce(F.sum(F.when(F.col("kept"), 1).otherwise(0)).over(before), F.lit(0)), "most": F.coalesce(F.sum(F.when(alive, 1).otherwise(0)).over(before), F.lit(0))})
+        firsts = slim.groupBy("key").agg(F.min(F.when(alive, place)).alias("first"), F.min(F.when(F.col("kept"), place)).alias("first_kept"), F.count(F.lit(1)).alias("n"))
+        seen = _with_firsts(slim, written(firsts, "corpus-firsts")).withColumns({"sure": F.coalesce(F.sum(F.when(F.col("kept"), 1).otherwise(0)).over(before), F.lit(0)), "most": F.coalesce(F.sum(F.when(alive, 1).otherwise(0)).over(before), F.lit(0))})
         drop = F.coalesce(F.col("first_kept") < place, F.lit(False)) | (F.col("sure") >= cap)
         keep = (F.col("first") == place) & (F.col("most") < cap)
         slim = written(seen.select("study_id", "pos", "key", F.coalesce("kept", F.when(drop, False).when(keep, True)).alias("kept")), "corpus-state")
@@ -78,12 +85,29 @@ def corpus(rows: DataFrame, per_study: int | None = PER_STUDY) -> DataFrame:
             break
     number = F.row_number().over(Window.partitionBy("study_id").orderBy("pos")) - 1
     chosen = slim.where("kept").select("study_id", "pos", "key", number.alias("kept_no"))
-    return keyed.drop("kept").join(chosen, ["study_id", "pos", "key"])
+    return keyed.join(chosen, ["study_id", "pos", "key"])
+
 
+def _with_firsts(slim: DataFrame, firsts: DataFrame) -> DataFrame:
+    """slim with the firsts of each key. The FREQUENT keys of most rows (sentences that most studies share) go by broadcast,
+    a fixed number of rows, so no task gets all rows of such a key."""
+    hot = firsts.orderBy(F.desc("n"), "key").limit(FREQUENT)
+    keys = hot.select("key")
+    rest = slim.join(F.broadcast(keys), "key", "left_anti").join(firsts.join(F.broadcast(keys), "key", "left_anti"), "key")
+    return slim.join(F.broadcast(hot), "key").unionByName(rest)
 
-def criteria(rows: DataFrame, per_study: int | None = PER_STUDY, snapshot: str = "unknown") -> DataFrame:
-    """criterion_id, polarity, text, tree, depth and metadata of the corpus."""
+
+def corpus(rows: DataFrame, per_study: int | None = PER_STUDY) -> DataFrame:
+    """The rows of mapped() that the corpus keeps (first_capped), with kept_no and key: section and tree."""
+    keyed = rows.where("form IS NOT NULL").withColumn("key", F.sha2(F.concat_ws("|", "section", logic.key(F.col("form.tree"))), 256))
+    return first_capped(keyed, per_study)
+
+
+def criteria(rows: DataFrame, per_study: int | None = PER_STUDY, snapshot: str = "unknown", limit: int | None = None) -> DataFrame:
+    """criterion_id, polarity, text, tree, depth and metadata of the corpus; with limit, of its first so many in order."""
     made = corpus(rows, per_study)
+    if limit is not None:
+        made = made.orderBy("study_id", "pos").limit(limit)
     ident = F.concat(F.lit("ctgov:"), F.col("study_id").cast("string"), F.lit(":"), F.substring("section", 1, 3), F.lit(":"), F.lpad(F.col("kept_no").cast("string"), F.greatest(F.lit(2), F.length(F.col("kept_no").cast("string"))), F.lit("0")))
     meta = F.create_map(
         F.lit("trial_id"), F.col("study_id").cast("string"), F.lit("section"), F.col("section"), F.lit("extraction_rule"), F.col("form.rule"),
@@ -109,3 +133,22 @@ def corpus_counts(rows: DataFrame, kept: DataFrame, per_study: int | None = PER_
 def histogram(made: DataFrame, column: Column, alias: str) -> DataFrame:
     """How many criteria have each value of a column (polarity, depth)."""
     return made.groupBy(column.alias(alias)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mapping_rate(counts: DataFrame) -> DataFrame:
+    """One row: considered, mapped and rate (to 4 decimals) of corpus_counts()."""
+    pick = lambda name: F.coalesce(F.sum(F.when((F.col("kind") == "total") & (F.col("name") == name), F.col("n"))), F.lit(0))
+    one = counts.agg(pick("considered").alias("considered"), pick("mapped").alias("mapped"))
+    return one.select("considered", "mapped", F.round(F.coalesce(F.try_divide("mapped", "considered"), F.lit(0.0)), 4).alias("rate"))
+
+
+def composition(pool: DataFrame, made: DataFrame) -> DataFrame:
+    """part (pool, corpus), measure and n: atoms, studies, sections and patterns of a pool (distinct_atoms), criteria,
+    studies, polarities and depths of a corpus (criteria)."""
+    cell = lambda part, measure: F.struct(F.lit(part).alias("part"), measure.alias("measure"))
+    named = lambda name, value: F.concat(F.lit(name + ":"), value.cast("string"))
+    atoms_ = pool.select(F.explode(F.array(cell("pool", F.lit("atoms")), cell("pool", named("section", F.col("section"))), cell("pool", named("pattern", F.col("hit.pattern"))))).alias("c"))
+    forms = made.select(F.explode(F.array(cell("corpus", F.lit("criteria")), cell("corpus", named("polarity", F.col("polarity"))), cell("corpus", named("depth", F.col("depth"))))).alias("c"))
+    out = atoms_.unionByName(forms).groupBy("c.part", "c.measure").agg(F.count(F.lit(1)).alias("n"))
+    studies = pool.select(F.lit("pool").alias("part"), F.col("study_id").cast("string").alias("s")).unionByName(made.select(F.lit("corpus").alias("part"), F.col("metadata")["trial_id"].alias("s")))
+    return out.unionByName(studies.distinct().groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.lit("studies").alias("measure"), "n"))

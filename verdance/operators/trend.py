@@ -24,6 +24,8 @@ from ..functions.intervals import Z95, overlap, sample_size, share, wilson
 EXACT_LEVELS = 8
 #: Levels that a simulation sends to its tasks: more is an error, not a cut.
 MOST_LEVELS = 100_000
+#: All pairs are made of so many levels at most: more is an error, too.
+MOST_PAIRED = 1000
 
 
 def levels(rows: DataFrame, x: Column, correct: Column) -> DataFrame:
@@ -98,10 +100,18 @@ def level_scores(table: DataFrame) -> DataFrame:
     return out.withColumn("rises", F.coalesce(F.col("accuracy") > before + 1e-12, F.lit(False)))
 
 
+def depth_trend(table: DataFrame, replicates: int = 20_000, seed: int = 0) -> DataFrame:
+    """One row: permutation_test() with monotone, whether accuracy never rises from a level to the next."""
+    rises = level_scores(table).agg((F.count_if("rises") == 0).alias("monotone")).collect()[0]["monotone"]
+    return permutation_test(table, replicates, seed).withColumn("monotone", F.lit(rises))
+
+
 def level_pairs(table: DataFrame) -> DataFrame:
     """Each pair of levels: whether their intervals (to 4 decimals) overlap, and if so how many rows a level would tell them apart, else 0.
 
-    A self-join of levels, of which there are few: it isn't one of rows."""
+    A self-join of levels, of which there may be MOST_PAIRED: it isn't one of rows."""
+    if table.limit(MOST_PAIRED + 1).count() > MOST_PAIRED:
+        raise ValueError(f"more than {MOST_PAIRED} levels: bin x first")
     s = level_scores(table).select("x", "accuracy", F.struct(F.round("low", 4).alias("low"), F.round("high", 4).alias("high")).alias("w"))
     a, b = s.select(*(F.col(c).alias(f"{c}_a") for c in s.columns)), s.select(*(F.col(c).alias(f"{c}_b") for c in s.columns))
     met = overlap(F.col("w_a"), F.col("w_b"))

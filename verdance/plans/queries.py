@@ -168,9 +168,23 @@ def permutation_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.permutation_test(_levels(spark, sf_dir))
 
 
-@query()
+PAIR_NEED = f"pow({Z} * sqrt(2 * (a.p + b.p) / 2 * (1 - (a.p + b.p) / 2)) + 0.8416212335729143 * sqrt(a.p * (1 - a.p) + b.p * (1 - b.p)), 2) / pow(a.p - b.p, 2)"
+
+
+@query(f"""WITH {LV}, g AS (SELECT x, n_correct / CAST(n AS DOUBLE) AS p, round({LOW}, 4) AS low, round({HIGH}, 4) AS high FROM v)
+SELECT a.x AS x_a, b.x AS x_b, round(a.p, 6) AS accuracy_a, round(b.p, 6) AS accuracy_b, a.high >= b.low AND b.high >= a.low AS overlap,
+  CAST(CASE WHEN NOT (a.high >= b.low AND b.high >= a.low) THEN 0 WHEN abs(a.p - b.p) < 1e-12 THEN -1 ELSE greatest(1, ceil({PAIR_NEED})) END AS BIGINT) AS n_needed
+FROM g a JOIN g b ON a.x < b.x""")
 def level_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.level_pairs(_levels(spark, sf_dir))
+    return _rounded(trend.level_pairs(_levels(spark, sf_dir)))
+
+
+# Newton's method on the levels: one row a step.
+NEWTON = f"""{LV}, it AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b UNION ALL
+  SELECT i + 1, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
+    SELECT i, a, b, sum(n * p * (1 - p)) AS h0, sum(n * p * (1 - p) * x) AS h1, sum(n * p * (1 - p) * x * x) AS h2, sum(n_correct - n * p) AS g0, sum((n_correct - n * p) * x) AS g1
+    FROM (SELECT i, a, b, x, n, n_correct, 1 / (1 + exp(-(a + b * x))) AS p FROM it, v WHERE i < 30) GROUP BY i, a, b)),
+model AS (SELECT a, b FROM it WHERE i = 30)"""
 
 
 @query()
@@ -179,9 +193,17 @@ def item_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.item_trend(_levels(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NEWTON}, w AS (SELECT any_value(a) AS a, any_value(b) AS b, sum(n) AS n, sum(n_correct) AS n_correct, sum(n * p * (1 - p)) AS h0, sum(n * p * (1 - p) * x) AS h1, sum(n * p * (1 - p) * x * x) AS h2
+  FROM (SELECT a, b, x, n, n_correct, 1 / (1 + exp(-(a + b * x))) AS p FROM model, v)), e AS (SELECT *, sqrt(h0 / (h0 * h2 - h1 * h1)) AS se FROM w)
+SELECT CAST(n AS BIGINT) AS n, CAST(n_correct AS BIGINT) AS n_correct, round(a, 6) AS intercept, round(b, 6) AS slope, round(se, 6) AS se, round(exp(b), 6) AS odds_ratio, round(exp(b - {Z} * se), 6) AS or_low, round(exp(b + {Z} * se), 6) AS or_high FROM e""")
+def item_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logistic model behind item_trend."""
+    return _rounded(trend.item_trend(_levels(spark, sf_dir), replicates=0).select("n", "n_correct", "intercept", "slope", "se", "odds_ratio", "or_low", "or_high"))
+
+
+@query(f"WITH RECURSIVE {NEWTON} SELECT x, round(1 / (1 + exp(-(a + b * x))), 6) AS p FROM model, (SELECT CAST(unnest([4, 6, 8, 10, 12]) AS DOUBLE) AS x)")
 def predicted_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.predicted(_levels(spark, sf_dir), [4.0, 6.0, 8.0, 10.0, 12.0])
+    return _rounded(trend.predicted(_levels(spark, sf_dir), [4.0, 6.0, 8.0, 10.0, 12.0]))
 
 
 @query()
@@ -355,25 +377,65 @@ def exposure_by_criterion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(runs.exposure(rows))
 
 
-@query(f"WITH {FU}, j AS ({_JUDGED_SQL}), g AS (SELECT criterion AS run, count(*) AS n, count(*) FILTER (WHERE gold = predicted) AS n_correct, count(*) FILTER (WHERE {_CURRENT}) AS n_unanswerable FROM j GROUP BY ALL) SELECT run, n, round(n_correct / CAST(n AS DOUBLE), 6) AS accuracy, round({LOW}, 6) AS low, round({HIGH}, 6) AS high, round(abs(n_correct / CAST(n AS DOUBLE) - 0.7), 6) AS ece, true AS degenerate, n_unanswerable, CAST(1 AS BIGINT) AS distinct_rationales, n AS largest_cluster FROM g")
+SUMMARY = f"""{FU}, j AS ({_JUDGED_SQL}), g AS (SELECT criterion AS run, count(*) AS n, count(*) FILTER (WHERE gold = predicted) AS n_correct, count(*) FILTER (WHERE gold <> predicted) AS n_errors, count(*) FILTER (WHERE gold <> predicted AND {_CURRENT}) AS u FROM j GROUP BY criterion),
+s AS (SELECT run, n, n_correct, round(n_correct / CAST(n AS DOUBLE), 4) AS accuracy, round({LOW}, 4) AS low, round({HIGH}, 4) AS high, n_errors, round(abs(n_correct / CAST(n AS DOUBLE) - 0.7), 4) AS ece, CAST(0.7 AS DOUBLE) AS mean_confidence, CAST(0 AS BIGINT) AS n_abstain, false AS usable_confidence,
+  CASE WHEN n_errors > 0 THEN CAST(1 AS BIGINT) END AS distinct_error_rationales, n_errors AS n_errors_with_rationale, CASE WHEN u > 0 THEN u END AS n_unanswerable_errors, true AS has_rationales FROM g)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).withColumns({"run": F.col("criterion"), "level": logic.depth(F.col("tree")), "unanswerable": logic.unanswerable(F.col("tree"), F.col("facts"))})
+
+
+@query(f"WITH {SUMMARY} SELECT * FROM s")
 def run_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir).withColumns({"run": F.col("criterion"), "unanswerable": logic.unanswerable(F.col("tree"), F.col("facts"))})
-    return _rounded(runs.summaries(rows))
+    """Each criterion as a run of a reader with one confidence and one rationale a run."""
+    return _rounded(runs.summaries(_runs(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {SUMMARY} SELECT run AS subject, gate, severity FROM s, (VALUES ('constant_confidence', 'BLOCK'), ('perfect_score', 'NOTE'), ('repeated_rationales', 'BLOCK'), ('unanswerable_errors', 'BLOCK')) r(gate, severity)
+WHERE CASE gate WHEN 'constant_confidence' THEN NOT usable_confidence WHEN 'perfect_score' THEN accuracy = 1 WHEN 'repeated_rationales' THEN n_errors > 2 AND distinct_error_rationales < n_errors ELSE n_unanswerable_errors IS NOT NULL END""")
 def run_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _judged(spark, sf_dir).withColumns({"run": F.col("criterion"), "unanswerable": logic.unanswerable(F.col("tree"), F.col("facts"))})
-    return runs.gates(runs.summaries(rows))
+    return runs.gates(runs.summaries(_runs(spark, sf_dir)))
 
 
-@query()
+#: What tree_forms must say of each criterion, read off CRITERIA by hand: leaves, and, or, nots, depth, depth of the normal form, text, text of the normal form.
+FORMS = {
+    "recent_purchase": (1, 0, 0, 0, 0, 0, "purchase >= 50.0 (within the past 2.0 weeks)", "purchase >= 50.0 (within the past 2.0 weeks)"),
+    "view_not_click": (2, 1, 0, 1, 1, 1, "(view AND NOT (click > 20.0))", "(NOT (click > 20.0) AND view)"),
+    "any_strong": (3, 0, 1, 0, 1, 1, "(purchase between 10.0 and 90.0 OR signup (current / ongoing) OR click < 5.0)", "(click < 5.0 OR purchase between 10.0 and 90.0 OR signup (current / ongoing))"),
+    "nested": (5, 2, 2, 2, 3, 3, "NOT (((view <= 40.0 OR NOT (error (for at least 1.0 months))) AND (purchase != 0.0 OR (click AND logout (at any time in history)))))", "NOT ((((click AND logout (at any time in history)) OR purchase != 0.0) AND (NOT (error (for at least 1.0 months)) OR view <= 40.0)))"),
+    "flat_or": (4, 0, 2, 2, 2, 1, "((view OR click) OR view OR NOT (NOT (purchase)))", "(click OR purchase OR view)"),
+}
+
+
+def _structure_sql() -> str:
+    per = " UNION ALL ".join(f"SELECT '{name}' AS criterion, {f[0]} AS leaves, {f[1]} AS ands, {f[2]} AS ors, {f[3]} AS nots, {f[4]} AS depth, {f[5]} AS canonical" for name, f in FORMS.items())
+    missing = " ".join(f"WHEN '{name}' THEN {' + '.join(f'CAST({n["entity"]}_present IS NULL AS INT)' for n in t if n['kind'] == 'atom')}" for name, t in CRITERIA.items())
+    unclear = " ".join(f"WHEN '{name}' THEN {' + '.join([f'CAST(coalesce({n["entity"]}_present AND NOT {n["entity"]}_current, false) AS INT)' for n in t if n['kind'] == 'atom' and not n['tmp_op']] or ['0'])}" for name, t in CRITERIA.items())
+    return f"""WITH {FU}, j AS ({_JUDGED_SQL}), f AS ({per}), r AS (SELECT f.*, gold, predicted, CASE criterion {missing} END AS missing, CASE criterion {unclear} END AS unclear FROM j JOIN f USING (criterion)),
+g AS (SELECT depth AS level, count(*) AS n, count(*) FILTER (WHERE gold = predicted) AS n_correct, round_even(avg(leaves), 1) AS leaves_mean, min(leaves) AS leaves_min, max(leaves) AS leaves_max, round_even(avg(ands), 1) AS and_mean, round_even(avg(ors), 1) AS or_mean, round_even(avg(nots), 1) AS not_mean,
+  round_even(avg(canonical), 2) AS canonical_depth_mean, round_even(avg(missing), 1) AS undocumented_mean, round_even(avg(unclear), 1) AS currency_ambiguous_mean, round_even(avg(CAST(gold AS DOUBLE)), 3) AS gold_met_rate, round_even(avg(CAST(predicted AS DOUBLE)), 3) AS model_met_rate,
+  (avg(CAST(gold = predicted AS DOUBLE)) FILTER (WHERE gold) + avg(CAST(gold = predicted AS DOUBLE)) FILTER (WHERE NOT gold)) / 2 AS balanced FROM r GROUP BY depth)
+SELECT * EXCLUDE (n_correct, balanced), n_correct AS k, round_even(n_correct / CAST(n AS DOUBLE), 3) AS accuracy, round_even({LOW}, 4) AS low, round_even({HIGH}, 4) AS high, round_even(balanced, 3) AS balanced_accuracy FROM g"""
+
+
+@query(_structure_sql())
 def structure_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _judged(spark, sf_dir)
     return runs.by_level(rows, logic.depth(F.col("tree")))
 
 
-@query()
+def _form_sql(k: int) -> str:
+    return f"CASE criterion {' '.join(f"WHEN '{name}' THEN {f[k]}" for name, f in FORMS.items())} END"
+
+
+@query(f"WITH {FU}, j AS ({_JUDGED_SQL}), f AS (SELECT gold, predicted, {_form_sql(4)} AS d, log2({_form_sql(0)}) AS s FROM j) SELECT count(*) AS n, count(*) FILTER (WHERE gold = predicted) AS n_correct, round(covar_pop(d, s) / sqrt(var_pop(d) * var_pop(s)), 3) AS depth_size_r FROM f")
+def structure_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How depth goes with size, and what the item-level trend over depth rests on."""
+    return runs.structure_trend(_judged(spark, sf_dir), replicates=0).select("n", "n_correct", "depth_size_r")
+
+
+@query(f"SELECT criterion, leaves, a AS and_groups, o AS or_groups, nots, a + o AS groups, depth, cd AS canonical_depth, rendered, canonical FROM (VALUES {', '.join(str((name, *f)) for name, f in FORMS.items())}) f(criterion, leaves, a, o, nots, depth, cd, rendered, canonical)")
 def tree_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure, rendered text and rendered normal form of the fixed criteria."""
     rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("criterion"), logic.literal(t).alias("tree")) for n, t in CRITERIA.items()))).alias("c")).select("c.*")
@@ -408,25 +470,71 @@ def conversation_sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("section", F.coalesce("skipped", F.lit("kept")).alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+# Study texts made of the table part: a line for each extractor, with what it must give.
+
+
+def _studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """study_id and text of a study for each part."""
+    size, name, kind = F.col("p_size").cast("string"), F.col("p_name"), F.lower("p_type")
+    months = (F.col("p_size") % 12 + 1).cast("string")
+    lines = [
+        F.lit("Inclusion Criteria:"), F.lit(""), F.concat(F.lit("* Age "), size, F.lit(" years or older")), F.concat(F.lit("* diagnosis of "), name), F.concat(F.lit("* HbA1c >= "), size, F.lit(".5 %")),
+        F.concat(F.lit("Exclusion criteria: history of "), name, F.lit(" within "), months, F.lit(" months")), F.lit("* able to sign a form"), F.concat(F.lit("* treatment with "), name, F.lit(" or use of "), kind, F.lit(" monitoring")), F.concat(F.lit("- No diagnosis of "), name),
+    ]
+    parts = _table(spark, sf_dir, "part")
+    return parts.select(F.concat(F.lit("NCT"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("study_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
+PARTS = "p AS (SELECT 'NCT' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS study_id, p_name AS name, lower(p_type) AS kind, p_size AS size, p_size % 12 + 1 AS months FROM part)"
+FOUND = """found AS (SELECT study_id, 2 AS pos, 'inclusion' AS section, 'age >= ' || size || '.0 years' AS rendered, 'age_min' AS pattern FROM p
+  UNION ALL SELECT study_id, 3, 'inclusion', name, 'condition:diagnosis_of' FROM p UNION ALL SELECT study_id, 4, 'inclusion', 'hba1c >= ' || size || '.5 %', 'measurement_threshold' FROM p
+  UNION ALL SELECT study_id, 5, 'exclusion', name || ' (within the past ' || months || '.0 months)', 'condition:history_of' FROM p
+  UNION ALL SELECT study_id, 7, 'exclusion', kind || ' monitoring', 'procedure:use_of' FROM p UNION ALL SELECT study_id, 8, 'exclusion', name, 'condition:diagnosis_of' FROM p)"""
+MADE = """made AS (SELECT study_id, pos, section, rendered, 0 AS depth FROM found WHERE pos < 7
+  UNION ALL SELECT study_id, 7, 'exclusion', '(' || name || ' OR ' || kind || ' monitoring)', 1 FROM p UNION ALL SELECT study_id, 8, 'exclusion', 'NOT (' || name || ')', 0 FROM p)"""
+
+
+@query(f"WITH {PARTS}, {FOUND} SELECT 'pattern' AS kind, pattern AS name, count(*) AS n FROM found GROUP BY pattern UNION ALL SELECT 'skipped', 'boilerplate_phrase', count(*) FROM p UNION ALL SELECT 'total', 'considered', 7 * count(*) FROM p")
 def extraction_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of the extractor over all documents. The prose is invented, so few sentences hold a cue."""
-    return segmentation.yield_counts(segmentation.atoms(_table(spark, sf_dir, "documents"), study="doc_id"))
+    """Counters of the extractor over the study texts."""
+    return segmentation.yield_counts(segmentation.atoms(_studies(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {PARTS}, {FOUND} SELECT rendered, arg_min(study_id, (study_id, pos)) AS study_id, arg_min(pos, (study_id, pos)) AS pos, arg_min(section, (study_id, pos)) AS section, count(*) AS n FROM found GROUP BY rendered")
 def atom_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = segmentation.atoms(_table(spark, sf_dir, "documents"), study="doc_id")
-    return segmentation.distinct_atoms(found).select("key", "study_id", "pos", "section", "n", logic.render(F.col("hit.tree")).alias("rendered"))
+    found = segmentation.atoms(_studies(spark, sf_dir))
+    return segmentation.distinct_atoms(found).select(logic.render(F.col("hit.tree")).alias("rendered"), "study_id", "pos", "section", "n")
+
+
+@query(f"""WITH {PARTS}, {FOUND}, {MADE}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section, rendered ORDER BY study_id, pos) AS r FROM made) WHERE r = 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY pos) - 1 AS k FROM kept)
+SELECT 'ctgov:' || study_id || ':' || section[:3] || ':' || lpad(CAST(k AS VARCHAR), 2, '0') AS criterion_id, section AS polarity, depth, rendered FROM numbered""")
+def criterion_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of the study texts without a cap on a study."""
+    made = segmentation.criteria(segmentation.mapped(_studies(spark, sf_dir)), per_study=None)
+    return made.select("criterion_id", "polarity", "depth", logic.render(F.col("tree")).alias("rendered"))
 
 
 @query()
 def criterion_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segmentation.mapped(_table(spark, sf_dir, "documents"), study="doc_id")
-    return segmentation.criteria(rows).select("criterion_id", "polarity", "depth", logic.render(F.col("tree")).alias("rendered"))
+    """The corpus with its cap, a sequential choice: the tests hold it against a fold."""
+    made = segmentation.criteria(segmentation.mapped(_studies(spark, sf_dir)))
+    return made.select("criterion_id", "polarity", "depth", logic.render(F.col("tree")).alias("rendered"))
 
 
-@query()
+@query(f"""WITH {PARTS}, {FOUND}, {MADE}, pool AS (SELECT rendered, arg_min(study_id, (study_id, pos)) AS study_id, arg_min(section, (study_id, pos)) AS section, arg_min(pattern, (study_id, pos)) AS pattern FROM found GROUP BY rendered),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section, rendered ORDER BY study_id, pos) AS r FROM made) WHERE r = 1)
+SELECT 'pool' AS part, measure, count(*) AS n FROM (SELECT unnest(['atoms', 'section:' || section, 'pattern:' || pattern]) AS measure FROM pool) GROUP BY measure
+UNION ALL SELECT 'pool', 'studies', count(DISTINCT study_id) FROM pool UNION ALL SELECT 'corpus', 'studies', count(DISTINCT study_id) FROM kept
+UNION ALL SELECT 'corpus', measure, count(*) FROM (SELECT unnest(['criteria', 'polarity:' || section, 'depth:' || depth]) AS measure FROM kept) GROUP BY measure""")
+def dataset_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pool and the uncapped corpus of the study texts consist of."""
+    texts = _studies(spark, sf_dir)
+    return segmentation.composition(segmentation.distinct_atoms(segmentation.atoms(texts)), segmentation.criteria(segmentation.mapped(texts), per_study=None))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN chr(39) || text ELSE text END AS cell, CASE WHEN regexp_matches(text, '^\x27[=+\-@\t\r]') THEN text[2:] ELSE text END AS restored,
+  sha256(CAST(conv_id AS VARCHAR) || chr(0) || coalesce(text, '')) AS cache_key FROM conversations""")
 def safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "conversations")
     return t.select("conv_id", "turn", cells.neutralised(F.col("text")).alias("cell"), cells.restored(cells.neutralised(F.col("text"))).alias("restored"), cells.cache_key(F.col("conv_id").cast("string"), F.col("text")).alias("cache_key"))
@@ -435,9 +543,16 @@ def safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Validation, joins and choice.
 
 
-@query("SELECT doc_id AS id, count(*) AS n FROM labels GROUP BY doc_id HAVING count(*) > 1")
-def duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.duplicate_ids(_table(spark, sf_dir, "labels"), "doc_id")
+@query("SELECT conv_id AS id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1")
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of more than one turn, as ids that occur more than once."""
+    return validation.duplicate_ids(_table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query("SELECT doc_id AS id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
+def coverage_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label, and labels of unknown documents."""
+    return validation.coverage(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")), _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id")))
 
 
 @query("SELECT DISTINCT event_type AS version FROM events")
@@ -445,12 +560,6 @@ def event_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.versions(_table(spark, sf_dir, "events"), "event_type")
 
 
-@query("SELECT c_custkey AS id, 'missing' AS side FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, 'extra' FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
-def coverage_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders, and orders of unknown customers."""
-    return validation.coverage(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id")), _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("item_id")))
-
-
 @query("SELECT c_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal < 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def leaked_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
@@ -490,11 +599,29 @@ def split_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test"))).select("o_orderkey", "o_custkey", "side")
 
 
+def _pool() -> list[list[dict]]:
+    types = ["condition", "drug", "measurement", "observation"]
+    return [logic.atom(f"finding {i}", types[i % 4], ("ge", float(i)) if i % 4 >= 2 else None, (("within", 6, "months"), ("current",), None)[i % 3]) for i in range(200)]
+
+
+def _shapes(made: DataFrame) -> DataFrame:
+    return made.select("level", "number", "attempt", "gold", logic.structure(F.col("tree")).alias("s")).select("level", "number", "attempt", "gold", "s.*")
+
+
 @query()
 def matched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated items of 14 leaves at depths 2 to 6, half of them met, with their structure."""
-    types = ["condition", "drug", "measurement", "observation"]
-    pool = [logic.atom(f"finding {i}", types[i % 4], ("ge", float(i)) if i % 4 >= 2 else None, (("within", 6, "months"), ("current",), None)[i % 3]) for i in range(60)]
     levels = {d: (lambda p, rng, d=d: generation.matched(d, p, rng)) for d in range(2, 7)}
-    made = generation.half_met(generation.items(spark, levels, pool, 40, attempts=4), 20)
-    return made.select("level", "number", "attempt", "gold", logic.structure(F.col("tree")).alias("s")).select("level", "number", "attempt", "gold", "s.*")
+    return _shapes(generation.half_met(generation.items(spark, levels, _pool(), 40, attempts=8), 20))
+
+
+@query()
+def depth_ladder_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated items of freely drawn trees of depths 2 to 4, half of them met."""
+    return _shapes(generation.depth_ladder(spark, _pool(), [2, 3, 4], 20))
+
+
+@query()
+def size_sweep_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated items of depth 3 and 7 to 112 leaves, half of them met."""
+    return _shapes(generation.size_sweep(spark, _pool(), [7, 14, 28, 56, 112], 10))

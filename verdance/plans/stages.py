@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet folder in the shared folder (spark.checkpoint.dir, or one of our own where that is unset).
+    """df as a Parquet folder in the shared folder, spark.checkpoint.dir; in local mode one of our own where that is unset.
 
     Cuts lineage: an iterative job that loses an executor repeats no earlier round."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='verdance-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -5,8 +5,10 @@ records that a fetch brought as a DataFrame."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import asdict, dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ STUDY = (
     "statusModule:struct<studyFirstPostDateStruct:struct<date:string,type:string>>,"
     "designModule:struct<studyType:string,phases:array<string>>,eligibilityModule:struct<eligibilityCriteria:string>>"
 )
+MANIFEST = "n_studies_cached long, first_posted_from string, first_posted_to string, snapshot_id string, extractor_version string, pages_fetched long, fields array<string>, query_params map<string,string>, fetched_utc timestamp"
 IDENT = r"\ANCT[0-9]{8}\z"
 
 
@@ -76,8 +79,20 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_cache(studies: DataFrame, path: str) -> None:
-    """Appends studies with a valid id as Parquet."""
-    studies.where(valid_ident(F.col("study_id"))).write.mode("append").parquet(path)
+    """Appends the studies with a valid id, once each, that the Parquet folder at `path` doesn't hold yet, so a repeated run adds nothing."""
+    spark = studies.sparkSession
+    try:
+        fresh = top_up(spark.read.schema(studies.schema).parquet(path), studies)
+    except AnalysisException:  # nothing written there so far
+        fresh = studies.where(valid_ident(F.col("study_id"))).dropDuplicates(["study_id"])
+    fresh.write.mode("append").parquet(path)
+
+
+def one_study(cached: DataFrame, ident: str) -> DataFrame:
+    """The cached record of an identifier; one that isn't an identifier is an error."""
+    if not re.fullmatch(r"NCT[0-9]{8}", ident):
+        raise ValueError(f"{ident!r} is no study identifier")
+    return cached.where(F.col("study_id") == ident)
 
 
 def top_up(cached: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -92,9 +107,29 @@ def read_through(wanted: DataFrame, cached: DataFrame, fetched: DataFrame) -> Da
     return both.select("study_id", F.coalesce("c", "f").alias("text")).where("text IS NOT NULL")
 
 
-def manifest(studies: DataFrame, query: StudyQuery, snapshot: str) -> DataFrame:
-    """One row that says what a cache holds."""
-    return studies.agg(F.count(F.lit(1)).alias("n_studies"), F.min("first_posted").alias("first_posted"), F.max("first_posted").alias("last_posted")).select("*", F.lit(snapshot).alias("snapshot_id"), F.array(*map(F.lit, query.fields)).alias("fields"))
+def manifest(studies: DataFrame, query: StudyQuery, snapshot: str, extractor: str = "1", pages: int | None = None) -> DataFrame:
+    """One row that says what a cache holds and how it was asked for."""
+    asked = {k: str(v) for k, v in asdict(query).items() if k != "fields" and v}
+    one = studies.agg(F.count(F.lit(1)).alias("n_studies_cached"), F.min("first_posted").alias("first_posted_from"), F.max("first_posted").alias("first_posted_to"))
+    return one.select("*", F.lit(snapshot).alias("snapshot_id"), F.lit(extractor).alias("extractor_version"), F.lit(pages).cast("long").alias("pages_fetched"), F.array(*map(F.lit, query.fields)).alias("fields"), F.create_map(*(F.lit(x) for kv in sorted(asked.items()) for x in kv)).alias("query_params"), F.current_timestamp().alias("fetched_utc"))
+
+
+def write_manifest(one: DataFrame, path: str) -> None:
+    one.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The row that write_manifest() wrote; a missing or empty manifest is an error."""
+    df = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(path)
+    if df.limit(2).count() != 1:
+        raise ValueError(f"{path}: a manifest has one row")
+    return df
+
+
+def write_pool(pool: DataFrame, path: str) -> str:
+    """Writes a pool of atoms as Parquet and returns the digest of its content."""
+    pool.write.mode("overwrite").parquet(path)
+    return pool_digest(pool.sparkSession.read.schema(pool.schema).parquet(path)).collect()[0]["digest"]
 
 
 def pool_digest(pool: DataFrame) -> DataFrame:

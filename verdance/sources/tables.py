@@ -9,6 +9,8 @@ from ..functions.cells import neutralised, restored, without_mark
 from ..operators.agreement import CATEGORIES
 
 RESULT = "task string, model struct<name:string,prompt_version:string>, per_item_predictions array<struct<item_id:string,depth:int,group:string,gold:string,predicted:string,confidence:double,rationale:string,unanswerable:boolean>>"
+#: A submission is one document: its size in bytes and rows at most.
+MOST_BYTES, MOST_ROWS = 64 << 20, 500_000
 SUBMISSION = "model string, task string, predictions array<struct<item_id:string,label:boolean,confidence:double>>"
 
 
@@ -44,14 +46,27 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
-    """model, task, item_id, label and confidence (1 where not given) of a submission; validation.rejected_predictions finds what can't be scored."""
+    """model, task, item_id, label and confidence (1 where not given) of a submission.
+
+    A file of more than MOST_BYTES, one that isn't an object with model, task and predictions, or a field of another type is
+    an error; validation.rejected_predictions finds the rows that can't be scored."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path", "length")
+    if files.where(F.col("length") > MOST_BYTES).limit(1).count():
+        raise ValueError(f"{path}: more than {MOST_BYTES} bytes")
     raw = spark.read.schema(SUBMISSION).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if raw.where("model IS NULL OR task IS NULL OR predictions IS NULL").limit(1).count():
+        raise ValueError(f"{path}: a submission has a model, a task and predictions")
     return raw.select("model", "task", F.explode("predictions").alias("p")).select("model", "task", "p.item_id", "p.label", F.coalesce("p.confidence", F.lit(1.0)).alias("confidence"))
 
 
 def write_submission(predictions: DataFrame, model: str, task: str, path: str) -> None:
-    """One JSON line a prediction, partitioned by nothing: readers take the folder."""
-    predictions.select(F.lit(model).alias("model"), F.lit(task).alias("task"), F.array(F.struct("item_id", "label", "confidence")).alias("predictions")).write.mode("overwrite").json(path)
+    """One JSON object with all predictions, as read_submission() takes it: a file of MOST_BYTES at most, made by one task.
+
+    More predictions than MOST_ROWS are an error."""
+    if predictions.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} predictions")
+    rows = predictions.agg(F.array_sort(F.collect_list(F.struct("item_id", "label", "confidence"))).alias("predictions"))
+    rows.select(F.lit(model).alias("model"), F.lit(task).alias("task"), "predictions").coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
