@@ -50,14 +50,3 @@ def test_simulations_have_the_operators_replicates(spark, monkeypatch):
     monkeypatch.setattr(queries.trend, "item_trend", lambda table, **more: given.append(more))
     queries.QUERIES["item_trend"](spark, SF)
     assert given == [{}]
-
-
-@pytest.mark.parametrize("name", ["op2_urls", "op9_decontamination", "op10_lines"])
-def test_llm_query(spark, duck, name):
-    from verdance.llm import queries as llm
-
-    df = llm.QUERIES[name](spark, SF)
-    cur = duck.execute(llm.ORACLES[name])
-    names = [d[0] for d in cur.description]
-    assert sorted(names) == sorted(df.columns)
-    assert plain(df.collect(), df.columns) == plain(cur.fetchall(), names)
