@@ -3,11 +3,12 @@
 A document is the sequence of hashes of its lines that aren't blank. A window is a run of
 consecutive lines that holds RUN_WORDS words and would not without its first, or without its last,
 line. Each window selects its least line hash as fingerprint, so any two places that share a run of
-RUN_WORDS words select a common fingerprint within it. Fingerprint positions are joined: a
-fingerprint that only one place has ends there. From the others the match is extended both ways: the
-windows around the fingerprint, which overlap each other on either side, are compared by the hashes of
-all their lines. A run's first place is the least (doc_id, text hash, line); at every later place the
-windows that matched are deleted, and their union is the whole repeated run.
+RUN_WORDS words select a common fingerprint within it. Only selected positions are stored, each with
+the few lines around it that its windows can reach, and joined: a fingerprint that only one place has
+ends there. Each of the others is extended both ways to the windows that select it, which are compared
+by the hashes of all their lines. A run's first place is the least (doc_id, text hash, line); at every
+later place the windows that matched are deleted. Neighbouring positions' windows overlap, so a match
+goes on from position to position in both directions and the union is the whole repeated run.
 
 Places meet through the least place of their group, found by an aggregation, so no pairs are made
 within a group, and frequent lines go by broadcast (hot_join).
@@ -41,22 +42,27 @@ def _lines(text: Column) -> Column:
     return F.transform(trimmed, lambda x: F.struct(x["i"].alias("i"), F.xxhash64(x["l"]).alias("h"), words(x["l"]).alias("w")))
 
 
-def _reach(part: Column, run_words: int) -> Column:
-    """How many leading elements of part hold run_words words; 0 if all together don't."""
+def _reach(words: Column, run_words: int, short: Column | None = None) -> Column:
+    """How many leading elements of words hold run_words together; if all don't, 0, or else what is given as short."""
     zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
-    step = lambda a, x: F.when(a["sum"] >= run_words, a).otherwise(F.struct((a["sum"] + x["w"]).alias("sum"), (a["n"] + 1).alias("n")))
-    return F.aggregate(part, zero, step, lambda a: F.when(a["sum"] >= run_words, a["n"]).otherwise(0))
+    step = lambda a, w: F.when(a["sum"] >= run_words, a).otherwise(F.struct((a["sum"] + w).alias("sum"), (a["n"] + 1).alias("n")))
+    return F.aggregate(words, zero, step, lambda a: F.when(a["sum"] >= run_words, a["n"]).otherwise(F.lit(0) if short is None else short))
 
 
-def windows(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """Rows (id, h1, h2, first, last, fp, fp_line, content) of the windows of each text."""
-    d = docs.select(*_key(F.col("doc_id"), F.col("text")), _lines(F.col("text")).alias("a"))
-    d = d.where(F.size("a") > 0)
-    # A line has a word at least, so a window has run_words lines at most.
-    ahead = lambda p: F.slice("a", p, F.lit(run_words))
-    behind = lambda p: F.reverse(F.slice("a", F.greatest(p - run_words + 1, F.lit(1)), F.least(p, F.lit(run_words))))
-    at = F.sequence(F.lit(1), F.size("a"))
-    lengths = F.struct(F.transform(at, lambda p: _reach(ahead(p), run_words)).alias("ahead"), F.transform(at, lambda p: _reach(behind(p), run_words)).alias("behind"))
+# A line has a word at least, so a window has run_words lines at most.
+def _after(words: Column, p: Column, run_words: int) -> Column:
+    return F.slice(words, p, F.lit(run_words))
+
+
+def _until(words: Column, p: Column, run_words: int) -> Column:
+    """From element p backwards."""
+    return F.reverse(F.slice(words, F.greatest(p - run_words + 1, F.lit(1)), F.least(p, F.lit(run_words))))
+
+
+def _windows(words: Column, run_words: int) -> Column:
+    """Array of (p, n): the first line, from 1, and the number of lines of each window."""
+    ahead = F.transform(words, lambda _, i: _reach(_after(words, i + 1, run_words), run_words))
+    behind = F.transform(words, lambda _, i: _reach(_until(words, i + 1, run_words), run_words))
 
     def spans(n: Column) -> Column:
         from_first = F.transform(n["ahead"], lambda k, i: F.struct((i + 1).alias("p"), k.alias("n")))
@@ -64,23 +70,49 @@ def windows(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
         other = F.filter(from_last, lambda s: (s["n"] > 0) & (F.get(n["ahead"], s["p"] - 1) != s["n"]))  # else it is the window from its first line
         return F.concat(F.filter(from_first, lambda s: s["n"] > 0), other)
 
-    d = d.select(*KEY, "a", F.explode(let(lengths, spans)).alias("s"))
-    d = d.select(*KEY, F.slice("a", F.col("s.p"), F.col("s.n")).alias("part"))
-    hashes = F.col("part.h")
-    fp = F.array_min(hashes)
-    return d.select(
-        *KEY, F.element_at("part.i", 1).alias("first"), F.element_at("part.i", -1).alias("last"), fp.alias("fp"),
-        F.element_at("part.i", F.array_position(hashes, fp).cast("int")).alias("fp_line"), F.xxhash64(hashes, F.size("part")).alias("content"),
-    )
+    return let(F.struct(ahead.alias("ahead"), behind.alias("behind")), spans)
+
+
+def _selected(hashes: Column, window: Column) -> Column:
+    """Which line, from 1, a window selects: the first of those with its least hash."""
+    return let(F.slice(hashes, window["p"], window["n"]), lambda h: (window["p"] - 1 + F.array_position(h, F.array_min(h))).cast("int"))
+
+
+def positions(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """Rows (id, h1, h2, fp, line, at, i, h, w) of the fingerprints of each text: hash, number of the line, and the lines that
+    windows around it can reach, as numbers, hashes and words, with the fingerprint as element `at`."""
+    d = docs.select(*_key(F.col("doc_id"), F.col("text")), _lines(F.col("text")).alias("a"))
+    d = d.select(*KEY, F.col("a.i").alias("i"), F.col("a.h").alias("h"), F.col("a.w").alias("w"))
+    i, h, w = F.col("i"), F.col("h"), F.col("w")
+
+    def around(at: Column) -> Column:
+        before = _reach(F.when(at > 1, _until(w, at - 1, run_words)).otherwise(F.array().cast("array<int>")), run_words, F.least(at - 1, F.lit(run_words)))
+        after = _reach(_after(w, at + 1, run_words), run_words, F.size(w) - at)
+        part = lambda x, n: F.slice(x, at - n["before"], n["before"] + 1 + n["after"])
+        return let(F.struct(before.alias("before"), after.alias("after")), lambda n: F.struct(
+            F.element_at(h, at).alias("fp"), F.element_at(i, at).alias("line"), (n["before"] + 1).alias("at"), part(i, n).alias("i"), part(h, n).alias("h"), part(w, n).alias("w")))
+
+    # Only the part around a fingerprint leaves the text's row, so rows stay in proportion to its lines.
+    chosen = F.array_distinct(F.transform(_windows(w, run_words), lambda s: _selected(h, s)))
+    return d.select(*KEY, F.explode(F.transform(chosen, around)).alias("f")).select(*KEY, "f.*")
+
+
+def extended(matched: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """Rows (id, h1, h2, first, last, content): positions extended both ways to all windows that select them."""
+    at, h = F.col("at"), F.col("h")
+    mine = F.filter(_windows(F.col("w"), run_words), lambda s: (s["p"] <= at) & (s["p"] + s["n"] > at) & (_selected(h, s) == at))
+    window = lambda s: F.struct(
+        F.element_at("i", s["p"]).alias("first"), F.element_at("i", s["p"] + s["n"] - 1).alias("last"), F.xxhash64(F.slice(h, s["p"], s["n"]), s["n"]).alias("content"))
+    return matched.select(*KEY, F.explode(F.transform(mine, window)).alias("s")).select(*KEY, "s.*")
 
 
 def repeated(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """Rows (id, h1, h2, runs): the later repeated runs of lines of each place, as a sorted array of disjoint (first, last)."""
-    w = stored(windows(docs, run_words), "line-windows")
+    found = stored(positions(docs, run_words), "line-prints")
     place = lambda line: F.struct(*KEY, line)
-    prints = w.groupBy("fp").agg(F.min(place("fp_line")).alias("a"), F.max(place("fp_line")).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("fp", "n")
-    near = stored(hot_join(w, prints, ["fp"], "n", "left_semi").select(*KEY, "first", "last", "content"), "line-matches")
-    discard(w)
+    prints = found.groupBy("fp").agg(F.min(place("line")).alias("a"), F.max(place("line")).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("fp", "n")
+    near = stored(extended(hot_join(found, prints, ["fp"], "n", "left_semi"), run_words), "line-matches")
+    discard(found)
     origin = near.groupBy("content").agg(F.min(place("first")).alias("origin"), F.max(place("first")).alias("b"), F.count(F.lit(1)).alias("n")).where("origin < b").select("content", "origin", "n")
     later = hot_join(near, origin, ["content"], "n").where(place("first") > F.col("origin")).select(*KEY, "first", "last").distinct()
     # Overlapping and adjoining windows are one run.
