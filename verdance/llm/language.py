@@ -184,7 +184,11 @@ def predict_documents(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def reject(docs: DataFrame, net: Network | None, least: float = 0.5) -> DataFrame:
-    """docs without the rows whose language is unknown or scored below `least`; all columns stay."""
+    """docs without the rows whose language is unknown or scored below `least`; all columns stay.
+
+    Where nothing could be learned (net is None) no language is worse than another, so every text with a letter stays."""
+    if net is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     name = unused(docs, "lang")
     kept = docs.withColumn(name, predicted(F.col("text"), net))
     return kept.where((F.col(f"{name}.lang_pred") != UNKNOWN) & (F.col(f"{name}.score") >= least)).drop(name)
