@@ -13,22 +13,27 @@ from verdance.llm.common import stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those whose language the network can't tell."""
+    """Drops documents without a letter (null and empty texts too), and those whose language the network can't tell.
+
+    Equal texts share one fate; with no labelled row every text with a letter stays; an empty table stays empty."""
     return language.reject(docs, language.fit(docs))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; documents of nothing else go."""
+    """Deletes later repeated runs of lines; documents of nothing else go. Null and empty texts stay; of places that
+    tie the least (doc_id, text hash, line) is first, rows equal in both are one; an empty table stays empty."""
     return linededup.clean(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates."""
+    """Keeps one document of each class of near duplicates, of repeated rows one. Null texts stay, empty ones are copies
+    of each other; an empty table stays empty."""
     return neardup.keep_one(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain an item of the table benchmark."""
+    """Drops documents that contain an item of the table benchmark. Null and empty texts contain none, null and empty
+    items are in none; repeated rows share one fate; with either table empty nothing goes."""
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
