@@ -15,7 +15,7 @@ def test_query(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cur = con.execute(queries.ORACLES[name])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,5 +142,24 @@ FROM t LEFT JOIN per USING (r)
 """
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op4_neardup": op4_neardup, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination, "op10_lines": op10_lines}
-ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op9_decontamination": OP9_SQL, "op10_lines": OP10_SQL}
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history: the documents up to the middle of the ids."""
+    from .exactdup import deduplicate
+
+    docs = _table(spark, sf_dir, "documents")
+    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).collect()[0]
+    return deduplicate(docs, F.col("doc_id") <= F.lit(None if lo is None else lo + (hi - lo) // 2))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) AS k, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+             max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, min(doc_id) OVER () AS lo, max(doc_id) OVER () AS hi FROM d)
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, text_sha256,
+       coalesce(bool_or(doc_id <= lo + (hi - lo) // 2) OVER (PARTITION BY text_sha256), false) AS member
+FROM r
+"""
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op4_neardup": op4_neardup, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination, "op10_lines": op10_lines, "op13_exact": op13_exact}
+ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op9_decontamination": OP9_SQL, "op10_lines": OP10_SQL, "op13_exact": OP13_SQL}

@@ -42,26 +42,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and length in bytes of every word, and the n + 1 offsets of each text's words."""
+def runs(data: np.ndarray, offsets: np.ndarray, of_run: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every maximal run of bytes that of_run marks, none across texts, and the n + 1 offsets of each text's runs."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    is_word = _IS_WORD[data]
-    first = is_word.copy()
-    first[1:] &= ~is_word[:-1]
-    last = is_word.copy()
-    last[:-1] &= ~is_word[1:]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    inside = of_run[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
     cuts = offsets[:-1][offsets[:-1] < n]
-    first[cuts] = is_word[cuts]
+    first[cuts] = inside[cuts]
     ends = offsets[1:][offsets[1:] > 0] - 1
-    last[ends] = is_word[ends]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    last[ends] = inside[ends]
+    start = np.flatnonzero(first)
+    return start, np.flatnonzero(last) + 1, np.searchsorted(start, offsets)
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    n = len(data)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * _power(_INVERSE, n)[start] + (end - start).astype(np.uint64))
-    return hashes, end - start, np.searchsorted(start, offsets)
+    return mix((sums[end] - sums[start]) * _power(_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and length in bytes of every word, and the n + 1 offsets of each text's words."""
+    start, end, at = runs(data, offsets)
+    return hashes_of(data, start, end), end - start, at
 
 
 def shingles(hashes: np.ndarray, word_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
