@@ -171,6 +171,28 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 """
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    return mine(_table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS ar, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) AS k FROM s WHERE alike),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.ar, p.r ORDER BY s.score DESC, s.vec_id, s.r) AS INTEGER) AS rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.alike AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.k <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The history: the documents up to the middle of the ids."""
     from .exactdup import deduplicate
@@ -190,5 +212,5 @@ FROM r
 """
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op4_neardup": op4_neardup, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination, "op10_lines": op10_lines, "op11_divergence": op11_divergence, "op13_exact": op13_exact}
-ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op9_decontamination": OP9_SQL, "op10_lines": OP10_SQL, "op11_divergence": OP11_SQL, "op13_exact": OP13_SQL}
+QUERIES = {"op1_quality": op1_quality, "op2_urls": op2_urls, "op3_language": op3_language, "op4_neardup": op4_neardup, "op5_secrets": op5_secrets, "op6_media": op6_media, "op7_bpe": op7_bpe, "op8_warc": op8_warc, "op9_decontamination": op9_decontamination, "op10_lines": op10_lines, "op11_divergence": op11_divergence, "op12_negatives": op12_negatives, "op13_exact": op13_exact}
+ORACLES: dict[str, str] = {"op2_urls": OP2_SQL, "op9_decontamination": OP9_SQL, "op10_lines": OP10_SQL, "op11_divergence": OP11_SQL, "op12_negatives": OP12_SQL, "op13_exact": OP13_SQL}
