@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cells, intervals, logic, text
 from ..operators import agreement, errors, generation, runs, sampling, scoring, segmentation, trend, validation
+from ..sources import search
+from .stages import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -533,6 +535,40 @@ def dataset_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.composition(segmentation.distinct_atoms(segmentation.atoms(texts)), segmentation.criteria(segmentation.mapped(texts), per_study=None))
 
 
+# Search: an index of the documents, and one of the study texts.
+
+
+def _search_sql(studies: str, asked: str, k: int, need: str) -> str:
+    """BM25 in whole millionths, as sources.search has it."""
+    return rf"""WITH s AS ({studies}), w AS (SELECT study_id, regexp_extract_all(lower(coalesce(body, '')), '[\p{{L}}\p{{N}}]+') AS w FROM s),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS mean FROM w), t AS (SELECT study_id, len(w) AS length, unnest(w) AS term FROM w),
+p AS (SELECT term, study_id, any_value(length) AS length, count(*) AS tf FROM t GROUP BY term, study_id), d AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM p GROUP BY term),
+q AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+'))) AS term FROM ({asked})), c AS (SELECT query_id, count(*) AS words FROM q GROUP BY query_id),
+x AS (SELECT query_id, study_id, CAST(floor(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({search.K1} + 1) / (tf + {search.K1} * (1 - {search.B} + {search.B} * length / mean)) * 1000000) AS BIGINT) AS part FROM q JOIN p USING (term) JOIN d USING (term), m),
+g AS (SELECT query_id, study_id, CAST(sum(part) AS BIGINT) AS score FROM x GROUP BY query_id, study_id {f"HAVING count(*) = (SELECT words FROM c WHERE c.query_id = x.query_id)" if need == "all" else ""}),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, study_id) AS INT) AS rank, study_id, score FROM g)
+SELECT query_id, rank, study_id, score FROM r WHERE rank <= {k}"""
+
+
+@query(_search_sql("SELECT CAST(doc_id AS VARCHAR) AS study_id, min(coalesce(text, '')) AS body FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id", "SELECT item_id AS query_id, text FROM benchmark", 10, "any"))
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that go best with each text of the benchmark, by any of its words."""
+    index = search.Index(spark, shared_path(spark, "search"))
+    index.add(_table(spark, sf_dir, "documents"), "doc_id")
+    return index.search_all(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
+@query(_search_sql(r"""SELECT 'NCT' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS study_id, p_name || chr(10) || lower(p_type) AS body FROM part""", "SELECT DISTINCT p_type AS query_id, p_type AS text FROM part", 20, "all"))
+def study_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The studies with all words of each type, of an index filled in two parts."""
+    parts = _table(spark, sf_dir, "part")
+    studies = parts.select(F.concat(F.lit("NCT"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("study_id"), F.col("p_name").alias("title"), F.lower("p_type").alias("text"), "p_size")
+    index = search.Index(spark, shared_path(spark, "search"))
+    index.add(studies.where("p_size <= 25"), "study_id", "title", "text")
+    index.add(studies, "study_id", "title", "text")
+    return index.search_all(parts.select(F.col("p_type").alias("query_id"), F.col("p_type").alias("text")).distinct(), 20, "all")
+
+
 @query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '^[=+\-@\t\r]') THEN chr(39) || text ELSE text END AS cell, CASE WHEN regexp_matches(text, '^\x27[=+\-@\t\r]') THEN text[2:] ELSE text END AS restored,
   sha256(CAST(conv_id AS VARCHAR) || chr(0) || coalesce(text, '')) AS cache_key FROM conversations""")
 def safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
