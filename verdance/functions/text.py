@@ -64,6 +64,16 @@ NEGATION = r"(?iU)^no\s+(?:history\s+of\s+|known\s+|evidence\s+of\s+|prior\s+|cu
 #: The decimal digits of all scripts beyond ASCII, which \\d matches under (?U), and what each stands for.
 DIGITS = {chr(c): str(unicodedata.digit(chr(c))) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
 
+#: White space, as \\s has it under (?U).
+SPACES = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: Letters that a pattern takes for others when it ignores case, though lower() doesn't: long s, kelvin, i without and with a dot.
+FOLDED, PLAIN = "\u017f\u212a\u0131\u0130", "skii"
+#: The first words of what the extractors look for: a sentence without any is passed over after one look at its words.
+WORDS_OF = {
+    "measurement": sorted({m.replace("-", " ").split()[0] for m in MEASUREMENTS}),
+    "cue": sorted({c.split()[0] for c in DRUG_CUES + CONDITION_CUES}),
+}
+
 HIT = f"struct<tree:{TREE},pattern:string>"
 SENTENCES = "array<struct<pos:int,section:string,sentence:string>>"
 
@@ -74,42 +84,63 @@ def number_of(x: Column) -> Column:
 
 
 def stripped(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def squeezed(x: Column) -> Column:
-    return stripped(F.regexp_replace(x, r"(?U)\s+", " "))
+    """Runs of white space as one blank, none at the ends; a pattern is looked for only where two blanks meet."""
+    plain = F.translate(x, SPACES, " " * len(SPACES))
+    return let(plain, lambda p: F.btrim(F.when(F.contains(p, F.lit("  ")), F.regexp_replace(p, " +", " ")).otherwise(p)))
 
 
 def unescaped(x: Column) -> Column:
-    return F.regexp_replace(x, ESCAPE, "$1")
+    return F.when(F.contains(x, F.lit("\\")), F.regexp_replace(x, ESCAPE, "$1")).otherwise(x)
 
 
 def sentences(text: Column) -> Column:
-    """The lines of a text as (pos, section, sentence): the section of the last header carries forward, `inclusion` before any."""
+    """The lines of a text as (pos, section, sentence): the section of the last header carries forward, `inclusion` before any.
+
+    Marked lines cut the text in stretches of one section each, so each line is looked at once however many marks there are."""
     raw = F.transform(F.split(F.coalesce(text, F.lit("")), LINE_BREAK), lambda x, i: F.struct(i.alias("pos"), stripped(unescaped(x)).alias("l")))
 
     def marked(x: Column) -> Column:
-        low = F.lower(x["l"])
-        header = F.rlike(x["l"], F.lit(HEADER))
+        line, low = x["l"], F.lower(x["l"])
+        named = F.contains(low, F.lit("criteria")) | F.rlike(line, F.lit("[\u0131\u0130]"))
+        header = named & F.rlike(line, F.lit(HEADER))
         inline = F.when(F.startswith(low, F.lit("inclusion criteria")), "inclusion").when(F.startswith(low, F.lit("exclusion criteria")), "exclusion")
-        rest = F.when(inline.isNotNull(), stripped(F.regexp_replace(x["l"], "(?s)^[^:]*:", ""))).otherwise(x["l"])
-        section = F.when(header, F.lower(F.regexp_extract(x["l"], HEADER, 1))).otherwise(inline)
-        sentence = F.when(~header, squeezed(F.regexp_replace(rest, BULLET, "")))
-        return F.struct(x["pos"].alias("pos"), section.alias("mark"), sentence.alias("sentence"))
+        rest = F.when(inline.isNotNull(), stripped(F.regexp_replace(line, "(?s)^[^:]*:", ""))).otherwise(line)
+        letter = lambda r: F.ascii(r).between(65, 122)  # noqa: E731  then there is no bullet
+        sentence = let(rest, lambda r: F.when(letter(r), squeezed(r)).otherwise(squeezed(F.regexp_replace(r, BULLET, ""))))
+        return let(header, lambda h: F.struct(x["pos"].alias("pos"), F.when(h, F.lower(F.regexp_extract(line, HEADER, 1))).otherwise(inline).alias("mark"), F.when(~h, sentence).alias("sentence")))
 
     lines = F.transform(F.filter(raw, lambda x: x["l"] != ""), marked)
 
     def placed(all_: Column) -> Column:
-        marks = F.filter(all_, lambda x: x["mark"].isNotNull())
-        kept = F.filter(all_, lambda x: F.coalesce(x["sentence"], F.lit("")) != "")
-        both = F.struct(marks.alias("marks"), kept.alias("kept"))
-        last = lambda m, x: F.try_element_at(F.filter(m, lambda y: y["pos"] <= x["pos"]), F.lit(-1))["mark"]
-        return let(both, lambda b: F.transform(b["kept"], lambda x: F.struct(x["pos"].alias("pos"), F.coalesce(last(b["marks"], x), F.lit("inclusion")).alias("section"), x["sentence"].alias("sentence"))))
+        """Stretches: where each begins and its section; the first one is before any mark."""
+        starts = F.filter(F.transform(all_, lambda x, i: F.struct(i.alias("at"), x["mark"].alias("section"))), lambda m: m["section"].isNotNull())
+        return let(F.struct(all_.alias("lines"), F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit("inclusion").alias("section"))), starts).alias("starts")), cut)
+
+    def cut(b: Column) -> Column:
+        def stretch(m: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(b["starts"], k + 1)["at"], F.size(b["lines"]))
+            own = F.filter(F.slice(b["lines"], m["at"] + 1, end - m["at"]), lambda x: F.coalesce(x["sentence"], F.lit("")) != "")
+            return F.transform(own, lambda x: F.struct(x["pos"].alias("pos"), m["section"].alias("section"), x["sentence"].alias("sentence")))
+
+        return F.flatten(F.transform(b["starts"], stretch))
 
     return let(lines, placed)
 
 
+def first_words(sentence: Column) -> Column:
+    """Which of WORDS_OF a sentence has, by one look-up of its words."""
+    found = F.split(F.lower(F.translate(sentence, FOLDED, PLAIN)), r"(?U)\W+")
+    return F.array_intersect(found, F.array(*(F.lit(w) for words in WORDS_OF.values() for w in words)))
+
+
+def has_word(words: Column, kind: str) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, WORDS_OF[kind])))
+
+
 def skipped(sentence: Column) -> Column:
     """Why a sentence isn't looked at: length_out_of_range, boilerplate_phrase or NULL."""
     low = F.lower(sentence)
@@ -153,6 +184,9 @@ def age_atom(sentence: Column) -> Column:
     fixed = {"entity": F.lit("age"), "type": F.lit("person"), "num_unit": F.lit("years"), "num_lo_incl": F.lit(True), "num_hi_incl": F.lit(True)}
 
     def of(s: Column) -> Column:
+        return F.when(F.contains(s, F.lit("age")) | F.contains(s, F.lit("year")), found(s))
+
+    def found(s: Column) -> Column:
         lo, hi = number_of(_first_group(s, AGE_RANGE, 1)), number_of(_first_group(s, AGE_RANGE, 2))
         least, most = number_of(_first_group(s, AGE_MIN, 1)), number_of(_first_group(s, [AGE_MAX], 1))
         return F.coalesce(
@@ -176,7 +210,7 @@ def measurement_atom(sentence: Column) -> Column:
     name = F.lit(None).cast("string")
     for m in sorted(MEASUREMENTS, key=len):
         # The longest name is looked at first, and earlier ones first among equals.
-        name = F.when(F.rlike(low, F.lit(rf"(?U)\b{m}\b")), F.lit(m)).otherwise(name)
+        name = F.when(F.contains(low, F.lit(m)) & F.rlike(low, F.lit(rf"(?U)\b{m}\b")), F.lit(m)).otherwise(name)
     extract = lambda s, p, k: F.call_function("regexp_extract", s, p, F.lit(k))
     fixed = {"type": F.lit("measurement"), "num_lo_incl": F.lit(True), "num_hi_incl": F.lit(True)}
 
@@ -210,6 +244,7 @@ def temporal_of(sentence: Column) -> Column:
 
 def cued_atom(sentence: Column) -> Column:
     """The concept after the first cue that leaves a clean phrase; enumerations and windows of no length give NULL."""
+    folded = F.lower(F.translate(sentence, FOLDED, PLAIN))
 
     def of(t: Column) -> Column:
         def made(phrase: Column, type_: Column, pattern: Column) -> Column:
@@ -218,7 +253,7 @@ def cued_atom(sentence: Column) -> Column:
 
         def after(cue: str) -> Column:
             pattern = rf"(?iU)\b{cue}\s+(.+)$"
-            return F.when(F.rlike(sentence, F.lit(pattern)), clean_phrase(F.regexp_extract(sentence, pattern, 1)))
+            return F.when(F.contains(folded, F.lit(cue)) & F.rlike(sentence, F.lit(pattern)), clean_phrase(F.regexp_extract(sentence, pattern, 1)))
 
         def drug(cue: str) -> Column:
             procedure = lambda p: F.exists(F.array(*map(F.lit, PROCEDURE_SUFFIXES)), lambda s: F.endswith(p, s))
@@ -229,14 +264,16 @@ def cued_atom(sentence: Column) -> Column:
             return let(after(cue), lambda p: made(p, F.lit("condition"), F.lit("condition:" + cue.replace(" ", "_"))))
 
         found = F.coalesce(*map(drug, DRUG_CUES), *map(condition, CONDITION_CUES))
-        return F.when(~F.rlike(sentence, F.lit(ENUMERATION)) & F.coalesce(t["value"] > 0, F.lit(True)), found)
+        listed = F.contains(sentence, F.lit(",")) & F.rlike(sentence, F.lit(ENUMERATION))
+        return F.when(~listed & F.coalesce(t["value"] > 0, F.lit(True)), found)
 
     return let(temporal_of(sentence), of)
 
 
 def sentence_atom(sentence: Column) -> Column:
     """struct(tree, pattern) of the first extractor that fits, or NULL."""
-    return F.coalesce(age_atom(sentence), measurement_atom(sentence), cued_atom(sentence))
+    by_word = lambda w: F.coalesce(F.when(has_word(w, "measurement"), measurement_atom(sentence)), F.when(has_word(w, "cue"), cued_atom(sentence)))
+    return F.coalesce(age_atom(sentence), let(first_words(sentence), lambda w: F.when(F.size(w) > 0, by_word(w))))
 
 
 def sentence_expression(sentence: Column) -> Column:
