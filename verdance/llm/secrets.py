@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stored
 
 #: Fixed patterns of the base kinds, in the order in which equal starts are listed: kind, pattern,
 #: the group whose length counts, and its least length.
@@ -76,9 +76,32 @@ ALPHA, FDR = 0.01, 0.05
 BINS_PER_DECADE, LAST_BIN = 10, 400
 
 
-#: Matches of a text that are numbered together.
+#: Items of a fold that are appended to one array.
 PART = 256
 SPANS = "array<struct<start:int,end:int,token:string,size:int>>"
+FREE = "array<struct<start:int,end:int,token:string>>"
+
+
+def _folded(items: Column, kind: str, state: Column, step) -> Column:
+    """The items of type `kind` (an array type) that step(state, item) -> (state, new item or null) makes of an array, in order.
+
+    They are made in parts of PART items, so that no long array is copied for each of them."""
+
+    def one(acc: Column, i: Column) -> Column:
+        made = lambda m: F.struct(m["state"].alias("state"), F.when(m["item"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(m["item"]))).alias("out"))
+        return let(let(step(acc["state"], i), lambda m: F.struct(m["state"].alias("state"), m["item"].alias("item"))), made)
+
+    def over(all_: Column) -> Column:
+        def part(acc: Column, k: Column) -> Column:
+            inside = F.slice(all_, k * PART + 1, F.lit(PART))
+            seed = F.struct(acc["state"].alias("state"), F.array().cast(kind).alias("out"))
+            return let(F.aggregate(inside, seed, one), lambda m: F.struct(m["state"].alias("state"), F.concat(acc["parts"], F.array(m["out"])).alias("parts")))
+
+        last = F.floor((F.size(all_) - 1) / PART).cast("int")
+        seed = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("parts"))
+        return F.when(F.size(all_) > 0, F.flatten(F.aggregate(F.sequence(F.lit(0), last), seed, part)["parts"])).otherwise(F.array().cast(kind))
+
+    return let(items, over)
 
 
 def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -87,26 +110,37 @@ def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
     A match starts after the gaps and the matches before it; texts without a match are passed over once."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
-    parts = F.struct(found.alias("found"), counted.alias("counted"), F.split(text, pattern, -1).alias("gaps"))
-    def walk(x: Column) -> Column:
-        """In parts of PART matches, so that no long array is copied for each match."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    rows = F.transform(F.arrays_zip(found.alias("found"), counted.alias("counted"), gaps.alias("gaps")), lambda x: F.struct(x["found"].alias("token"), x["counted"].alias("size"), x["gaps"].alias("gap")))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["gaps"], i))
-            end = start + F.length(F.get(x["found"], i))
-            item = F.struct(start.alias("start"), end.alias("end"), F.get(x["found"], i).alias("token"), F.get(x["counted"], i).alias("size"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+    def step(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        end = start + F.length(x["token"])
+        item = F.when(x["size"] >= least, F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"), x["size"].alias("size")))
+        return F.struct(end.alias("state"), item.alias("item"))
 
-        def part(acc: Column, k: Column) -> Column:
-            inside = F.sequence(k * PART, F.least(k * PART + PART, F.size(x["found"])) - 1)
-            made = F.aggregate(inside, F.struct(acc["at"].alias("at"), F.array().cast(SPANS).alias("out")), step)
-            return let(made, lambda m: F.struct(m["at"].alias("at"), F.concat(acc["parts"], F.array(m["out"])).alias("parts")))
+    matches = F.filter(rows, lambda x: x["token"].isNotNull())
+    return F.when(F.rlike(text, F.lit(pattern)), _folded(matches, SPANS, F.lit(0), step)).otherwise(F.array().cast(SPANS))
+
+
+def _free(base: Column, candidates: Column) -> Column:
+    """The candidates that no base span overlaps, by one walk over both in order of start.
+
+    A candidate waits for what comes next: base spans that began before it are known by their greatest end, and one that
+    begins within it comes before the next candidate."""
+    spans = lambda x, rank: F.transform(x, lambda s: F.struct(s["start"].alias("start"), (s["rank"] if rank is None else F.lit(rank)).alias("rank"), s["end"].alias("end"), (F.lit(None).cast("string") if rank is None else s["token"]).alias("token")))
+    close = F.array(F.struct(F.lit((1 << 31) - 1).alias("start"), F.lit(0).alias("rank"), F.lit((1 << 31) - 1).alias("end"), F.lit(None).cast("string").alias("token")))
+    walk = F.array_sort(F.concat(spans(base, None), spans(candidates, len(BASE)), close))
+    waiting = "struct<start:int,end:int,token:string>"
 
-        seed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("parts"))
-        last = F.floor((F.size(x["found"]) - 1) / PART).cast("int")
-        return F.flatten(F.aggregate(F.sequence(F.lit(0), last), seed, part)["parts"])
+    def step(state: Column, x: Column) -> Column:
+        token = x["token"].isNotNull()
+        held = F.when(token & (state["end"] <= x["start"]), F.struct(x["start"].alias("start"), x["end"].alias("end"), x["token"].alias("token")))
+        end = F.when(token, state["end"]).otherwise(F.greatest(state["end"], x["end"]))
+        done = F.when(state["held"].isNotNull() & (token | (x["start"] >= state["held"]["end"])), state["held"])
+        return F.struct(F.struct(end.alias("end"), held.alias("held")).alias("state"), done.alias("item"))
 
-    return F.when(F.rlike(text, F.lit(pattern)), F.filter(let(parts, walk), lambda s: s["size"] >= least)).otherwise(F.array().cast(SPANS))
+    return _folded(walk, FREE, F.struct(F.lit(0).alias("end"), F.lit(None).cast(waiting).alias("held")), step)
 
 
 def _normal_below(z: Column) -> Column:
@@ -182,24 +216,31 @@ def _ranked(spans: Column, rank: int, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def _base(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of kind, rank, start, end) and free candidates, one row per row."""
+def scored(docs: DataFrame) -> DataFrame:
+    """doc_id, base (array of start, rank, end, kind), free candidates (array of start, end and their test x), n_assign, n_access and n_hex of every row.
+
+    Each text is looked through once, and each candidate tested once."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", text.alias("t"))
-    d = d.withColumns({kind: _spans(F.col("t"), pattern, group, least) for kind, pattern, group, least in BASE} | {"c": _spans(F.col("t"), CANDIDATE, 0, 20)})
-    named = [_ranked(F.col(kind), rank, kind) for rank, (kind, *_) in enumerate(BASE)]
-    d = d.withColumn("base", F.array_sort(F.concat(*named)))
-    free = F.filter("c", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return d.select("doc_id", "base", free.alias("free"), *(F.size(kind).cast("long").alias(f"n_{kind}") for kind, *_ in BASE))
+    found = lambda t: F.struct(*(_spans(t, pattern, group, least).alias(kind) for kind, pattern, group, least in BASE), _spans(t, CANDIDATE, 0, 20).alias("c"))
+
+    def sorted_(x: Column) -> Column:
+        base = F.array_sort(F.concat(*(_ranked(x[kind], rank, kind) for rank, (kind, *_) in enumerate(BASE))))
+        return F.struct(base.alias("base"), x["c"].alias("c"), *(F.size(x[kind]).cast("long").alias(f"n_{kind}") for kind, *_ in BASE))
+
+    def freed(x: Column) -> Column:
+        free = F.transform(_free(x["base"], x["c"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tested(s["token"]).alias("x")))
+        return F.struct(x["base"].alias("base"), free.alias("free"), *(x[f"n_{kind}"].alias(f"n_{kind}") for kind, *_ in BASE))
+
+    return docs.select("doc_id", let(let(let(text, found), sorted_), freed).alias("s")).select("doc_id", "s.*")
 
 
-def discoveries(docs: DataFrame) -> dict[tuple[str, int], int]:
-    """For each encoding and length class, the lowest bin of p that the control accepts.
+def discoveries(found: DataFrame) -> dict[tuple[str, int], int]:
+    """For each encoding and length class of the candidates of scored(), the lowest bin of p that the control accepts.
 
     Benjamini-Hochberg on bins: with n candidates and r of them at a bin or beyond, the bin is
     accepted if its largest p is at most FDR * r / n. The counts are a table of at most
     len(ENCODINGS) * 9 * (LAST_BIN + 1) rows, whatever the input."""
-    rows = _base(docs).select(F.explode("free").alias("s")).select(tested(F.col("s.token")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = found.select(F.explode("free.x").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).collect()
     counts: dict[tuple[str, int], dict[int, int]] = {}
     for r in rows:
         counts.setdefault((r["x"]["encoding"], r["x"]["length_class"]), {})[r["x"]["bin"]] = r["n"]
@@ -217,7 +258,8 @@ def scan(docs: DataFrame, accepted: dict[tuple[str, int], int] | None = None) ->
     """doc_id, base and spans (arrays of start, rank, end, kind), n_assign, n_access and n_hex of every row of docs.
 
     accepted: bins as discoveries() returns them; found from docs itself where not given."""
-    accepted = discoveries(docs) if accepted is None else accepted
+    found = stored(scored(docs), "secrets")
+    accepted = discoveries(found) if accepted is None else accepted
 
     def passes(x: Column) -> Column:
         least = F.lit(LAST_BIN + 1)
@@ -225,8 +267,8 @@ def scan(docs: DataFrame, accepted: dict[tuple[str, int], int] | None = None) ->
             least = F.when((x["encoding"] == encoding) & (x["length_class"] == length_class), b).otherwise(least)
         return x["bin"] >= least
 
-    more = _ranked(F.filter("free", lambda s: let(tested(s["token"]), passes)), len(BASE), RANDOM)
-    return _base(docs).withColumn("spans", F.array_sort(F.concat("base", more))).drop("free")
+    more = _ranked(F.filter("free", lambda s: passes(s["x"])), len(BASE), RANDOM)
+    return found.withColumn("spans", F.array_sort(F.concat("base", more))).drop("free")
 
 
 def _listed(spans: Column) -> Column:
