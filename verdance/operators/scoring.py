@@ -8,10 +8,13 @@ Defined cases: a score of no rows is 0, and its interval (0, 0); a null group is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import share, wilson
+from ..plans.skew import frequent_join
+from ..plans.stages import written
+from .ordered import running_sums
 from .validation import coverage
 
 OVERALL, UNGROUPED = "overall", "ungrouped"
@@ -109,10 +112,12 @@ def calibration(rows: DataFrame, *by: str, bins: int = 10) -> DataFrame:
 def selective_accuracy(rows: DataFrame, *by: str, coverages: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)) -> DataFrame:
     """by, coverage (percent), k and accuracy of the k most confident rows; a tie at the boundary counts in expectation.
 
-    Rows are first summed by confidence, so the running sums run over distinct confidences only."""
+    Rows are first summed by confidence; running sums over ranges of confidence find each group's boundary (ordered.running_sums)."""
     level = known(rows).groupBy(*by, "confidence").agg(F.count(F.lit(1)).alias("n"), _count(F.col("gold") == F.col("predicted")).alias("ok"))
-    upto = Window.partitionBy(*by).orderBy(F.desc("confidence"))
-    run = level.select(*by, "n", "ok", F.sum("n").over(upto).alias("n_upto"), F.sum("ok").over(upto).alias("ok_upto"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
+    level = written(level, "confidences")
+    totals = level.groupBy(*by).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("__levels"))
+    run = running_sums(level, list(by), "confidence", {"n_upto": "n", "ok_upto": "ok"}, falling=True)
+    run = _with_totals(run, totals, list(by))
     wanted = F.array(*(F.struct(F.lit(round(c * 100)).alias("coverage"), F.lit(c).alias("c")) for c in coverages))
     cut = run.select("*", F.explode(wanted).alias("w")).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("total") * F.col("w.c"), 0)).cast("long"))
     at = cut.where((F.col("n_upto") >= F.col("k")) & (F.col("n_upto") - F.col("n") < F.col("k")))
@@ -120,6 +125,16 @@ def selective_accuracy(rows: DataFrame, *by: str, coverages: tuple[float, ...] =
     return at.select(*by, F.col("w.coverage").alias("coverage"), "k", ((above + need * F.col("ok") / F.col("n")) / F.col("k")).alias("accuracy"))
 
 
+def _with_totals(rows: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """rows with `total` of their group; a null group is one, too."""
+    if not by:
+        return rows.withColumn("total", F.lit(totals.collect()[0]["total"]))
+    named = totals.select(*(F.coalesce(F.to_json(F.struct(c)), F.lit("")).alias(f"__{c}") for c in by), "total", "__levels")
+    keyed = rows.select("*", *(F.coalesce(F.to_json(F.struct(c)), F.lit("")).alias(f"__{c}") for c in by))
+    keys = [f"__{c}" for c in by]
+    return frequent_join(keyed, named, keys, "__levels").drop("__levels", *keys)
+
+
 def ranked(board: DataFrame, metric: str, order: str, limit: int | None = None) -> DataFrame:
     """A leaderboard: best metric first, ties in order of `order`; limit is the feature of a top-k report."""
     out = board.orderBy(F.desc(metric), F.asc(order))

@@ -15,10 +15,12 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import Z95, overlap, sample_size, share, wilson
+from ..plans.stages import written
+from .ordered import average_ranks, overlapping, with_previous
 
 #: Up to so many levels a permutation test lists all orders.
 EXACT_LEVELS = 8
@@ -33,13 +35,6 @@ def levels(rows: DataFrame, x: Column, correct: Column) -> DataFrame:
     return rows.where(x.isNotNull() & correct.isNotNull()).groupBy(x.cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(correct).alias("k"))
 
 
-def average_ranks(df: DataFrame, column: str, alias: str) -> DataFrame:
-    """df with the rank of each value, ties sharing their mean: counts by value, then running sums over values."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    place = counts.withColumn("__upto", F.sum("__n").over(Window.orderBy(column)))
-    return df.join(place.select(column, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(alias)), column)
-
-
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: n and r; 0 if there are no two rows or a side is constant."""
     n, sx, sy = F.count(F.lit(1)), F.sum(F.col(x).cast("double")), F.sum(F.col(y).cast("double"))
@@ -48,7 +43,8 @@ def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n and rho, Pearson's r of average ranks. Windows run over distinct values, not rows."""
+    """One row: n and rho, Pearson's r of average ranks over the rows that have both values."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     return pearson(average_ranks(average_ranks(df, x, "__rx"), y, "__ry"), "__rx", "__ry").withColumnRenamed("r", "rho")
 
 
@@ -93,11 +89,16 @@ def permutation_test(table: DataFrame, replicates: int = 20_000, seed: int = 0)
     return one.select(F.lit(rho).alias("rho"), ((F.col("hits") + 1) / (replicates + 1)).alias("p_one_sided"), F.lit("monte_carlo").alias("mode"), F.lit(replicates).cast("long").alias("n_permutations"), F.lit(1 / (replicates + 1)).alias("min_attainable_p"))
 
 
+def level_shares(table: DataFrame) -> DataFrame:
+    """x, n, k, accuracy, low and high of each level."""
+    out = table.withColumn("w", wilson(F.col("k"), F.col("n")))
+    return out.select("x", "n", "k", share(F.col("k"), F.col("n")).alias("accuracy"), F.col("w.low").alias("low"), F.col("w.high").alias("high"))
+
+
 def level_scores(table: DataFrame) -> DataFrame:
     """x, n, k, accuracy, low, high and rises (whether accuracy is above that of the level before)."""
-    before = F.lag("accuracy").over(Window.orderBy("x"))
-    out = table.withColumn("w", wilson(F.col("k"), F.col("n"))).select("x", "n", "k", share(F.col("k"), F.col("n")).alias("accuracy"), F.col("w.low").alias("low"), F.col("w.high").alias("high"))
-    return out.withColumn("rises", F.coalesce(F.col("accuracy") > before + 1e-12, F.lit(False)))
+    out = with_previous(level_shares(table), "x", "accuracy", "__before")
+    return out.withColumn("rises", F.coalesce(F.col("accuracy") > F.col("__before") + 1e-12, F.lit(False))).drop("__before")
 
 
 def depth_trend(table: DataFrame, replicates: int = 20_000, seed: int = 0) -> DataFrame:
@@ -106,19 +107,33 @@ def depth_trend(table: DataFrame, replicates: int = 20_000, seed: int = 0) -> Da
     return permutation_test(table, replicates, seed).withColumn("monotone", F.lit(rises))
 
 
+def _pair_ends(table: DataFrame) -> DataFrame:
+    """x, accuracy and the interval w (to 4 decimals) of each level."""
+    return level_shares(table).select("x", "accuracy", F.struct(F.round("low", 4).alias("low"), F.round("high", 4).alias("high")).alias("w"))
+
+
 def level_pairs(table: DataFrame) -> DataFrame:
     """Each pair of levels: whether their intervals (to 4 decimals) overlap, and if so how many rows a level would tell them apart, else 0.
 
-    A self-join of levels, of which there may be MOST_PAIRED: it isn't one of rows."""
+    A self-join of levels, of which there may be MOST_PAIRED: it isn't one of rows. For more levels see overlapping_levels."""
     if table.limit(MOST_PAIRED + 1).count() > MOST_PAIRED:
-        raise ValueError(f"more than {MOST_PAIRED} levels: bin x first")
-    s = level_scores(table).select("x", "accuracy", F.struct(F.round("low", 4).alias("low"), F.round("high", 4).alias("high")).alias("w"))
+        raise ValueError(f"more than {MOST_PAIRED} levels: bin x first, or take overlapping_levels")
+    s = _pair_ends(table)
     a, b = s.select(*(F.col(c).alias(f"{c}_a") for c in s.columns)), s.select(*(F.col(c).alias(f"{c}_b") for c in s.columns))
     met = overlap(F.col("w_a"), F.col("w_b"))
     pairs = a.join(b, F.col("x_a") < F.col("x_b"))
     return pairs.select("x_a", "x_b", "accuracy_a", "accuracy_b", met.alias("overlap"), F.when(met, sample_size(F.col("accuracy_a"), F.col("accuracy_b"))).otherwise(F.lit(0).cast("long")).alias("n_needed"))
 
 
+def overlapping_levels(table: DataFrame) -> DataFrame:
+    """The pairs of levels whose intervals overlap, and how many rows a level would tell them apart. Only pairs that overlap are made, of any number of levels."""
+    s = written(_pair_ends(table).select("x", "accuracy", "w.low", "w.high"), "levels")
+    pairs = overlapping(s, "x", "low", "high")
+    ends = lambda end: s.select(F.col("x").alias(f"x_{end}"), F.col("accuracy").alias(f"accuracy_{end}"))
+    both = pairs.join(ends("a"), "x_a").join(ends("b"), "x_b")
+    return both.select("x_a", "x_b", "accuracy_a", "accuracy_b", sample_size(F.col("accuracy_a"), F.col("accuracy_b")).alias("n_needed"))
+
+
 def fit_logistic(x: np.ndarray, n: np.ndarray, k: np.ndarray, most: int = 100, tol: float = 1e-10) -> tuple[float, float, float, float] | None:
     """Intercept, slope, the slope's variance and log-likelihood of logit P = a + b x by Newton's method; None if it doesn't exist."""
     a = b = 0.0

@@ -181,6 +181,20 @@ def level_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trend.level_pairs(_levels(spark, sf_dir)))
 
 
+@query(f"""WITH v AS (SELECT CAST(l_suppkey AS DOUBLE) AS x, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS n_correct FROM lineitem WHERE l_suppkey IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1), g AS (SELECT x, n_correct / CAST(n AS DOUBLE) AS p, round({LOW}, 4) AS low, round({HIGH}, 4) AS high FROM v)
+SELECT a.x AS x_a, b.x AS x_b, round(a.p, 6) AS accuracy_a, round(b.p, 6) AS accuracy_b, CAST(CASE WHEN abs(a.p - b.p) < 1e-12 THEN -1 ELSE greatest(1, ceil({PAIR_NEED})) END AS BIGINT) AS n_needed FROM g a JOIN g b ON a.x < b.x AND a.high >= b.low AND b.high >= a.low""")
+def overlapping_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers whose shares of returned lines can't be told apart, with the lines each that it would take."""
+    return _rounded(trend.overlapping_levels(trend.levels(_table(spark, sf_dir, "lineitem"), F.col("l_suppkey"), F.col("l_returnflag") == "R")))
+
+
+@query("""WITH q AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL)
+SELECT count(*) AS n, round(CASE WHEN count(*) > 1 AND var_pop(a) > 0 AND var_pop(b) > 0 THEN covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) ELSE 0.0 END, 6) AS rho FROM q""")
+def line_rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank correlation over all lines: nearly each has a price of its own."""
+    return _rounded(trend.spearman(_table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"))
+
+
 # Newton's method on the levels: one row a step.
 NEWTON = f"""{LV}, it AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b UNION ALL
   SELECT i + 1, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (
