@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches
+from .common import short_batches, unused
 
 #: Entries of each of the two generations of the worker's memo of encoded words; results don't depend on it.
 MEMO = 60_000
@@ -213,9 +213,10 @@ def coder(spark: SparkSession, path: str, digest: bool = False):
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with bpe_ids (binary: little-endian unsigned 32-bit ids), bpe_n_tokens and bpe_decoded; columns of those names are replaced."""
-    coded = docs.withColumn("__vd_bpe", coder(docs.sparkSession, path)(F.col(text)))
-    made = {"bpe_ids": F.col("__vd_bpe.ids"), "bpe_n_tokens": (F.length("__vd_bpe.ids") / 4).cast("long"), "bpe_decoded": F.col("__vd_bpe.decoded")}
-    return coded.withColumns(made).drop("__vd_bpe")
+    name = unused(docs, "bpe")
+    coded = docs.withColumn(name, coder(docs.sparkSession, path)(F.col(text)))
+    made = {"bpe_ids": F.col(f"{name}.ids"), "bpe_n_tokens": (F.length(f"{name}.ids") / 4).cast("long"), "bpe_decoded": F.col(f"{name}.decoded")}
+    return coded.withColumns(made).drop(name)
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ HOT_KEYS = 1000
 #: A key with fewer rows than this is never frequent.
 HOT_ROWS = 64
 #: Rows and bytes of an Arrow batch of documents.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -11,9 +11,11 @@ The items go to the tasks in blocks of BLOCK_SHINGLES shingles, one block at a t
 broadcast (an item longer than a block stands alone). A longer benchmark means more passes over the
 documents, none of which shuffles them; a pass is written and its block released before the next.
 
-Defined cases: a null text or one without words contains nothing and is contained nowhere; an item
-of one to four words is one shingle of all of them, which only a document of just those words has;
-repeated items count once, repeated documents each; an empty benchmark finds nothing."""
+An item of one to four words has no five-word shingle. It is one run of all its words, and a document contains it
+that has this run anywhere; a block's runs of each such length are looked up among the document's runs of that length.
+
+Defined cases: a null text or one without words contains nothing and is contained nowhere; repeated items
+count once, repeated documents each; an empty benchmark finds nothing; item ids may be of any type."""
 
 from __future__ import annotations
 
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textnum
 from .common import discard, pieces, short_batches, stored, unused, utf8_view
@@ -39,11 +43,15 @@ _MULTIPLY = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.
 _WORD = re.compile(textnum.WORD_PATTERN)
 
 
-def word_shingles(text: str) -> set[tuple[str, ...]]:
-    """The distinct five-word shingles of a text in lower case."""
+def word_runs(words: list[str], n: int) -> set[tuple[str, ...]]:
+    """The distinct runs of n words."""
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def item_shingles(text: str) -> set[tuple[str, ...]]:
+    """The distinct five-word shingles of an item in lower case, or one run of its words if they are fewer."""
     w = _WORD.findall(text)
-    n = textnum.SHINGLE
-    return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    return word_runs(w, min(len(w), textnum.SHINGLE)) if w else set()
 
 
 def _slot_values(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -55,7 +63,9 @@ class Items:
 
     def __init__(self, rows: list[tuple]):
         self.ids = [r[0] for r in rows]
-        self.shingles = [word_shingles(r[1]) for r in rows]
+        self.shingles = [item_shingles(r[1]) for r in rows]
+        #: Of items under five words: by number of words, the sorted hashes of their runs and the items.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         data = "\n".join(r[1] for r in rows).encode()
         sizes = [len(r[1].encode()) + 1 for r in rows]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
@@ -63,7 +73,13 @@ class Items:
         hashes, _, at = textnum.words(np.frombuffer(data, np.uint8), offsets)
         sh, so = textnum.shingles(hashes, at)
         found: dict[int, list[list[tuple[int, int]]]] = {}
-        for i in range(len(rows)):
+        n_words = np.diff(at)
+        for n in sorted({int(x) for x in n_words if 0 < x < textnum.SHINGLE}):
+            items = np.flatnonzero(n_words == n)
+            values = sh[so[items]]
+            order = np.argsort(values, kind="stable")
+            self.short[n] = values[order], items[order]
+        for i in np.flatnonzero(n_words >= textnum.SHINGLE).tolist():
             own = np.unique(sh[so[i] : so[i + 1]])
             if len(own):
                 slots = found.setdefault(len(own).bit_length() - 1, [[] for _ in range(SLOTS)])
@@ -73,11 +89,18 @@ class Items:
         for c, slots in found.items():
             self.classes[c] = [(np.array([v for v, _ in sorted(s)], np.uint64), np.array([i for _, i in sorted(s)])) for s in slots]
 
-    def candidates(self, sh: np.ndarray, so: np.ndarray) -> set[tuple[int, int]]:
-        """(text, item) pairs that share a slot in some segment, for texts with shingles sh at offsets so."""
+    def candidates(self, hashes: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) pairs that share a slot in some segment, or a run of a short item, for texts with word hashes at offsets at."""
         out: set[tuple[int, int]] = set()
+        for n, (values, items) in self.short.items():
+            runs, offsets = textnum.runs_of(hashes, at, n)
+            left, right = (np.searchsorted(values, runs, side) for side in ("left", "right"))
+            for h in np.flatnonzero(left < right):
+                owner = int(np.searchsorted(offsets, h, "right")) - 1
+                out.update((owner, int(i)) for i in items[left[h] : right[h]])
+        sh, so = textnum.shingles(hashes, at)
         n = np.diff(so)
-        if not len(sh):
+        if not len(sh) or not self.classes:
             return out
         least = min(self.classes, default=0)
         # Blocks of the least class's stride; longer strides join neighbours of the same text.
@@ -116,17 +139,19 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
     size = items.agg(F.sum(F.length("text") + 1)).collect()[0][0] or 0
     n = -(-int(size) // (BLOCK_SHINGLES * 6))
     for k in range(n):
-        yield sorted((r[0], r[1]) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()), k == n - 1
+        yield sorted(((r[0], r[1]) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()), key=repr), k == n - 1
 
 
-RESULT = "item_id long, n_shingles int, n_shared int, containment double"
-HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shingles", pa.int32()), ("n_shared", pa.int32()), ("containment", pa.float64())]))
+def result_type(item_id: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("item_id", item_id), T.StructField("n_shingles", T.IntegerType()), T.StructField("n_shared", T.IntegerType()), T.StructField("containment", T.DoubleType())])
 
 
-def hits(sent: Broadcast, contained: float = CONTAINED) -> Column:
+def hits(sent: Broadcast, item_id: T.DataType, contained: float = CONTAINED) -> Column:
     """For each text, an array of item_id, n_shingles, n_shared and containment of the items of a block that it contains."""
+    kind = T.ArrayType(result_type(item_id))
+    arrow = to_arrow_type(kind)
 
-    @F.arrow_udf(f"array<struct<{RESULT.replace(' ', ':').replace(',:', ',')}>>")
+    @F.arrow_udf(kind)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(sent.value)
         for texts in batches:
@@ -134,15 +159,18 @@ def hits(sent: Broadcast, contained: float = CONTAINED) -> Column:
             data, offsets = utf8_view(texts)
             for i, j in pieces(offsets, 1 << 18):
                 hashes, _, at = textnum.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                last, whole = -1, set()
-                for t, k in sorted(items.candidates(*textnum.shingles(hashes, at))):
+                last, words, whole = -1, [], {}
+                for t, k in sorted(items.candidates(hashes, at)):
                     if t != last:
-                        last, whole = t, word_shingles(texts[i + t].as_py())
+                        last, words, whole = t, _WORD.findall(texts[i + t].as_py()), {}
                     own = items.shingles[k]
-                    shared = len(own & whole)
+                    n = len(next(iter(own)))
+                    if n not in whole:
+                        whole[n] = word_runs(words, n)
+                    shared = len(own & whole[n])
                     if shared >= contained * len(own):
                         found[i + t].append({"item_id": items.ids[k], "n_shingles": len(own), "n_shared": shared, "containment": shared / len(own)})
-            yield pa.array(found, HITS)
+            yield pa.array(found, arrow)
 
     return search(F.lower(F.coalesce("text", F.lit(""))))
 
@@ -151,10 +179,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shingles, n_shared and containment: one row for each item that a row of docs contains."""
     spark = docs.sparkSession
     short_batches(spark)
-    out = spark.createDataFrame([], RESULT).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "*")
+    kind = benchmark.schema["item_id"].dataType
+    out = spark.createDataFrame([], result_type(kind)).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "*")
     for rows, last in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(rows)
-        found = docs.select("doc_id", F.explode(hits(sent)).alias("x")).select("doc_id", "x.*")
+        found = docs.select("doc_id", F.explode(hits(sent, kind)).alias("x")).select("doc_id", "x.*")
         if last:
             return out.unionByName(found)
         out = out.unionByName(stored(found, "contaminated"))
@@ -169,7 +198,7 @@ def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     left = docs
     for rows, last in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(rows)
-        clean = left.withColumn(name, hits(sent)).where(F.size(name) == 0).drop(name)
+        clean = left.withColumn(name, hits(sent, benchmark.schema["item_id"].dataType)).where(F.size(name) == 0).drop(name)
         if last:
             return clean
         before, left = left, stored(clean, "clean")

@@ -17,14 +17,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, pieces, short_batches, unused, utf8_view
+from .common import fold_of, let, pieces, short_batches, unused, utf8_view
 
 UNKNOWN = "und"
 #: Bytes of a window; the last one of a text is filled up with zero bytes.
 WINDOW = 256
 #: So many labelled texts are learned from. A language gets its share of them, but TEXTS_EACH at least, or all that it has;
-#: so rare ones are learned too.
-SAMPLE, TEXTS_EACH = 600, 100
+#: so rare ones are learned too. With many languages the least number is lower, so that all sum up to about MOST_TEXTS at most.
+SAMPLE, TEXTS_EACH, MOST_TEXTS = 600, 100, 20_000
+#: Windows of a text that are learned from, evenly spread over it; and languages: the most frequent ones (a column of labels
+#: that has more isn't one of languages).
+WINDOWS_EACH, MOST_LANGUAGES = 40, 1000
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
 SPAN = max(WIDTHS)
 
@@ -116,36 +119,49 @@ class Network:
 
 
 def _sampled(known: DataFrame, sample: int) -> DataFrame:
-    """lang and text of the rows of known whose hash of doc_id and text is lowest in their lang: its share of `sample`, TEXTS_EACH at least."""
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """lang and text of the rows of known whose hash of doc_id and text is lowest in their lang: its share of `sample`, or the least number of texts.
+
+    Ranks are cut before the shuffle at the largest share, so a language of any size sends so many rows a task."""
+    by_size = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in by_size.collect()}
     total = sum(counts.values())
     if not total:
         return known.select("lang", "text")
-    quota = {lang: min(n, max(-(-sample * n // total), TEXTS_EACH)) for lang, n in counts.items()}
-    per_lang = lambda values: F.element_at(F.create_map(*(F.lit(x) for kv in sorted(values.items()) for x in kv)), F.col("lang"))
-    hashed = known.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1 << 40)).alias("h"))
-    few = hashed.where(F.col("h") <= per_lang({lang: min(1 << 40, 4 * q * (1 << 40) // counts[lang]) for lang, q in quota.items()}))
-    got = {r["lang"]: r["n"] for r in few.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if any(got.get(lang, 0) < q for lang, q in quota.items()):  # many rows of a language are alike
-        few = hashed
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    return few.withColumn("rank", rank).where(F.col("rank") <= per_lang(quota)).select("lang", "text")
+    least = min(TEXTS_EACH, max(1, MOST_TEXTS // len(counts)))
+    quota = {lang: min(n, max(-(-sample * n // total), least)) for lang, n in counts.items()}
+    per_lang = known.sparkSession.createDataFrame(sorted(quota.items()), "lang string, quota long")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit(7))))
+    first = known.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= max(quota.values()))
+    return first.join(F.broadcast(per_lang), "lang").where("rank <= quota").select("lang", "text")
+
+
+def _learned(text: Column) -> Column:
+    """The windows of a text that are learned from, as bytes: all, or WINDOWS_EACH of them evenly spread."""
+
+    def cut(b: Column) -> Column:
+        n = F.greatest(F.ceil(F.length(b) / WINDOW), F.lit(1))
+        some = F.least(n, F.lit(WINDOWS_EACH))
+        return F.transform(F.sequence(F.lit(0).cast("long"), some - 1), lambda k: F.substring(b, (F.floor(k * n / some) * WINDOW + 1).cast("int"), F.lit(WINDOW)))
+
+    return let(text.cast("binary"), cut)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     """A network learned from texts with a non-null lang outside the held-out fold; None if there are none.
 
-    It knows every language of those texts, and learns from all windows of the sampled ones (_sampled), which are what
-    reaches the driver."""
+    It knows the languages of those texts, the MOST_LANGUAGES most frequent if there are more. What reaches the driver
+    are windows of the sampled texts (_sampled): about MOST_TEXTS * WINDOWS_EACH * WINDOW bytes at most, 205 MB, whatever the input."""
     short_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(fold_of(F.col("doc_id")) != 2, F.lit(False)))
-    got = sorted((r["lang"], r["text"]) for r in _sampled(known, sample).collect())
+    got = sorted((r["lang"], bytes(w)) for r in _sampled(known, sample).select("lang", _learned(F.col("text")).alias("windows")).collect() for w in r["windows"])
     if not got:
         return None
     classes = sorted({lang for lang, _ in got})
     net, number = Network(classes), {c: i for i, c in enumerate(classes)}
-    rows, of = windows_of(*utf8_view(pa.array([text for _, text in got], pa.large_string())))
-    net.train(rows, np.array([number[lang] for lang, _ in got])[of])
+    rows = np.zeros((len(got), WINDOW), np.uint8)
+    for row, (_, w) in zip(rows, got):
+        row[: len(w)] = np.frombuffer(w, np.uint8)
+    net.train(rows, np.array([number[lang] for lang, _ in got]))
     return net
 
 

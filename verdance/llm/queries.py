@@ -102,17 +102,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
 b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
-ds AS (
-  SELECT DISTINCT r, doc_id, s FROM (
-    SELECT r, doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
-                                  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM d)),
-bs AS (
-  SELECT DISTINCT item_id, s FROM (
-    SELECT item_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 4 THEN [array_to_string(w, ' ')]
-                                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM b)),
+bs AS (SELECT DISTINCT item_id, k, s FROM (
+  SELECT item_id, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' '))) AS s FROM b WHERE len(w) > 0)),
+ds AS (SELECT DISTINCT r, doc_id, k, s FROM (
+  SELECT r, doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM d, (SELECT DISTINCT k FROM bs) WHERE len(w) >= k)),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared, count(*) / CAST(n AS DOUBLE) AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+FROM ds JOIN bs USING (k, s) JOIN n USING (item_id)
 GROUP BY r, doc_id, item_id, n HAVING count(*) >= 0.8 * n
 """
 

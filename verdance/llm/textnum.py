@@ -25,12 +25,12 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0, base**1, ... modulo 2**64, at least n of them; kept by the worker."""
     p = _powers.get(base)
     if p is None or len(p) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(17, int(n - 1).bit_length())
         p = np.full(size, base, np.uint64)
         p[0] = 1
         with np.errstate(over="ignore"):
             np.multiply.accumulate(p, out=p)
-        if size <= 1 << 21:
+        if size <= 1 << 20:
             _powers[base] = p
     return p[:n]
 
@@ -91,3 +91,14 @@ def shingles(hashes: np.ndarray, word_offsets: np.ndarray) -> tuple[np.ndarray,
         w = padded[at + k] * _POS[k]
         out += np.where(k < have, w, _U(0)) if short else w
     return mix(out), offsets
+
+
+def runs_of(hashes: np.ndarray, word_offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's runs of n words (under five), as shingles() has them for a text of n words, and their offsets."""
+    counts = np.maximum(np.diff(word_offsets) - n + 1, 0)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(offsets[-1]) + np.repeat(word_offsets[:-1] - offsets[:-1], counts)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out += hashes[at + k] * _POS[k]
+    return mix(out), offsets

@@ -2,7 +2,8 @@
 
 The list's canonical URLs fill a blocked Bloom filter: a URL's hash names one block of 256 bits and
 one bit in each of its eight 32-bit lanes. The filter has a block for every KEYS_EACH URLs. Up to
-SENT blocks it goes to every task by broadcast; the larger filter of a longer list is joined by block. The
+SENT blocks it goes to every task by broadcast; the larger filter of a longer list is joined by block, blocks of frequent
+URLs by broadcast (hot_join). The
 possible hits are joined with the list itself, which removes the false positives.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and no canonical form,
@@ -38,7 +39,7 @@ def canonical(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """A struct of the longest fitting rule and its verdict, or null. rules: (verdict, host and path)."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         name, slash, rest = rule.partition("/")
         fits = ((host == name) | F.endswith(host, F.lit(f".{name}"))) & F.startswith(path, F.lit(slash + rest))
@@ -74,12 +75,17 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]) ->
     blocks = max(1, -(-known.count() // KEYS_EACH))
     seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
     seen = seen.withColumns({"block": _block(F.col("canonical"), blocks), "mask": _mask(F.col("canonical"))})
-    filled = bloom(known, blocks)
-    passed = seen.join(F.broadcast(filled) if blocks <= SENT else filled, "block", "left")
+    named, filled = seen.where("canonical IS NOT NULL"), bloom(known, blocks)
+    if blocks <= SENT:
+        passed = named.join(F.broadcast(filled), "block", "left")
+    else:
+        rows = named.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+        passed = hot_join(named, stored(rows.join(filled, "block"), "url-blocks"), ["block"], "n", "left")
     inside = F.lit(True)
     for k in range(LANES // 2):
         inside = inside & (F.col("bits")[k].bitwiseAND(F.col("mask")[k]) == F.col("mask")[k])
-    passed = stored(passed.select("page_id", "host", "path", "canonical", (F.col("canonical").isNotNull() & F.coalesce(inside, F.lit(False))).alias("possible")), "url-passed")
+    passed = passed.select("page_id", "host", "path", "canonical", F.coalesce(inside, F.lit(False)).alias("possible"))
+    passed = stored(passed.unionByName(seen.where("canonical IS NULL").select("page_id", "host", "path", "canonical", F.lit(False).alias("possible"))), "url-passed")
     frequent = passed.where("possible").groupBy("canonical").agg(F.count(F.lit(1)).alias("n"))
     hits = hot_join(passed.where("possible"), stored(frequent.join(known, "canonical", "left_semi"), "url-hits"), ["canonical"], "n", "left")
     judged = hits.select("page_id", "host", "path", "canonical", F.col("n").isNotNull().alias("listed"))
