@@ -7,6 +7,7 @@ documented bounded table (MOST_ATOMS) that goes to the tasks with the function."
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,8 @@ def matched(depth: int, pool: list[list[dict]], rng: np.random.Generator, leaves
     The shape is how many groups each level has. A group of one level is an operand of one of the level above, drawn
     evenly; leaves go to groups that lack operands, the rest evenly. Negations are a mask over the postfix array."""
     check_shape(depth, leaves, groups, nots)
+    if leaves > len(pool):
+        raise ValueError(f"{leaves} leaves of a pool of {len(pool)} atoms")
     per_level = np.ones(depth, int)
     if depth > 1:
         per_level[1:] += rng.multinomial(groups - depth, np.full(depth - 1, 1 / (depth - 1)))
@@ -108,6 +111,13 @@ def as_map(facts):
 
 def items(spark: SparkSession, levels: dict[int, Callable[[list, np.random.Generator], list[dict]]], pool: list[list[dict]], per_level: int, attempts: int = 1, seed: int = 13) -> DataFrame:
     """level, number, attempt, tree, facts and gold; levels: level -> function of pool and generator that makes a tree."""
+    grid = spark.range(per_level).select(F.explode(F.array(*(F.lit(v).cast("int") for v in levels))).alias("level"), F.col("id").alias("number"))
+    grid = grid.select("level", "number", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
+    return _drawn(grid, levels, pool, seed)
+
+
+def _drawn(grid: DataFrame, levels: dict, pool: list[list[dict]], seed: int) -> DataFrame:
+    """The items of a grid (level, number, attempt)."""
     if len(pool) > MOST_ATOMS:
         raise ValueError(f"more than {MOST_ATOMS} atoms in the pool")
 
@@ -120,8 +130,6 @@ def items(spark: SparkSession, levels: dict[int, Callable[[list, np.random.Gener
                 out.append((level, number, attempt, tree, record(tree, rng)))
             yield pd.DataFrame(out, columns=["level", "number", "attempt", "tree", "facts"])
 
-    grid = spark.range(per_level).select(F.explode(F.array(*(F.lit(v).cast("int") for v in levels))).alias("level"), F.col("id").alias("number"))
-    grid = grid.select("level", "number", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
     return grid.mapInPandas(made, ITEM).withColumn("gold", logic.is_met(F.col("tree"), as_map(F.col("facts"))))
 
 
@@ -139,16 +147,67 @@ def half_met(made: DataFrame, per_level: int) -> DataFrame:
     return made.withColumn("__r", place).where(F.col("__r") <= quota).drop("__r")
 
 
-def depth_ladder(spark: SparkSession, pool: list[list[dict]], depths: list[int], per_level: int, attempts: int = 8, seed: int = 101) -> DataFrame:
+#: Draws of a level in the first round, as a multiple of what is asked for, and in all before a level counts as one that can't be filled.
+FIRST, MOST_DRAWS = 2, 1000
+
+
+def filled(spark: SparkSession, levels: dict[int, Callable[[list, np.random.Generator], list[dict]]], pool: list[list[dict]], per_level: int, seed: int = 13) -> DataFrame:
+    """per_level items of each level, per_level // 2 of them met and the rest not: the first such draws, in order of their number.
+
+    Rounds: each draws only for levels whose quotas aren't full, as many more as the rate so far says, so the work follows what
+    is lacking. A draw depends on (seed, level, number) alone, so neither rounds nor partitions change the result. A level that
+    isn't full after MOST_DRAWS draws an item is an error."""
+    quota = {True: per_level // 2, False: per_level - per_level // 2}
+    state = {v: {"drawn": 0, True: 0, False: 0} for v in levels}
+    rounds: list[DataFrame] = []
+    while wanted := {v: _next_draws(x, quota) for v, x in state.items() if any(x[g] < n for g, n in quota.items())}:
+        grid = [(v, state[v]["drawn"], state[v]["drawn"] + n) for v, n in wanted.items()]
+        hopeless = [v for v, _, end in grid if end > MOST_DRAWS * per_level]
+        if hopeless:
+            raise ValueError(f"levels that can't be filled: {sorted((v, state[v][True], state[v][False]) for v in hopeless)} (level, met, unmet)")
+        numbers = spark.createDataFrame(grid, "level int, a long, b long").select("level", F.explode(F.sequence("a", F.col("b") - 1)).alias("number"))
+        made = written(_drawn(numbers.repartition("level", "number").withColumn("attempt", F.lit(0)), levels, pool, seed).drop("attempt"), "draws")
+        rounds.append(made)
+        for r in made.groupBy("level", "gold").agg(F.count(F.lit(1)).alias("n")).collect():
+            state[r["level"]][r["gold"]] += r["n"]
+        for v, n in wanted.items():
+            state[v]["drawn"] += n
+    place = F.row_number().over(Window.partitionBy("level", "gold").orderBy("number"))
+    all_ = reduce(DataFrame.unionByName, rounds).withColumn("__r", place).where(F.col("__r") <= max(quota.values()))
+    return all_.where(F.col("__r") <= F.when(F.col("gold"), quota[True]).otherwise(quota[False])).drop("__r")
+
+
+def _next_draws(x: dict, quota: dict[bool, int]) -> int:
+    """How many draws a level that has x (drawn, met, unmet) gets next: by its rate so far, with a quarter to spare."""
+    if not x["drawn"]:
+        return FIRST * sum(quota.values())
+    need = max((quota[g] - x[g]) / (max(x[g], 1) / x["drawn"]) for g in (True, False))
+    return int(max(16, 1.25 * need))
+
+
+def depth_ladder(spark: SparkSession, pool: list[list[dict]], depths: list[int], per_level: int, seed: int = 101) -> DataFrame:
     """Items of freely drawn trees, per_level of each depth, half of them met."""
-    levels = {d: (lambda p, rng, d=d: nested(d, p, rng)) for d in depths}
-    return half_met(items(spark, levels, pool, per_level, attempts, seed), per_level)
+    return filled(spark, {d: (lambda p, rng, d=d: nested(d, p, rng)) for d in depths}, pool, per_level, seed)
 
 
-def size_sweep(spark: SparkSession, pool: list[list[dict]], sizes: list[int], per_level: int, depth: int = 3, attempts: int = 8, seed: int = 13) -> DataFrame:
+def size_sweep(spark: SparkSession, pool: list[list[dict]], sizes: list[int], per_level: int, depth: int = 3, seed: int = 13) -> DataFrame:
     """Items of one depth; level is the number of leaves, groups and negations grow with it."""
     levels = {n: (lambda p, rng, n=n: matched(depth, p, rng, n, max(depth, round(n * 3 / 7)), max(1, round(n * 2 / 7)))) for n in sizes}
-    return half_met(items(spark, levels, pool, per_level, attempts, seed), per_level)
+    return filled(spark, levels, pool, per_level, seed)
+
+
+def size_matched(spark: SparkSession, pool: list[list[dict]], depths: list[int], per_level: int, seed: int = 13) -> DataFrame:
+    """Items of 14 leaves, 6 groups and 4 negations at each depth, half of them met."""
+    return filled(spark, {d: (lambda p, rng, d=d: matched(d, p, rng)) for d in depths}, pool, per_level, seed)
+
+
+def pool_of(atoms: DataFrame, tree: str = "tree", most: int = 2000) -> list[list[dict]]:
+    """The distinct one-atom trees of a table as a pool, in order of their key: the `most` of least hash, if there are more (a bounded sample; MOST_ATOMS at most).
+
+    Of atoms of one entity one stays, since a record has one fact of an entity."""
+    one = atoms.where(F.size(tree) == 1).groupBy(F.col(tree)[0]["entity"].alias("e")).agg(F.min_by(tree, logic.key(F.col(tree))).alias("t"))
+    rows = one.orderBy(F.xxhash64("e"), "e").limit(min(most, MOST_ATOMS)).collect()
+    return [[n.asDict() for n in r["t"]] for r in sorted(rows, key=lambda r: r["e"])]
 
 
 def paired(criteria: DataFrame, per_criterion: int = 2, seed: int = 17) -> DataFrame:

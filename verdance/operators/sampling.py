@@ -36,21 +36,21 @@ def least(df: DataFrame, order: Column, n: int) -> DataFrame:
 
 
 def stratified(rows: DataFrame, strata: list[str], ident: str, target: int, seed: int = 11) -> DataFrame:
-    """About `target` rows (a sampling operator): of each stratum its proportional share, one at least, and `target` of those at most."""
+    """About `target` rows (a sampling operator): of each stratum its proportional share, one at least, and `target` of those at most.
+
+    No share is over `target`, so a task sends the target least rows of a stratum at most and these bounded samples are
+    merged: a stratum of any size is never ranked whole. A null stratum is one, too."""
     sizes = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
-    total = sizes.agg(F.sum("__n").alias("__total"))
-    goal = F.least(F.lit(target), F.col("__total"))
-    quota = sizes.join(F.broadcast(total)).withColumn("__quota", F.greatest(F.lit(1), F.bround(goal * F.col("__n") / F.col("__total"), 0)).cast("long"))
-    # A hot stratum isn't ranked whole: rows far beyond its quota by their hash drop out first. Where that leaves too
-    # few (many rows with one id), the stratum is ranked whole after all.
+    total = rows.count()
+    share = F.bround(F.lit(min(target, total)) * F.col("__n") / F.lit(total), 0)
+    quota = sizes.select(*(F.col(c).alias(f"__s_{c}") for c in strata), F.greatest(F.lit(1), share).cast("long").alias("__quota"))
     order = shuffled_order(F.col(ident), seed)
-    near = rows.join(quota, strata).withColumn("__o", order)
-    bound = F.when(F.col("__n") > 8 * (F.col("__quota") + 16), 4 * (F.col("__quota") + 16) / F.col("__n"))
-    inside = bound.isNull() | (F.conv(F.substring("__o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) < bound)
-    short = near.groupBy(*strata).agg(F.first("__quota").alias("q"), F.count_if(inside).alias("c")).where("c < q").limit(1).count()
-    likely = near if short else near.where(inside)
     place = F.row_number().over(Window.partitionBy(*strata).orderBy("__o"))
-    picked = likely.withColumn("__r", place).where("__r <= __quota").drop("__r", "__quota", "__n", "__total", "__o")
+    first = rows.withColumn("__o", order).withColumn("__r", place).where(F.col("__r") <= target)
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(c).eqNullSafe(F.col(f"__s_{c}"))
+    picked = first.join(quota, same).where("__r <= __quota").drop("__r", "__quota", "__o", *(f"__s_{c}" for c in strata))
     return least(picked, order, target)
 
 

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, intervals, logic, text
-from ..operators import agreement, errors, generation, runs, sampling, scoring, segmentation, trend, validation
-from ..sources import search
-from .stages import shared_path
+from ..operators import agreement, digests, errors, generation, runs, sampling, scoring, segmentation, trend, validation
+from ..sources import answers, search
+from .stages import shared_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -649,29 +649,66 @@ def split_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test"))).select("o_orderkey", "o_custkey", "side")
 
 
-def _pool() -> list[list[dict]]:
-    types = ["condition", "drug", "measurement", "observation"]
-    return [logic.atom(f"finding {i}", types[i % 4], ("ge", float(i)) if i % 4 >= 2 else None, (("within", 6, "months"), ("current",), None)[i % 3]) for i in range(200)]
+@query("""WITH r AS (SELECT sha256(concat_ws(chr(31), coalesce(CAST(o_orderkey AS VARCHAR), chr(0)), coalesce(CAST(o_custkey AS VARCHAR), chr(0)), coalesce(o_orderstatus, chr(0)), coalesce(o_orderpriority, chr(0)))) AS h FROM orders),
+e AS (SELECT h, count(*) AS n FROM r GROUP BY h), l2 AS (SELECT h[:2] AS p, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS d, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY 1),
+l1 AS (SELECT p[:1] AS p, sha256(string_agg(d || ':' || n, ',' ORDER BY p)) AS d, CAST(sum(n) AS BIGINT) AS n FROM l2 GROUP BY 1), l0 AS (SELECT '' AS p, sha256(string_agg(d || ':' || n, ',' ORDER BY p)) AS d, CAST(sum(n) AS BIGINT) AS n FROM l1)
+SELECT 2 AS level, p AS prefix, n, d AS digest FROM l2 UNION ALL SELECT 1, p, n, d FROM l1 UNION ALL SELECT 0, p, n, d FROM l0""")
+def order_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest tree of the orders."""
+    return digests.tree(_table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", depth=2)
+
+
+@query(r"""WITH i AS (SELECT conv_id, turn, sha256('reader' || chr(0) || coalesce(text, '')) AS key, CASE WHEN text LIKE '%?%' THEN 'question' ELSE CAST(length(text) AS VARCHAR) END AS answer FROM conversations),
+a AS (SELECT key FROM i WHERE turn = 0 GROUP BY key) SELECT i.conv_id, i.turn, i.key, i.answer, true AS has_answer, a.key IS NOT NULL AS in_first_run FROM i LEFT JOIN a USING (key)""")
+def kept_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader's answers to every turn, of two runs over one store: the second asks for what the first, over first turns, has not."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", cells.cache_key(F.lit("reader"), F.col("text")).alias("key"))
+    store = answers.AnswerStore(spark, shared_path(spark, "answers"))
+    reader = lambda rows: rows.select("key", F.when(F.col("text").contains("?"), "question").otherwise(F.length("text").cast("string")).alias("answer"))
+    store.ask(turns.where("turn = 0"), reader)
+    before = written(store.answers().select("key", F.lit(True).alias("seen")), "first-run")
+    store.ask(turns, reader)
+    both = store.answered(turns).join(before, "key", "left")
+    return both.select("conv_id", "turn", "key", "answer", "has_answer", F.coalesce("seen", F.lit(False)).alias("in_first_run"))
+
+
+# Generated sets: their atoms are those of the study texts made of the table part, their size follows the customers.
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> list[list[dict]]:
+    found = segmentation.atoms(_studies(spark, sf_dir)).where("hit IS NOT NULL")
+    return generation.pool_of(found.select("hit.tree"))
+
+
+def _per_level(spark: SparkSession, sf_dir: str) -> int:
+    return max(20, _table(spark, sf_dir, "customer").count() // 10)
 
 
 def _shapes(made: DataFrame) -> DataFrame:
-    return made.select("level", "number", "attempt", "gold", logic.structure(F.col("tree")).alias("s")).select("level", "number", "attempt", "gold", "s.*")
+    return made.select("level", "number", "gold", logic.structure(F.col("tree")).alias("s")).select("level", "number", "gold", "s.*")
 
 
 @query()
 def matched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated items of 14 leaves at depths 2 to 6, half of them met, with their structure."""
-    levels = {d: (lambda p, rng, d=d: generation.matched(d, p, rng)) for d in range(2, 7)}
-    return _shapes(generation.half_met(generation.items(spark, levels, _pool(), 40, attempts=8), 20))
+    return _shapes(generation.size_matched(spark, _pool(spark, sf_dir), list(range(2, 7)), _per_level(spark, sf_dir)))
+
+
+@query("""WITH n AS (SELECT greatest(20, count(*) // 10) AS n FROM customer) SELECT v.level, gold, CASE WHEN gold THEN n // 2 ELSE n - n // 2 END AS n, 14 AS leaves, 6 AS groups, 4 AS nots, v.level AS depth FROM n, (VALUES (2), (3), (4), (5), (6)) v(level), (VALUES (true), (false)) g(gold)""")
+def matched_item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What matched_items must give by design: quotas filled, one structure a depth."""
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).alias(c)
+    return matched_items(spark, sf_dir).groupBy("level", "gold").agg(F.count(F.lit(1)).alias("n"), *map(one, ("leaves", "groups", "nots", "depth")))
 
 
 @query()
 def depth_ladder_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated items of freely drawn trees of depths 2 to 4, half of them met."""
-    return _shapes(generation.depth_ladder(spark, _pool(), [2, 3, 4], 20))
+    return _shapes(generation.depth_ladder(spark, _pool(spark, sf_dir), [2, 3, 4], _per_level(spark, sf_dir)))
 
 
 @query()
 def size_sweep_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated items of depth 3 and 7 to 112 leaves, half of them met."""
-    return _shapes(generation.size_sweep(spark, _pool(), [7, 14, 28, 56, 112], 10))
+    """Generated items of depth 3 and 7 to 112 leaves (as many as there are atoms, at most), half of them met."""
+    pool = _pool(spark, sf_dir)
+    return _shapes(generation.size_sweep(spark, pool, [n for n in (7, 14, 28, 56, 112) if n <= len(pool)], _per_level(spark, sf_dir) // 5))

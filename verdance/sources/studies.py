@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import logic
+from ..operators import digests
 
 #: The fields of a record that are read; all may be missing.
 STUDY = (
@@ -133,11 +134,9 @@ def write_pool(pool: DataFrame, path: str) -> str:
 
 
 def pool_digest(pool: DataFrame) -> DataFrame:
-    """One row: n and a digest of the pool's content, whatever its files and order.
-
-    The sum of row hashes is a commutative aggregate, so no task sorts or holds the pool."""
-    row = F.conv(F.substring(F.sha2(F.concat_ws("\u001f", "key", "study_id", "sentence", logic.key(F.col("hit.tree"))), 256), 1, 15), 16, 10).cast("decimal(20,0)")
-    return pool.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.coalesce(F.sum(row), F.lit(0)).cast("string"), 256).alias("digest"))
+    """One row: n, levels and the root of the digest tree of the pool's content, whatever its files and order (operators.digests)."""
+    rows = pool.select("key", "study_id", "sentence", logic.key(F.col("hit.tree")).alias("tree"))
+    return digests.root(rows, "key", "study_id", "sentence", "tree")
 
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
