@@ -1,6 +1,7 @@
 """Runs, gates, sources, generated sets and the smaller operators, on inputs checked by hand."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,9 +39,9 @@ def test_summaries_and_gates(spark):
 
 def test_other_gates(spark):
     table = lambda rows: spark.createDataFrame(rows, "x double, n long, k long")
-    falling = {tuple(r) for r in runs.sweep_gates(table([(1.0, 400, 380), (2.0, 400, 300), (3.0, 400, 200), (4.0, 400, 100)])).collect()}
+    falling = {tuple(r)[:3] for r in runs.sweep_gates(table([(1.0, 400, 380), (2.0, 400, 300), (3.0, 400, 200), (4.0, 400, 100)])).collect()}
     assert falling == {("sweep", "attainable_p", "NOTE")}
-    rising = {tuple(r) for r in runs.sweep_gates(table([(1.0, 20, 10), (2.0, 20, 11)])).collect()}
+    rising = {tuple(r)[:3] for r in runs.sweep_gates(table([(1.0, 20, 10), (2.0, 20, 11)])).collect()}
     assert rising == {("sweep", "not_monotone", "BLOCK"), ("sweep", "no_significant_trend", "BLOCK"), ("sweep", "attainable_p", "NOTE"), ("1.0-2.0", "indistinguishable_levels", "NOTE")}
     assert trend.depth_trend(table([(1.0, 20, 10), (2.0, 20, 10)])).collect()[0]["monotone"]
     assert [tuple(r) for r in runs.mixed_gates(table([(1.0, 20, 10), (2.0, 20, 11)])).collect()] == [("mixed", "no_separated_pair", "NOTE")]
@@ -192,3 +193,45 @@ def test_streams(spark, tmp_path):
 
     assert sorted(r["event_id"] for r in ran(lambda s: events.once(s, "event_id"), "once_", "append")) == [1, 2]
     assert [(r["user_id"], r["entity"], r["value"]) for r in ran(events.facts_by_window, "facts_", "complete")] == [(7, "view", 2.0)]
+
+
+def test_pairs_that_cannot_be_told_apart_say_what_it_takes(spark):
+    table = spark.createDataFrame([(1.0, 60, 48), (2.0, 60, 41), (3.0, 60, 10)], "x double, n long, k long")
+    got = {r["subject"]: r["n_needed"] for r in runs.sweep_gates(table).collect() if r["gate"] == "indistinguishable_levels"}
+    a, b = 48 / 60, 41 / 60
+    root = 1.959963984540054 * math.sqrt((a + b) * (1 - (a + b) / 2)) + 0.8416212335729143 * math.sqrt(a * (1 - a) + b * (1 - b))
+    assert got == {"1.0-2.0": math.ceil((root / (a - b)) ** 2)}
+
+
+def test_adjudication_sheet(spark, tmp_path):
+    rows = spark.createDataFrame([("i1", "=none", "temporal", True, "annotator1_governs", 3), ("i2", "none", "numeric_threshold", False, "resolve_on_merits", None)], "item_id string, a string, b string, clinical boolean, rule string, depth int")
+    path = f"file://{tmp_path}/sheet"
+    tables.write_adjudication(rows, path)
+    sheet = tables.read_sheet(spark, path, tables.ADJUDICATION)
+    assert sheet.columns == tables.ADJUDICATION
+    assert {tuple(r) for r in sheet.select("item_id", "depth", "annotator1", "clinical_judgement_required").collect()} == {("i1", "3", "=none", "yes"), ("i2", None, "none", "no")}
+    filled = sheet.withColumns({"resolved_category": F.when(F.col("item_id") == "i1", " Temporal"), "resolution_note": F.lit(" clear ")})
+    tables.write_sheet(filled, path + "-filled")
+    assert [tuple(r) for r in tables.read_adjudication(spark, path + "-filled").collect()] == [("i1", "temporal", "clear")]
+    tables.write_sheet(filled.withColumn("resolved_category", F.lit("guess")), path + "-wrong")
+    with pytest.raises(Exception, match="unknown category guess"):
+        tables.read_adjudication(spark, path + "-wrong").collect()
+
+
+def test_results_are_written_as_they_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MOST_ROWS", 20)
+    rows = spark.createDataFrame([("deep", "m1" if k % 2 else "m/2", "2", f"i{k}", k % 3, k % 2 == 0, k % 3 == 0, k / 100, None if k == 5 else "why", k == 7) for k in range(100)], "task string, model string, prompt string, item_id string, level int, gold boolean, predicted boolean, confidence double, rationale string, unanswerable boolean")
+    tables.write_results(rows, f"file://{tmp_path}/results")
+    back = tables.read_results(spark, f"file://{tmp_path}/results")
+    same = lambda df: sorted(map(tuple, df.select("model", "prompt", "item_id", "level", "gold", "predicted", "confidence", "rationale", "unanswerable").collect()), key=repr)
+    assert same(back) == same(rows)
+    assert back.select("run").distinct().count() == 2
+    tables.write_report({"first": rows.limit(2), "second": rows.limit(0)}, f"file://{tmp_path}/out")
+    assert "## first" in "\n".join(r[0] for r in spark.read.text(f"file://{tmp_path}/out/report").collect())
+    assert spark.read.json(f"file://{tmp_path}/out/first").count() == 2
+
+
+def test_pool_summary_of_nothing(spark):
+    found = segmentation.atoms(spark.createDataFrame([], "study_id string, text string"))
+    one = segmentation.pool_summary(found, segmentation.distinct_atoms(found), spark.createDataFrame([], "study_id string, first_posted string")).collect()[0]
+    assert (one["n_atoms"], one["n_studies"], one["considered"], one["match_rate"], one["first_posted_from"]) == (0, 0, 0, None, None)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import logic
 from ..functions.intervals import share, wilson
 from .scoring import calibration, known
-from .trend import depth_trend, item_trend, level_pairs, levels, pearson
+from .trend import depth_trend, item_trend, level_pairs, levels, overlapping_levels, pearson
 
 
 def answer_with(items: DataFrame, model: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -83,7 +83,7 @@ def one_setting(per_item: DataFrame) -> DataFrame:
     return per_item
 
 
-def by_level(rows: DataFrame, level: Column) -> DataFrame:
+def by_level(rows: DataFrame, level: Column, with_depth: bool = False) -> DataFrame:
     """level and the means of structure, base rates, accuracy, interval and balanced accuracy, each to the decimals of its column.
 
     rows: tree, facts, gold, predicted. Halves are rounded to even."""
@@ -94,15 +94,22 @@ def by_level(rows: DataFrame, level: Column) -> DataFrame:
     by = slim.groupBy("level").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("gold") == F.col("predicted")).alias("k"),
         mean(s["leaves"]).alias("leaves_mean"), F.min(s["leaves"]).alias("leaves_min"), F.max(s["leaves"]).alias("leaves_max"),
-        mean(s["and_groups"]).alias("and_mean"), mean(s["or_groups"]).alias("or_mean"), mean(s["nots"]).alias("not_mean"), mean(s["canonical_depth"], 2).alias("canonical_depth_mean"),
+        mean(s["and_groups"]).alias("and_mean"), mean(s["or_groups"]).alias("or_mean"), mean(s["nots"]).alias("not_mean"), mean(s["canonical_depth"], 2).alias("canonical_depth_mean"), mean(s["depth"], 2).alias("depth_mean"),
         mean("undocumented").alias("undocumented_mean"), mean("ambiguous").alias("currency_ambiguous_mean"),
         mean(F.col("gold").cast("double"), 3).alias("gold_met_rate"), mean(F.col("predicted").cast("double"), 3).alias("model_met_rate"),
         F.avg(F.when(F.col("gold"), ok)).alias("recall_met"), F.avg(F.when(~F.col("gold"), ok)).alias("recall_unmet"),
     )
+    if not with_depth:
+        by = by.drop("depth_mean")
     out = by.withColumn("w", wilson(F.col("k"), F.col("n"))).select("*", F.bround(share(F.col("k"), F.col("n")), 3).alias("accuracy"), F.bround("w.low", 4).alias("low"), F.bround("w.high", 4).alias("high"), F.bround((F.col("recall_met") + F.col("recall_unmet")) / 2, 3).alias("balanced_accuracy"))
     return out.drop("w", "recall_met", "recall_unmet")
 
 
+def by_size(rows: DataFrame) -> DataFrame:
+    """by_level() over the number of leaves, with the mean depth (to 2 decimals) of each size."""
+    return by_level(rows, F.size(logic.leaves(F.col("tree"))), with_depth=True)
+
+
 def structure_trend(rows: DataFrame, over: str = "depth", replicates: int = 20_000) -> DataFrame:
     """item_trend() of correctness over the trees' depth, or over the logarithm of their leaves (over="leaves"), with
     depth_size_r: the correlation of depth with log2(leaves), to 3 decimals. rows: tree, gold, predicted."""
@@ -127,10 +134,13 @@ def gates(summary: DataFrame) -> DataFrame:
 
 
 def sweep_gates(table: DataFrame, replicates: int = 20_000) -> DataFrame:
-    """The gates of a sweep over levels (x, n, k): a trend that rises or isn't significant, its attainable p, and pairs that can't be told apart."""
+    """The gates of a sweep over levels (x, n, k): a trend that rises or isn't significant, its attainable p, and pairs that can't be told apart.
+
+    n_needed: for such a pair, the rows a level that would tell them apart (-1: their accuracy is equal)."""
     rules = F.array_compact(F.array(_gate(~F.col("monotone"), "not_monotone", "BLOCK"), _gate(F.col("p_one_sided") > 0.05, "no_significant_trend", "BLOCK"), _gate(F.lit(True), "attainable_p", "NOTE")))
-    trend = depth_trend(table, replicates).select(F.lit("sweep").alias("subject"), F.explode(rules).alias("g")).select("subject", "g.*")
-    pairs = level_pairs(table).where("overlap").select(F.concat_ws("-", F.col("x_a").cast("string"), F.col("x_b").cast("string")).alias("subject"), F.lit("indistinguishable_levels").alias("gate"), F.lit("NOTE").alias("severity"))
+    trend = depth_trend(table, replicates).select(F.lit("sweep").alias("subject"), F.explode(rules).alias("g")).select("subject", "g.*", F.lit(None).cast("long").alias("n_needed"))
+    name = F.concat_ws("-", F.col("x_a").cast("string"), F.col("x_b").cast("string"))
+    pairs = overlapping_levels(table).select(name.alias("subject"), F.lit("indistinguishable_levels").alias("gate"), F.lit("NOTE").alias("severity"), "n_needed")
     return trend.unionByName(pairs)
 
 

@@ -152,3 +152,14 @@ def composition(pool: DataFrame, made: DataFrame) -> DataFrame:
     out = atoms_.unionByName(forms).groupBy("c.part", "c.measure").agg(F.count(F.lit(1)).alias("n"))
     studies = pool.select(F.lit("pool").alias("part"), F.col("study_id").cast("string").alias("s")).unionByName(made.select(F.lit("corpus").alias("part"), F.col("metadata")["trial_id"].alias("s")))
     return out.unionByName(studies.distinct().groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.lit("studies").alias("measure"), "n"))
+
+
+def pool_summary(found: DataFrame, pool: DataFrame, dates: DataFrame) -> DataFrame:
+    """One row: atoms and studies of a pool (distinct_atoms), sentences considered and matched with the match rate (to 4 decimals, NULL of none), and
+    the first and last date that one of its studies was posted. found: atoms(); dates: study_id, first_posted."""
+    matched = found.agg(F.count(F.lit(1)).alias("considered"), F.count_if(F.col("hit").isNotNull()).alias("matched"))
+    studies = pool.groupBy("study_id").agg(F.count(F.lit(1)).alias("n"))
+    posted = dates.groupBy("study_id").agg(F.min("first_posted").alias("first_posted"))
+    one = studies.join(posted, "study_id", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_atoms"), F.count(F.lit(1)).alias("n_studies"), F.min("first_posted").alias("first_posted_from"), F.max("first_posted").alias("first_posted_to"))
+    rate = F.round(F.try_divide("matched", "considered"), 4).alias("match_rate")
+    return one.crossJoin(matched).select("n_atoms", "n_studies", "considered", "matched", rate, "first_posted_from", "first_posted_to")  # one row each

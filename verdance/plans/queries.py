@@ -127,6 +127,17 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.ranked(rows, "accuracy", "board")
 
 
+@query(f"""WITH {D}, g AS (SELECT lang || '/' || source AS board, avg(CAST(gold = predicted AS DOUBLE)) AS value FROM k WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source)
+SELECT board, round(value, 2) AS claimed, round(value, 6) AS value FROM g WHERE abs(round(value, 2) - value) > 0.0006""")
+def misstated_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report that states each board's accuracy to two decimals, read back and held against the decisions."""
+    rows = scoring.known(_decisions(spark, sf_dir)).where("lang IS NOT NULL AND source IS NOT NULL").groupBy(F.concat("lang", F.lit("/"), "source").alias("board")).agg(F.avg((F.col("gold") == F.col("predicted")).cast("double")).alias("value"))
+    rows = written(rows, "boards")
+    stated = rows.select("board", F.concat(F.lit("| "), "board", F.lit(" | accuracy **"), F.round("value", 2).cast("string"), F.lit("** |")).alias("line"))
+    claims = stated.select("board", F.explode(validation.figures(F.col("line"), r"accuracy \*\*([0-9.]+)\*\*")).alias("claimed"))
+    return _rounded(validation.misstated(claims, rows, ["board"]))
+
+
 @query(f"""WITH {D}, g AS (SELECT lang, avg(CAST(gold = predicted AS DOUBLE)) AS p FROM k WHERE lang IS NOT NULL GROUP BY lang)
 SELECT a.lang AS lang_a, b.lang AS lang_b, CAST(CASE WHEN abs(a.p - b.p) < 1e-12 THEN -1 ELSE greatest(1, ceil(pow({Z} * sqrt(2 * (a.p + b.p) / 2 * (1 - (a.p + b.p) / 2)) + 0.8416212335729143 * sqrt(a.p * (1 - a.p) + b.p * (1 - b.p)), 2) / pow(a.p - b.p, 2))) END AS BIGINT) AS n_needed
 FROM g a JOIN g b ON a.lang < b.lang""")
@@ -424,14 +435,14 @@ FORMS = {
 }
 
 
-def _structure_sql() -> str:
+def _structure_sql(by: str = "depth") -> str:
     per = " UNION ALL ".join(f"SELECT '{name}' AS criterion, {f[0]} AS leaves, {f[1]} AS ands, {f[2]} AS ors, {f[3]} AS nots, {f[4]} AS depth, {f[5]} AS canonical" for name, f in FORMS.items())
     missing = " ".join(f"WHEN '{name}' THEN {' + '.join(f'CAST({n["entity"]}_present IS NULL AS INT)' for n in t if n['kind'] == 'atom')}" for name, t in CRITERIA.items())
     unclear = " ".join(f"WHEN '{name}' THEN {' + '.join([f'CAST(coalesce({n["entity"]}_present AND NOT {n["entity"]}_current, false) AS INT)' for n in t if n['kind'] == 'atom' and not n['tmp_op']] or ['0'])}" for name, t in CRITERIA.items())
     return f"""WITH {FU}, j AS ({_JUDGED_SQL}), f AS ({per}), r AS (SELECT f.*, gold, predicted, CASE criterion {missing} END AS missing, CASE criterion {unclear} END AS unclear FROM j JOIN f USING (criterion)),
-g AS (SELECT depth AS level, count(*) AS n, count(*) FILTER (WHERE gold = predicted) AS n_correct, round_even(avg(leaves), 1) AS leaves_mean, min(leaves) AS leaves_min, max(leaves) AS leaves_max, round_even(avg(ands), 1) AS and_mean, round_even(avg(ors), 1) AS or_mean, round_even(avg(nots), 1) AS not_mean,
+g AS (SELECT {by} AS level, {"round_even(avg(depth), 2) AS depth_mean," if by == "leaves" else ""} count(*) AS n, count(*) FILTER (WHERE gold = predicted) AS n_correct, round_even(avg(leaves), 1) AS leaves_mean, min(leaves) AS leaves_min, max(leaves) AS leaves_max, round_even(avg(ands), 1) AS and_mean, round_even(avg(ors), 1) AS or_mean, round_even(avg(nots), 1) AS not_mean,
   round_even(avg(canonical), 2) AS canonical_depth_mean, round_even(avg(missing), 1) AS undocumented_mean, round_even(avg(unclear), 1) AS currency_ambiguous_mean, round_even(avg(CAST(gold AS DOUBLE)), 3) AS gold_met_rate, round_even(avg(CAST(predicted AS DOUBLE)), 3) AS model_met_rate,
-  (avg(CAST(gold = predicted AS DOUBLE)) FILTER (WHERE gold) + avg(CAST(gold = predicted AS DOUBLE)) FILTER (WHERE NOT gold)) / 2 AS balanced FROM r GROUP BY depth)
+  (avg(CAST(gold = predicted AS DOUBLE)) FILTER (WHERE gold) + avg(CAST(gold = predicted AS DOUBLE)) FILTER (WHERE NOT gold)) / 2 AS balanced FROM r GROUP BY {by})
 SELECT * EXCLUDE (n_correct, balanced), n_correct AS k, round_even(n_correct / CAST(n AS DOUBLE), 3) AS accuracy, round_even({LOW}, 4) AS low, round_even({HIGH}, 4) AS high, round_even(balanced, 3) AS balanced_accuracy FROM g"""
 
 
@@ -441,6 +452,11 @@ def structure_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.by_level(rows, logic.depth(F.col("tree")))
 
 
+@query(_structure_sql("leaves"))
+def structure_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.by_size(_judged(spark, sf_dir))
+
+
 def _form_sql(k: int) -> str:
     return f"CASE criterion {' '.join(f"WHEN '{name}' THEN {f[k]}" for name, f in FORMS.items())} END"
 
@@ -549,6 +565,35 @@ def dataset_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.composition(segmentation.distinct_atoms(segmentation.atoms(texts)), segmentation.criteria(segmentation.mapped(texts), per_study=None))
 
 
+POSTED = "printf('2024-%02d-%02d', size % 12 + 1, size % 28 + 1)"
+
+
+@query(f"""WITH {PARTS}, {FOUND}, pool AS (SELECT rendered, arg_min(study_id, (study_id, pos)) AS study_id FROM found GROUP BY rendered), d AS (SELECT study_id, {POSTED} AS posted FROM p)
+SELECT count(*) AS n_atoms, count(DISTINCT study_id) AS n_studies, (SELECT 7 * count(*) FROM p) AS considered, (SELECT count(*) FROM found) AS matched, round((SELECT count(*) FROM found) / CAST((SELECT 7 * count(*) FROM p) AS DOUBLE), 4) AS match_rate, min(posted) AS first_posted_from, max(posted) AS first_posted_to FROM pool JOIN d USING (study_id)""")
+def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pool of the study texts rests on: how many sentences match, and from when its studies are."""
+    found = written(segmentation.atoms(_studies(spark, sf_dir)), "atoms")
+    dates = _table(spark, sf_dir, "part").select(F.concat(F.lit("NCT"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("study_id"), F.format_string("2024-%02d-%02d", F.col("p_size") % 12 + 1, F.col("p_size") % 28 + 1).alias("first_posted"))
+    return segmentation.pool_summary(found, segmentation.distinct_atoms(found), dates)
+
+
+@query(f"""WITH {PARTS}, {FOUND}, {MADE}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section, rendered ORDER BY study_id, pos) AS r FROM made) WHERE r = 1), n AS (SELECT count(*) AS n FROM p)
+SELECT * FROM (SELECT 'total' AS kind, 'considered' AS name, 7 * n AS n FROM n UNION ALL SELECT 'total', 'mapped', count(*) FROM kept UNION ALL SELECT 'total', 'mapped_coordinated', count(*) FROM kept WHERE depth > 0 UNION ALL SELECT 'total', 'negated', count(*) FROM kept WHERE pos = 8
+  UNION ALL SELECT 'skipped', 'boilerplate_phrase', n FROM n UNION ALL SELECT 'skipped', 'duplicate_of_earlier_trial', 6 * n - (SELECT count(*) FROM kept) FROM n) WHERE n > 0""")
+def segmentation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of the uncapped corpus of the study texts."""
+    rows = written(segmentation.mapped(_studies(spark, sf_dir)), "mapped")
+    return segmentation.corpus_counts(rows, segmentation.corpus(rows, None), None)
+
+
+@query(f"""WITH {PARTS}, {FOUND}, {MADE} SELECT study_id, pos, CASE WHEN pos = 7 THEN 2 ELSE 1 END AS leaves, CASE WHEN pos = 7 THEN 1 ELSE 0 END AS or_groups, CASE WHEN pos = 8 THEN 1 ELSE 0 END AS nots, depth, depth AS canonical_depth, rendered FROM made""")
+def study_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure and rendered text of every form of the study texts."""
+    rows = segmentation.mapped(_studies(spark, sf_dir)).where("form IS NOT NULL")
+    made = rows.select("study_id", "pos", logic.structure(F.col("form.tree")).alias("s"), logic.render(F.col("form.tree")).alias("rendered"))
+    return made.select("study_id", "pos", "s.leaves", "s.or_groups", "s.nots", "s.depth", "s.canonical_depth", "rendered")
+
+
 # Search: an index of the documents, and one of the study texts.
 
 

@@ -39,6 +39,23 @@ def read_annotations(spark: SparkSession, path: str, column: str = "category") -
     return df.where(value != "").withColumn("category", known).withColumn("clinical", F.coalesce(flag, F.lit(False)))
 
 
+#: Columns of an adjudication sheet; the last two are for the one who resolves.
+ADJUDICATION = ["item_id", "arm", "depth", "annotator1", "annotator2", "clinical_judgement_required", "adjudication_rule", "resolved_category", "resolution_note"]
+
+
+def write_adjudication(disagreements: DataFrame, path: str) -> None:
+    """The sheet on which disagreements (item_id, a, b, clinical, rule and perhaps arm and depth) are resolved, with columns left to be filled."""
+    have = {"item_id": F.col("item_id"), "annotator1": F.col("a"), "annotator2": F.col("b"), "clinical_judgement_required": F.when(F.col("clinical"), "yes").otherwise("no"), "adjudication_rule": F.col("rule")}
+    have |= {c: F.col(c) for c in ("arm", "depth") if c in disagreements.columns}
+    write_sheet(disagreements.select(*(have.get(c, F.lit("")).cast("string").alias(c) for c in ADJUDICATION)), path)
+
+
+def read_adjudication(spark: SparkSession, path: str) -> DataFrame:
+    """item_id, category and note of the resolved rows of such a sheet; an unknown category is an error."""
+    df = read_annotations(spark, path, "resolved_category")
+    return df.select("item_id", "category", F.trim(F.coalesce("resolution_note", F.lit(""))).alias("note"))
+
+
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     """item_id and verdict (keep or drop); other rows drop out."""
     df = read_sheet(spark, path, ["item_id", "verdict"])
@@ -78,6 +95,31 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("run", "model", "prompt", "p.item_id", F.col("p.depth").alias("level"), (F.col("p.gold") == "met").alias("gold"), (F.col("p.predicted") == "met").alias("predicted"), "p.confidence", "p.rationale", F.coalesce("p.unanswerable", F.lit(False)).alias("unanswerable"))
 
 
+def write_results(rows: DataFrame, path: str) -> None:
+    """Result files as read_results() takes them: below `path`, a folder for each task, model and prompt of rows (task, model, prompt, item_id, level, gold, predicted,
+    confidence, rationale, unanswerable) with a JSON object for each MOST_ROWS of its items or fewer, dealt by hash, so no task gathers a whole run."""
+    word = lambda c: F.when(F.col(c), "met").when(~F.col(c), "not_met")
+    item = F.struct("item_id", F.col("level").cast("int").alias("depth"), F.lit(None).cast("string").alias("group"), word("gold").alias("gold"), word("predicted").alias("predicted"), "confidence", "rationale", F.coalesce("unanswerable", F.lit(False)).alias("unanswerable"))
+    keys = ["task", "model", "prompt"]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    parts = F.pmod(F.xxhash64("item_id"), F.ceil(F.col("__n") / (MOST_ROWS // 2)))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    dealt = rows.alias("r").join(sizes.alias("s"), same[0] & same[1] & same[2]).select("r.*", parts.alias("__part"))
+    made = dealt.groupBy(*keys, "__part").agg(F.array_sort(F.collect_list(item)).alias("per_item_predictions"))
+    folder = F.regexp_replace(F.concat_ws("__", *keys), r"[^A-Za-z0-9_.-]", "-")
+    out = made.select("task", F.struct(F.col("model").alias("name"), F.col("prompt").alias("prompt_version")).alias("model"), "per_item_predictions", folder.alias("run"))
+    out.write.partitionBy("run").option("maxRecordsPerFile", 1).mode("overwrite").json(path)
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """Below `path`: `report`, Markdown text with a heading and a table each, and a folder of JSON lines each with all their rows."""
+    spark = next(iter(tables.values())).sparkSession
+    text = "\n\n".join(f"## {name}\n\n{report(table)}" for name, table in tables.items())
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    for name, table in tables.items():
+        table.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def report(table: DataFrame, most: int = 200) -> str:
     """A small result as a Markdown table; `most` rows bound what reaches the driver, and a longer table says so."""
     rows = table.limit(most + 1).collect()
