@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells, intervals, logic, text
-from ..operators import agreement, digests, errors, generation, runs, sampling, scoring, segmentation, trend, validation
-from ..sources import answers, search
+from ..operators import agreement, digests, errors, generation, ordered, runs, sampling, scoring, segmentation, trend, validation
+from ..sources import answers, pages, search
 from .stages import shared_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -694,6 +694,23 @@ def split_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test"))).select("o_orderkey", "o_custkey", "side")
 
 
+@query("""WITH r AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS k, count(*) OVER () AS n FROM customer) SELECT CAST((k - 1) // 40 AS BIGINT) AS pos, CAST((k - 1) % 40 AS INT) AS place, c_custkey, c_name FROM r WHERE k <= n * 3 // 4""")
+def paged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of the customers, read in the order of a cursor over page files of forty each."""
+    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    n = customers.count()
+    number = ordered.numbered(customers, "c_custkey", "k").withColumn("page", F.floor((F.col("k") - 1) / 40))
+    token = lambda k: F.when(k == 0, pages.FIRST).otherwise(F.md5(k.cast("string")))
+    last = (n - 1) // 40
+    each = number.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("studies"))
+    made = each.select(token(F.col("page")).alias("token"), "studies", F.when(F.col("page") < last, token(F.col("page") + 1)).alias("nextPageToken"))
+    path = shared_path(spark, "pages")
+    made.write.partitionBy("token").option("maxRecordsPerFile", 1).json(path)
+    raw = spark.read.schema("studies array<struct<c_custkey:bigint,c_name:string>>, nextPageToken string, token string").option("basePath", path).json(path)
+    stored = raw.select("token", F.col("nextPageToken").alias("next_token"), F.col("studies").alias("records"))
+    return pages.scan(stored, n * 3 // 4).select("pos", "place", "record.c_custkey", "record.c_name")
+
+
 @query("""WITH r AS (SELECT sha256(concat_ws(chr(31), coalesce(CAST(o_orderkey AS VARCHAR), chr(0)), coalesce(CAST(o_custkey AS VARCHAR), chr(0)), coalesce(o_orderstatus, chr(0)), coalesce(o_orderpriority, chr(0)))) AS h FROM orders),
 e AS (SELECT h, count(*) AS n FROM r GROUP BY h), l2 AS (SELECT h[:2] AS p, sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS d, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY 1),
 l1 AS (SELECT p[:1] AS p, sha256(string_agg(d || ':' || n, ',' ORDER BY p)) AS d, CAST(sum(n) AS BIGINT) AS n FROM l2 GROUP BY 1), l0 AS (SELECT '' AS p, sha256(string_agg(d || ':' || n, ',' ORDER BY p)) AS d, CAST(sum(n) AS BIGINT) AS n FROM l1)
