@@ -121,7 +121,8 @@ class Network:
 def _sampled(known: DataFrame, sample: int) -> DataFrame:
     """lang and text of the rows of known whose hash of doc_id and text is lowest in their lang: its share of `sample`, or the least number of texts.
 
-    Ranks are cut before the shuffle at the largest share, so a language of any size sends so many rows a task."""
+    Hashes alone are ranked, cut before the shuffle at the largest share, so a language of any size sends so many numbers a
+    task; each language's last hash then picks the rows."""
     by_size = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     counts = {r["lang"]: r["n"] for r in by_size.collect()}
     total = sum(counts.values())
@@ -130,9 +131,13 @@ def _sampled(known: DataFrame, sample: int) -> DataFrame:
     least = min(TEXTS_EACH, max(1, MOST_TEXTS // len(counts)))
     quota = {lang: min(n, max(-(-sample * n // total), least)) for lang, n in counts.items()}
     per_lang = known.sparkSession.createDataFrame(sorted(quota.items()), "lang string, quota long")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text", F.lit(7))))
-    first = known.select("lang", "text", rank.alias("rank")).where(F.col("rank") <= max(quota.values()))
-    return first.join(F.broadcast(per_lang), "lang").where("rank <= quota").select("lang", "text")
+    hashed = known.withColumn("h", F.xxhash64("doc_id", "text", F.lit(7)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = hashed.select("lang", "h", rank.alias("rank")).where(F.col("rank") <= max(quota.values()))
+    edge = first.join(F.broadcast(per_lang), "lang").where("rank <= quota").groupBy("lang").agg(F.max("h").alias("edge"))
+    # Rows alike have one hash, and count once.
+    chosen = hashed.join(F.broadcast(edge), "lang").where("h <= edge")
+    return chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def _learned(text: Column) -> Column:

@@ -28,6 +28,8 @@ from .common import discard, hot_join, let, stored, unused
 RUN_WORDS = 50
 KEY = ["id", "h1", "h2"]
 RUNS = "array<struct<first:int,last:int>>"
+#: Words of 64 bits of the Bloom filter of the texts that have a run to delete: 2 MB, whatever the input.
+WORDS = 1 << 18
 
 
 def _key(doc_id: Column, text: Column) -> list[Column]:
@@ -152,14 +154,36 @@ def _without(lines: Column, runs: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), part))
 
 
+def _word(h1: Column) -> Column:
+    return F.pmod(h1, F.lit(WORDS))
+
+
+def _mask(h2: Column) -> Column:
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h2, 6 * k).bitwiseAND(F.lit(63)).cast("int"))
+    return bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2)).bitwiseOR(bit(3))
+
+
+def _apart(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs that may have a run of `found`, and those that have none and can stay where they are."""
+    word, mask, bits = (unused(docs, c) for c in ("word", "mask", "bits"))
+    filled = found.select(_word(F.col("h1")).alias(word), _mask(F.col("h2")).alias("m")).groupBy(word).agg(F.bit_or("m").alias(bits))
+    _, h1, h2 = _key(F.col("doc_id"), F.col("text"))
+    seen = docs.withColumns({word: _word(h1), mask: _mask(h2)}).join(F.broadcast(filled), word, "left")
+    may = F.coalesce(F.col(bits).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
+    return seen.where(may).select(*docs.columns), seen.where(~may).select(*docs.columns)
+
+
 def clean(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with the later repeated runs deleted from text, and n_chars (if there) set to the new length; all other columns stay.
 
-    A document of which nothing but blank lines is left has only repeated others, and goes."""
-    d, runs = _with_runs(docs, docs, repeated(docs, run_words))
+    A document of which nothing but blank lines is left has only repeated others, and goes. Only texts that have a run, as far as
+    a Bloom filter can tell, are shuffled to meet it."""
+    found = repeated(docs, run_words)
+    some, others = _apart(docs, found)
+    d, runs = _with_runs(docs, some, found)
     left, changed = unused(docs, "left"), F.col(runs).isNotNull()
     d = d.withColumn(left, F.when(changed, F.array_join(let(F.split("text", "\n"), lambda lines: _without(lines, F.col(runs))), "\n")))
     d = d.where(~changed | (F.trim(F.col(left)) != ""))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(changed, F.length(left)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return d.withColumn("text", F.when(changed, F.col(left)).otherwise(F.col("text"))).select(*docs.columns)
+    return d.withColumn("text", F.when(changed, F.col(left)).otherwise(F.col("text"))).select(*docs.columns).unionByName(others)
