@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches, unused
+from .common import short_batches, unused, worker_tables
 
 #: Entries of each of the two generations of the worker's memo of encoded words; results don't depend on it.
 MEMO = 60_000
@@ -175,8 +175,6 @@ class Codec(dict):
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
 RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 DIGEST = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
@@ -190,7 +188,7 @@ def coder(spark: SparkSession, path: str, digest: bool = False):
 
     @F.arrow_udf(DIGEST if digest else RESULT)
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codecs.get(name) or _codecs.setdefault(name, Codec(vocabulary(sent.value)))
+        codec = worker_tables(f"bpe {name}", lambda: Codec(vocabulary(sent.value)))
         for batch in batches:
             ids, texts, hashes, sizes = [], [], [], []
             for x in batch:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,18 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_tables: dict = {}
+
+
+def worker_tables(owner: str, make: Callable[[], Any] = dict) -> Any:
+    """The tables of an operator in this Python worker, made once. Those of another operator go, so that a worker
+    which several operators use in turn doesn't hold all of theirs."""
+    if owner not in _tables:
+        _tables.clear()
+        _tables[owner] = make()
+    return _tables[owner]
+
+
 def hot_join(big: DataFrame, small: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
     """big JOIN small, small unique on the keys `on`, where a few keys may hold most of big's rows.
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textnum
-from .common import discard, pieces, short_batches, stored, unused, utf8_view
+from .common import discard, pieces, short_batches, stored, unused, utf8_view, worker_tables
 
 CONTAINED = 0.8
 #: Slots of a signature. A segment that holds 0.8 of an item shares a given slot with chance 0.16 at
@@ -153,6 +153,7 @@ def hits(sent: Broadcast, item_id: T.DataType, contained: float = CONTAINED) ->
 
     @F.arrow_udf(kind)
     def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_tables("decontamination")
         items = Items(sent.value)
         for texts in batches:
             found: list[list[dict]] = [[] for _ in range(len(texts))]

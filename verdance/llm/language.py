@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, let, pieces, short_batches, unused, utf8_view
+from .common import fold_of, let, pieces, short_batches, unused, utf8_view, worker_tables
 
 UNKNOWN = "und"
 #: Bytes of a window; the last one of a text is filled up with zero bytes.
@@ -177,6 +177,7 @@ def predicted(text: Column, net: Network | None) -> Column:
 
     @F.arrow_udf(RESULT)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_tables("language")
         for batch in batches:
             data, offsets = utf8_view(batch)
             best, score = np.zeros(len(batch), int), np.zeros(len(batch))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textnum
-from .common import discard, hot_join, pieces, short_batches, stored, text_md5, unused, utf8_view
+from .common import discard, hot_join, pieces, short_batches, stored, text_md5, unused, utf8_view, worker_tables
 
 SIMILAR = 0.8
 BANDS, ROWS = 24, 6
@@ -119,6 +119,7 @@ SIGNED = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("size
 @F.arrow_udf(SIGNED)
 def _signature(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Signature and number of shingles of each text in lower case; no signature for texts without words."""
+    worker_tables("neardup")
     for batch in batches:
         data, offsets = utf8_view(batch)
         out: list[bytes | None] = []
@@ -140,6 +141,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 @F.arrow_udf(T.DoubleType())
 def _similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Weighted Jaccard similarity of the whole multisets of two texts in lower case."""
+    worker_tables("neardup")
     for left, right in batches:
         a, x = utf8_view(left)
         b, y = utf8_view(right)
@@ -312,6 +314,7 @@ class Groups:
         """node, label, size, shingle and its weight w of all shingles of nodes (node, label)."""
 
         def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_tables("neardup")
             for b in batches:
                 data, offsets = utf8_view(b.column(2))
                 for i, j in pieces(offsets, PIECE):
