@@ -50,7 +50,7 @@ RARE = 8
 #: Sizes of one class are less than this factor apart.
 SIZE_CLASS = 1.05
 #: Bytes of text that a task has in hand at once, as shingles.
-PIECE = 1 << 17
+PIECE = 1 << 18
 #: Words of 64 bits of the Bloom filter of nodes whose texts are needed: 2 MB.
 WORDS = 1 << 18
 _U = np.uint64
