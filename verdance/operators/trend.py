@@ -210,6 +210,12 @@ def power(x: list[float], n: list[int], p: list[float], replicates: int, spark,
     return spark.range(replicates).mapInPandas(simulated, "hit boolean").agg(F.count(F.lit(1)).alias("replicates"), F.count_if("hit").alias("significant"))
 
 
+def power_of(table: DataFrame, replicates: int, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """power() of a table's own design: its levels and their sizes, each right with the chance that the table shows."""
+    rows = _collected(table)
+    return power([r["x"] for r in rows], [r["n"] for r in rows], [r["k"] / r["n"] for r in rows], replicates, table.sparkSession, alpha, seed)
+
+
 def predicted(table: DataFrame, at: list[float]) -> DataFrame:
     """x and p of the logistic model of a table at the given x; no rows if there is no model."""
     rows = _collected(table)

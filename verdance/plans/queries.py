@@ -235,8 +235,8 @@ def predicted_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def trend_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many of 1000 simulated experiments a decline like .72 to .43 over five sizes is found."""
-    return trend.power([7.0, 14.0, 28.0, 56.0, 112.0], [100] * 5, [0.72, 0.65, 0.58, 0.50, 0.43], 1000, spark)
+    """In how many of 1000 simulated tables with the levels' sizes and accuracies the trend is found to decline."""
+    return trend.power_of(_levels(spark, sf_dir), 1000)
 
 
 # Agreement: quality against a rule, as two annotators.
@@ -467,11 +467,11 @@ def structure_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.structure_trend(_judged(spark, sf_dir), replicates=0).select("n", "n_correct", "depth_size_r")
 
 
-@query(f"SELECT criterion, leaves, a AS and_groups, o AS or_groups, nots, a + o AS groups, depth, cd AS canonical_depth, rendered, canonical FROM (VALUES {', '.join(str((name, *f)) for name, f in FORMS.items())}) f(criterion, leaves, a, o, nots, depth, cd, rendered, canonical)")
+@query(f"WITH {FU} SELECT criterion, users, leaves, a AS and_groups, o AS or_groups, nots, a + o AS groups, depth, cd AS canonical_depth, rendered, canonical FROM (VALUES {', '.join(str((name, *f)) for name, f in FORMS.items())}) f(criterion, leaves, a, o, nots, depth, cd, rendered, canonical), (SELECT count(*) AS users FROM u) WHERE users > 0")
 def tree_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structure, rendered text and rendered normal form of the fixed criteria."""
-    rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("criterion"), logic.literal(t).alias("tree")) for n, t in CRITERIA.items()))).alias("c")).select("c.*")
-    return rows.select("criterion", logic.structure(F.col("tree")).alias("s"), logic.render(F.col("tree")).alias("rendered"), logic.render(logic.canonical(F.col("tree"))).alias("canonical")).select("criterion", "s.*", "rendered", "canonical")
+    """Structure, rendered text and rendered normal form of the criteria that users are held against, and how many users."""
+    rows = _judged(spark, sf_dir).groupBy("criterion").agg(F.first("tree").alias("tree"), F.count(F.lit(1)).alias("users"))
+    return rows.select("criterion", "users", logic.structure(F.col("tree")).alias("s"), logic.render(F.col("tree")).alias("rendered"), logic.render(logic.canonical(F.col("tree"))).alias("canonical")).select("criterion", "users", "s.*", "rendered", "canonical")
 
 
 # Sentences.
