@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdance.functions import logic
-from verdance.operators import segmentation
+from verdance.operators import generation, segmentation
 from verdance.plans import stages
 from verdance.plans.stages import written
 
@@ -63,3 +63,11 @@ def test_a_small_file_is_many_tasks(spark, tmp_path):
     assert stages.spread(small).rdd.getNumPartitions() == 3
     assert stages.spread(small).distinct().count() == 12_000
     assert stages.spread(small.limit(0)).count() == 0
+
+
+def test_generated_items_are_cut_without_ranking_them(spark):
+    """Whole items were ranked in one task for each level and outcome."""
+    pool = [logic.atom(f"f{i}", "measurement", ("ge", i)) for i in range(20)]
+    made = generation.depth_ladder(spark, pool, [1], 4)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["gold"] for r in made.collect()) == [False, False, True, True]
