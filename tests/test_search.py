@@ -83,3 +83,15 @@ def test_empty_index_and_scan(spark, tmp_path):
     index.add(spark.createDataFrame([("NCT00000001", "t", "some words")], SCHEMA))
     plan = index.search("words")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,words)" in plan or "In(term, [words])" in plan
+
+
+def test_a_posting_is_shuffled_once(spark, tmp_path):
+    """Postings were multiplied by the queries that have their term before they were dealt out by study."""
+    index = search.Index(spark, f"file://{tmp_path}/once")
+    index.add(spark.createDataFrame([("a", "x y"), ("b", "x"), ("c", None)], "study_id string, text string"))
+    assert sorted((r["study_id"], r["length"]) for r in index.studies().collect()) == [("a", 2), ("b", 1), ("c", 0)]
+    asked = spark.createDataFrame([(i, "x y") for i in range(3)], "query_id int, text string")
+    got = index.search_all(asked, 2)
+    assert sorted((r["query_id"], r["rank"], r["study_id"]) for r in got.collect()) == [(i, k, s) for i in range(3) for k, s in ((1, "a"), (2, "b"))]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Window")[-1]
+    assert plan.split("RepartitionBy")[0].count("Exchange hashpartitioning") <= 1

@@ -6,8 +6,9 @@ is spread over as many files as its rows need. `studies` has the ids and lengths
 counts once its studies are there, so a run that was broken off leaves nothing that is read, and repeating it
 adds what lacks. Adding studies writes another segment and reads only the ids of the others.
 
-A search joins the queries' terms with the postings, adds up by query and study, and ranks by a window that takes k
-rows a task and query at most. Scores are whole millionths of BM25 added up term by term, so equal
+A search takes the postings of the queries' terms, deals them out by study, meets the queries there and adds up by query and study
+without another shuffle, and ranks by a window that takes k rows a task and query at most. So what is shuffled is
+a posting once, not once for each query that has its term. Scores are whole millionths of BM25 added up term by term, so equal
 studies tie exactly whatever the order of addition; ties go by id.
 
 Defined cases: words are runs of letters and digits in lower case; null texts have none; a study without
@@ -23,12 +24,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.stages import written
+
 WORD = r"[\p{L}\p{N}]+"
 #: Saturation of repeated words, and how much a study's length counts.
 K1, B = 1.2, 0.75
 SCALE = 1_000_000
 #: Up to so many words of a search go to the scan as a filter.
 PUSHED = 1000
+#: Up to so many words of all queries (a word counts for each query that has it) go to the tasks by broadcast.
+MOST_ASKED = 1_000_000
+#: Sums, one for each study and query, that a task has.
+SUMS_A_TASK = 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -72,10 +79,12 @@ class Index:
         body = F.concat_ws("\n", *(F.col(c) for c in fields or ("text",)))
         rows = studies.where(F.col(ident).isNotNull()).groupBy(F.col(ident).cast("string").alias("study_id")).agg(F.min(body).alias("body"))
         fresh = rows.join(self.studies().select("study_id"), "study_id", "left_anti").select("study_id", words(F.col("body")).alias("w"))
-        length = F.size("w").cast("long").alias("length")
-        counted = fresh.select("study_id", length, F.explode("w").alias("term")).groupBy("term", "study_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-        counted.repartitionByRange("term", "study_id").sortWithinPartitions("term", "study_id").write.parquet(f"{self.path}/postings/{segment}")
-        fresh.select("study_id", length).withColumn("segment", F.lit(segment)).write.mode("append").parquet(f"{self.path}/studies")
+        # Texts are shuffled once; a study without words has one row, without a term.
+        each = fresh.select("study_id", F.size("w").cast("long").alias("length"), F.explode_outer("w").alias("term"))
+        counted = written(each.groupBy("study_id", "length", "term").agg(F.count("term").alias("tf")), "postings")
+        found = counted.where("term IS NOT NULL").select("term", "study_id", "tf", "length")
+        found.repartitionByRange("term", "study_id").sortWithinPartitions("term", "study_id").write.parquet(f"{self.path}/postings/{segment}")
+        counted.select("study_id", "length").distinct().withColumn("segment", F.lit(segment)).write.mode("append").parquet(f"{self.path}/studies")
         return segment
 
     def compact(self, target: str) -> Index:
@@ -106,9 +115,14 @@ class Index:
             raise ValueError("need is any or all")
         all_ = self.studies().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).collect()[0]
         n, mean = F.lit(all_["n"]).cast("double"), F.lit(all_["mean"] or 1.0)
+        asked = written(asked, "asked")
+        size = asked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("queries")).collect()[0]
         met = postings.join(asked.select("term").distinct(), "term", "left_semi")
         weights = met.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf(n, F.col("df").cast("double")).alias("weight"))
-        scored = asked.join(weights, "term").join(met, "term").withColumn("part", impact(F.col("tf"), F.col("length"), mean, F.col("weight")))
+        parts = met.join(written(weights, "weights"), "term").select("study_id", "term", impact(F.col("tf"), F.col("length"), mean, F.col("weight")).alias("part"))
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-all_["n"] * size["queries"] // SUMS_A_TASK))
+        few = F.broadcast(asked) if size["n"] <= MOST_ASKED else asked
+        scored = parts.repartition(tasks, "study_id").join(few, "term")
         total = scored.groupBy("query_id", "study_id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("met"), F.first("n_words").alias("n_words"))
         if need == "all":
             total = total.where("met = n_words")
