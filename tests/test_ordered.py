@@ -77,3 +77,9 @@ def test_selective_accuracy_with_a_null_group_and_ties(spark):
                 left -= take
             assert got[(g, c)] == (k, round(sum_ / k, 9))
     assert len(scoring.selective_accuracy(df).collect()) == 10
+
+
+def test_pairs_are_not_joined_with_their_levels(spark):
+    """Pairs, of which there are many more than levels, were joined with the levels twice."""
+    table = spark.createDataFrame([(float(k), 40, (k * 7) % 41) for k in range(41)], "x double, n long, k long")
+    assert trend.overlapping_levels(table)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
