@@ -1,6 +1,7 @@
 """Running sums, ranks, neighbours and interval joins against plain Python."""
 
 import random
+from bisect import bisect_right
 
 import pandas as pd
 import pytest
@@ -83,3 +84,20 @@ def test_pairs_are_not_joined_with_their_levels(spark):
     """Pairs, of which there are many more than levels, were joined with the levels twice."""
     table = spark.createDataFrame([(float(k), 40, (k * 7) % 41) for k in range(41)], "x double, n long, k long")
     assert trend.overlapping_levels(table)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 45])
+def test_position_among_bounds(spark, n):
+    """The step was taken for the index that transform() gives a second parameter, so every position was 0."""
+    bounds = [k / 10 for k in range(n)]
+    values = [v / 20 for v in range(-3, 2 * n + 3)]
+    column = F.array(*map(F.lit, bounds)).cast("array<double>")
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered._position(column, n, F.col("v")).alias("at")).collect()
+    assert {r["v"]: r["at"] for r in got} == {v: bisect_right(bounds, v) for v in values}
+
+
+def test_pairs_are_dealt_to_tasks(spark):
+    """All intervals fell into one range, so one task made all pairs."""
+    df = spark.createDataFrame([(k, k / 400, k / 400 + 0.4) for k in range(400)], "k long, lo double, hi double")
+    tasks = ordered.overlapping(df, "k", "lo", "hi", 40).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert max(r["count"] for r in tasks) < sum(r["count"] for r in tasks) / 4
